@@ -6,6 +6,7 @@ Columns an operator adds replace input columns of the same name; all other input
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -139,3 +140,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: smaller than a checkpoint for many rows."""
+    folder = f"{shared_folder(df.sparkSession)}/opplens-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

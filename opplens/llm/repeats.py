@@ -1,14 +1,15 @@
 """Suffix-array de-duplication: bytes that lie in a window of `length` bytes that also starts somewhere else are removed.
 
 Only the order of suffixes up to `length` bytes matters, and of that only which suffixes are equal, so the suffixes are sorted
-by a depth-limited most-significant-digit radix sort of three digits, each held by a hash; groups of one leave the sort.
+by a depth-limited most-significant-digit radix sort, whose digits are held by hashes; groups of one leave the sort.
 
 1. First digit: the anchor of a window, which is the least hashed string of length // 2 bytes in it (of equals the last). Equal
    windows have equal anchors at equal places. The windows that share an anchor occurrence are neighbours and form a run, so one
    row stands for about length // 4 suffixes.
 2. Second digit: the content of the whole run. Runs of equal content are repeated in all their windows.
-3. Third digit: the single windows, of one run for each content, and only for anchors at which some run has no equal.
-   Groups of two or more are exactly the repeated windows.
+3. Third digit: blocks of BLOCK windows at equal places from the anchor, at anchors where some run has no equal. Windows can
+   only be equal if what all windows of their block have in common is, so blocks whose common part is alone leave.
+4. Fourth digit: the single windows of the blocks that are left. Groups of two or more are exactly the repeated windows.
 
 All counts are partial sums first, so neither thousands of copies nor a passage in a third of all documents meets in one task.
 Windows never cross documents. Digits beyond the first have 128 bits.
@@ -27,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, checkpointed, mix, powers, text_bytes
+from .common import blocks, checkpointed, mix, powers, stored, text_bytes
 
 #: Odd bases of the two polynomial hashes, and their inverses modulo 2**64.
 BASES = tuple(np.uint64(b) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
 #: Longer texts are cut into overlapping pieces, each of which holds other windows.
-PIECE = 8 << 20
+PIECE = 1 << 20
 #: Interval tables up to this many bytes are broadcast, beyond it the texts are shuffled.
 BROADCAST_BYTES = 48 << 20
+#: Windows in a block of the third digit.
+BLOCK = 16
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -64,12 +67,12 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[in
     """(text number, offset in it) of each piece, and the pieces one after the other, in blocks."""
     cut = [(i, at) for i, t in enumerate(texts) if len(t) >= length for at in range(0, max(1, len(t) - length + 1), PIECE)]
     parts = [texts[i][at : at + PIECE + length - 1] for i, at in cut]
-    for lo, hi in blocks(parts):
+    for lo, hi in blocks(parts, 512 << 10):
         yield [i for i, _ in cut[lo:hi]], [at for _, at in cut[lo:hi]], parts[lo:hi]
 
 
 def runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(piece, first window, last window, anchor hash, two content hashes) of each run."""
+    """(piece, first window, last window, anchor, anchor hash, two content hashes) of each run."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes)
@@ -97,10 +100,10 @@ def runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     shape = ((anchor[first] - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
     content = [mix(hashes.of(first, last - first + length, h) + mix(shape)) for h in (0, 1)]
     base = np.concatenate([[0], ends[:-1]])[piece[first]]
-    return piece[first], first - base, last - base, digit, *content
+    return piece[first], first - base, last - base, anchor[first] - base, digit, *content
 
 
-RUN = "key binary, a long, c1 long, c2 long, lo int, hi int"
+RUN = "key binary, a long, c1 long, c2 long, lo int, hi int, at int"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -114,79 +117,123 @@ def find_runs(keyed: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             for number, offset, parts in pieces(texts, length):
-                piece, lo, hi, digit, c1, c2 = runs(parts, length)
+                piece, lo, hi, at, digit, c1, c2 = runs(parts, length)
                 off = np.asarray(offset)[piece]
                 names = pa.array([keys[i] for i in number], pa.binary()).take(pa.array(piece))
-                yield pa.RecordBatch.from_arrays([names, _signed(digit), _signed(c1), _signed(c2), pa.array((lo + off).astype(np.int32)), pa.array((hi + off).astype(np.int32))], ["key", "a", "c1", "c2", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([names, _signed(digit), _signed(c1), _signed(c2), pa.array((lo + off).astype(np.int32)), pa.array((hi + off).astype(np.int32)), pa.array((at + off).astype(np.int32))], ["key", "a", "c1", "c2", "lo", "hi", "at"])
 
     return keyed.mapInArrow(work, RUN)
 
 
-def _windows(with_runs: DataFrame, length: int) -> DataFrame:
-    """(key, text, runs) to a row for each window of the runs: (key, lo of its run, place, w1, w2, n, alone)."""
+def _blocks(lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first window, last window, block number) of the blocks of runs, counted backwards from the anchor."""
+    low, high = (at - hi) // BLOCK, (at - lo) // BLOCK
+    run = np.repeat(np.arange(len(lo)), high - low + 1)
+    number = np.arange(len(run)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[run]
+    return run, np.maximum(lo[run], at[run] - number * BLOCK - BLOCK + 1), np.minimum(hi[run], at[run] - number * BLOCK), number
+
+
+BLOCKS = "key binary, lo int, hi int, n long, a long, m int, k1 long, k2 long, c1 long, c2 long"
+
+
+def _find_blocks(with_runs: DataFrame, length: int) -> DataFrame:
+    """(key, text, runs) to a row for each block of the runs: its windows, its runs' number, what groups it, and its content."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, listed = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()
-            for key, text, own in zip(keys, texts, listed):
+            for key, text, own in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                hashes = Hashes(np.frombuffer(text, np.uint8))
+                lo, hi, at, n, a = (np.asarray([r[k] for r in own], np.int64) for k in ("lo", "hi", "at", "n", "a"))
+                run, first, last, number = _blocks(lo, hi, at)
+                start = at[run] - number * BLOCK
+                core = [mix(hashes.of(start, length - BLOCK + 1, h)) for h in (0, 1)]
+                shape = mix(((at[run] - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64))
+                content = [mix(hashes.of(first, last - first + length, h) + shape) for h in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n[run]), pa.array(a[run]), pa.array(number.astype(np.int32)), *map(_signed, core), *map(_signed, content)], [x.split(" ")[0] for x in BLOCKS.split(", ")])
+
+    return with_runs.mapInArrow(work, BLOCKS)
+
+
+def _find_windows(with_runs: DataFrame, length: int) -> DataFrame:
+    """(key, text, runs) to a row for each window of the runs: (key, lo of its run, place, w1, w2, n)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, own in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 hashes = Hashes(np.frombuffer(text, np.uint8))
                 lo, hi, n = (np.asarray([r[k] for r in own], np.int64) for k in ("lo", "hi", "n"))
-                for at in range(0, len(lo), 256):
-                    part = slice(at, at + 256)
-                    size = hi[part] - lo[part] + 1
-                    run = np.repeat(np.arange(len(size)), size)
-                    place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + lo[part][run]
-                    w = [mix(hashes.of(place, length, h)) for h in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.binary()), pa.array(lo[part][run].astype(np.int32)), pa.array(place.astype(np.int32)), _signed(w[0]), _signed(w[1]), pa.array(n[part][run])], ["key", "lo", "at", "w1", "w2", "n"])
+                size = hi - lo + 1
+                run = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + lo[run]
+                w = [mix(hashes.of(place, length, h)) for h in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.binary()), pa.array(lo[run].astype(np.int32)), pa.array(place.astype(np.int32)), *map(_signed, w), pa.array(n[run])], ["key", "lo", "at", "w1", "w2", "n"])
 
     return with_runs.mapInArrow(work, "key binary, lo int, at int, w1 long, w2 long, n long")
 
 
+def _weigh(rows: DataFrame, group: list[str], content: list[str]) -> DataFrame:
+    """rows with m, how often their content occurs in their group, and open: whether the group holds a content that is alone
+    beside others. Rows that are alone in their group are gone."""
+    kinds = rows.groupBy(*group, *content).agg(F.sum("n").alias("times"))
+    groups = kinds.groupBy(*group).agg(F.min("times").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1").select(*group, F.lit(True).alias("open"))
+    known = kinds.join(groups, group, "left").select(*group, *content, "times", F.coalesce("open", F.lit(False)).alias("open")).where("times > 1 or open")
+    return rows.join(known, [*group, *content])
+
+
+def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
+    return checkpointed(rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("runs")))
+
+
 def repeated_intervals(keyed: DataFrame, length: int) -> DataFrame:
-    """(key, text) to (key, spans): the byte intervals that repeated windows cover, sorted, not yet joined."""
+    """(key, text) to (key, spans): the byte intervals that repeated windows cover, in order."""
     rows = find_runs(keyed, length)
     known = rows.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-    near = checkpointed(rows.join(known, "a"))
-    kinds = near.groupBy("a", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("r"))
-    kinds = checkpointed(kinds)
-    same = near.join(kinds.where("n > 1").select("a", "c1", "c2"), ["a", "c1", "c2"]).select("key", "lo", (F.col("hi") + length).alias("end"))
-    # a kind that is alone at its anchor as far as its content goes may still share single windows
-    open_ = kinds.groupBy("a").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1").select("a")
-    asked = kinds.join(open_, "a").select("r.key", F.struct("r.lo", "r.hi", F.least("n", F.lit(2)).alias("n")).alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
-    asked = checkpointed(asked)
-    texts = pick_texts(keyed, asked)
-    windows = _windows(texts.select("key", "text", "runs"), length)
-    windows = checkpointed(windows)
+    near = stored(rows.join(known, "a").withColumn("n", F.lit(1).cast("long")))
+    weighed = stored(_weigh(near, ["a"], ["c1", "c2"]).select("key", "a", "c1", "c2", "lo", "hi", "at", "times", "open"))
+    spans = weighed.where("times > 1").select("key", "lo", (F.col("hi") + length).alias("end"))
+    # of contents that occur more often one run stands for all
+    alone = weighed.where("open and times = 1").select("key", "lo", "hi", "at", "a", "times")
+    one = weighed.where("open and times > 1").groupBy("a", "c1", "c2").agg(F.min(F.struct("key", "lo", "hi", "at")).alias("r")).select("r.*", "a", F.lit(2).cast("long").alias("times"))
+    asked = _by_key(alone.unionByName(one).withColumnRenamed("times", "n"), "lo", "hi", "at", "n", "a")
+    parts = stored(_find_blocks(pick_texts(keyed, asked).select("key", "text", "runs"), length))
+    weighed = stored(_weigh(parts, ["a", "m", "k1", "k2"], ["c1", "c2"]).select("key", "lo", "hi", "n", "times", "open"))
+    spans = spans.unionByName(weighed.where("times > 1 and n = 1").select("key", "lo", (F.col("hi") + length).alias("end")))
+    asked = _by_key(weighed.where("open"), "lo", "hi", "n")
+    windows = _find_windows(pick_texts(keyed, asked).select("key", "text", "runs"), length)
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
     found = windows.where("n = 1").join(twice, ["w1", "w2"]).groupBy("key", "lo").agg(F.min("at").alias("first"), (F.max("at") + length).alias("end"))
-    spans = same.unionByName(found.select("key", F.col("first").alias("lo"), "end")).distinct()
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("spans"))
+    spans = spans.unionByName(found.select("key", F.col("first").alias("lo"), "end")).distinct()
+    return spans.groupBy("key").agg(F.collect_list(F.struct("lo", "end")).alias("spans")).mapInArrow(_join_spans, "key binary, spans array<struct<lo:int,end:int>>")
 
 
 def pick_texts(keyed: DataFrame, asked: DataFrame) -> DataFrame:
-    """The texts of the keys in asked, each once, with asked's columns."""
-    size = asked.agg(F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.size("runs")), F.lit(0)) * 24).first()[0]
-    side = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-    found = keyed.join(side, "key")
-    many = keyed.select("key").join(F.broadcast(asked.select("key")) if size <= BROADCAST_BYTES else asked.select("key"), "key").groupBy("key").count().where("count > 1").select("key")
-    many = checkpointed(many)
-    if many.isEmpty():
-        return found
-    once = found.join(many, "key", "left_anti")
-    return once.unionByName(found.join(many, "key", "left_semi").dropDuplicates(["key"]).select(*found.columns))
-
-
-def cut(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> Iterator[tuple[list[tuple[int, int]], bytes]]:
-    """For each text its removed intervals, joined where they touch, and what is left."""
+    """The texts of the keys in asked, with asked's columns. Copies of a text come as often as they are: what is asked of a
+    repeated text counts as repeated already, so that does not change a result."""
+    size = asked.agg(F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.size("runs")), F.lit(0)) * 40).first()[0]
+    return keyed.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "key")
+
+
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, spans in any order) with the spans sorted and joined where they touch."""
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        rows = []
+        for spans in batch.column(1):
+            done: list[dict] = []
+            for lo, end in sorted((s["lo"], s["end"]) for s in spans.as_py()):
+                if done and lo <= done[-1]["end"]:
+                    done[-1]["end"] = max(done[-1]["end"], end)
+                else:
+                    done.append({"lo": lo, "end": end})
+            rows.append(done)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["key", "spans"])
+
+
+def cut(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> Iterator[bytes]:
+    """What is left of each text without its spans."""
     for text, own in zip(texts, spans):
-        joined: list[list[int]] = []
-        for lo, end in own:
-            if joined and lo <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], end)
-            else:
-                joined.append([lo, end])
-        edges = [0, *(x for j in joined for x in j), len(text)]
-        yield [tuple(j) for j in joined], b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        edges = [0, *(x for span in own for x in span), len(text)]
+        yield b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
@@ -206,9 +253,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -
             texts, listed = text_bytes(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1).to_pylist()
             for lo, hi in blocks(texts):
                 some = texts[lo:hi]
-                done = list(cut(some, [[(s["lo"], s["end"]) for s in x or ()] for x in listed[lo:hi]]))
+                gone = [[(s["lo"], s["end"]) for s in x or ()] for x in listed[lo:hi]]
+                kept_bytes = list(cut(some, gone))
                 part = batch.slice(lo, hi - lo)
-                made = [pa.array([len(t) for t in some], pa.int64()), pa.array([len(t) - len(k) for t, (_, k) in zip(some, done)], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in j] for j, _ in done], interval), pa.array([k for _, k in done], pa.binary())]
+                made = [pa.array([len(t) for t in some], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(some, kept_bytes)], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], interval), pa.array(kept_bytes, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], *made], [*part.schema.names[:-2], *added.names])
 
     out = joined.select(*kept, "__t", "__spans").mapInArrow(work, schema)
