@@ -29,6 +29,10 @@ from pyspark.sql import types as T
 from .common import blocks, checkpointed, map_text, text_bytes, word_hashes, word_spans
 
 
+#: Labels (an id and a flag) are broadcast up to this many rows; beyond it the texts are shuffled to them.
+BROADCAST_LABELS = 1_000_000
+
+
 @dataclass
 class Model:
     hashes: np.ndarray
@@ -210,6 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from the documents that have a label and for which may_learn holds (all of them without it)."""
     rows = docs if may_learn is None else docs.where(may_learn)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) != 0).cast("long")).alias("toxic"))
+    known = checkpointed(known)
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     labelled = rows.select(F.col(id_col).alias("__id"), text.alias("text")).join(known, "__id").select("text", "toxic")
     model = learn_words(labelled, **how)
