@@ -185,7 +185,7 @@ def calibrate(model: Model, scored: DataFrame) -> Model:
     model.k = ((clean["c"] or 0) + 0.5) / max(1, clean["n"] or 0) * math.exp(min(50.0, model.lam * least))
     bins = scored.groupBy(_evidence(model).alias("e")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # 6001 rows at most
     x, t, n = (np.asarray([r[i] for r in bins], float) for i in range(3))
-    model.slope, model.offset = fit_logistic(np.minimum(x, 8.0), t, n)
+    model.slope, model.offset = fit_logistic(x, t, n)
     return model
 
 
@@ -206,7 +206,7 @@ def fit_logistic(x: np.ndarray, t: np.ndarray, n: np.ndarray, ridge: float = 1e-
 def probability(model: Model) -> Column:
     if not len(model.hashes):
         return F.lit(float(model.base))
-    z = model.slope * F.least(_evidence(model), F.lit(8.0)) + model.offset
+    z = model.slope * _evidence(model) + model.offset
     return 1 / (1 + F.exp(-z))
 
 
