@@ -32,6 +32,8 @@ PATTERNS = {
 #: What a text must contain to have a match at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(PATTERNS)
+#: The table of texts with spans is broadcast up to about this many bytes; beyond it the documents are shuffled to it.
+BROADCAST_BYTES = 48 << 20
 TERM = r"[\p{L}][\p{L}\p{N}]{2,}+"
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -149,8 +151,12 @@ def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 80, disclosur
     more = hits.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("more"))
     none = F.expr(f"cast(array() as {SPANS})")
     of_text = found.groupBy("key").agg(F.first("base").alias("b")).join(more, "key", "left").select(F.col("key").alias("__key"), F.col("b").alias("__base"), F.concat("b", F.coalesce("more", none)).alias("__spans"))
+    of_text = checkpointed(of_text)
+    size = of_text.agg(F.count(F.lit(1)) * 96 + F.coalesce(F.sum(F.size("__base") + F.size("__spans")), F.lit(0)) * 96).first()[0]
+    if size <= BROADCAST_BYTES:
+        of_text = F.broadcast(of_text)
     kept = [c for c in docs.columns if c.lower() not in ("base", "spans")]
-    return docs.select(*kept, _key(text_col).alias("__key")).join(checkpointed(of_text), "__key", "left").select(*kept, F.coalesce("__base", none).alias("base"), F.coalesce("__spans", none).alias("spans"))
+    return docs.select(*kept, _key(text_col).alias("__key")).join(of_text, "__key", "left").select(*kept, F.coalesce("__base", none).alias("base"), F.coalesce("__spans", none).alias("spans"))
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
