@@ -16,10 +16,24 @@ def temporal_split(rows: DataFrame, ts: str, train: float = 0.6, validation: flo
     return rows.withColumn("split", F.when(F.col(ts) < a, "TRAIN").when(F.col(ts) < b, "VALIDATION").otherwise("OOS"))
 
 
+def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: int = 256) -> DataFrame:
+    """rows, one for each distinct numeric order, with the sum of value over lesser orders.
+
+    Rows are dealt by approximate quantiles of order and summed within a bucket; the sums of the buckets before, `buckets` rows,
+    are broadcast. So no task sorts all rows, and the result is exact whatever the bounds are.
+    """
+    bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]))).first()[0] or []
+    x = rows.withColumn("__b", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b < F.col(order).cast("double"))))
+    w = Window.partitionBy(F.lit(1)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy("__b").agg(F.sum(value).alias("__t")).select("__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
+
+
 def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """n and auc from counts by distinct score: ties get the mean rank."""
     by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.select("p", "c", (F.col("p") * (below + (F.col("c") + 1) / 2)).alias("k"))
+    by = running_before(by.where(F.col(score).isNotNull()), score, "c", "below")
+    ranks = by.select("p", "c", (F.col("p") * (F.col("below") + (F.col("c") + 1) / 2)).alias("k"))
     p = F.sum("p")
     return ranks.agg(F.sum("c").alias("n"), F.round(F.try_divide(F.sum("k") - p * (p + 1) / 2, (p * (F.sum("c") - p)).cast("double")), 8).alias("auc"))

@@ -1 +1,4 @@
-"""Part of the opplens analytics engine."""
+"""The queries by theme; each module adds its own to registry.QUERIES and registry.ORACLE_SQL."""
+
+from . import registry  # noqa: F401, I001
+from . import ingest, scoring, series, summaries  # noqa: F401

@@ -27,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
