@@ -5,11 +5,11 @@ hash functions picks the `order` least labelled k-mers and keeps them in text or
 that share a value are candidates, and are linked if their edit similarity, 1 - distance / longer length in words, is at
 least `similarity`. The alignment walks diagonals outwards only as far as that similarity allows.
 
-Equal texts are one node from the start. A value's group never meets in one task and its pairs are never listed: in each round
-it gets a leader, and members of other classes are aligned with the leader alone. Members that no leader has yet covered get
-another leader in the next round, until all are covered or a round over all groups finds links in under MIN_YIELD of its pairs.
-A link between two members that no leader is like is still found by any other value the two share; what is lost is measured in
-the README. Classes are connected components.
+Equal texts are one node from the start. A value's group never meets in one task. First come rounds that only save work: a group
+gets a leader, and members of other classes are aligned with a leader alone. They end when links are under MIN_YIELD of the pairs.
+Then every pair of a group whose texts are still in different classes is looked at: groups are cut into blocks, each two blocks
+meet in one task, and the pairs are held against length and word histogram, which are bounds of the edit distance. All
+pairs that these leave are aligned, so no link between candidates is lost. Classes are connected components.
 
 Texts without words are only like equal texts; texts of fewer than k words are one k-mer. Null is empty. Rows with equal
 texts are of one class; a class is named by its least id, nulls aside.
@@ -29,8 +29,12 @@ from .common import blocks, stored, map_text, mix, text_bytes, window_hashes, wo
 
 #: Key tables up to this many rows are broadcast, beyond it the texts are shuffled.
 BROADCAST_KEYS = 400_000
-#: The rounds end with one in which this share of the aligned pairs or fewer were links.
-MIN_YIELD = 0.01
+#: The rounds with leaders end with one in which fewer than this share of the aligned pairs were links; the rest goes by blocks.
+MIN_YIELD = 0.5
+#: Members of a group that are one block, about.
+BLOCK = 512
+#: Buckets of a word histogram, and pairs that are held against each other in one step.
+BUCKETS, STEP = 256, 50_000
 #: Low bits that hold a k-mer's place in its text.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -156,6 +160,95 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its number of words and how many of them fall into each bucket, 255 at most."""
+    buf, starts, ends, _, first = word_spans(texts)
+    n = np.diff(first)
+    at = np.repeat(np.arange(len(texts)), n) * BUCKETS + (word_hashes(buf, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+    return n, np.minimum(counts, 255).astype(np.uint8)
+
+
+def may_be_like(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (i, j) can have an edit similarity of least: an edit adds one word to a histogram and takes one from it at most."""
+    most = (np.maximum(n[i], n[j]) * (1 - least) + 1e-9).astype(np.int64)
+    ok = np.flatnonzero(np.abs(n[i] - n[j]) <= most)
+    off = words[i[ok]].astype(np.int16) - words[j[ok]]
+    up = np.maximum(off, 0).sum(1)
+    out = np.zeros(len(i), bool)
+    out[ok] = np.maximum(up, up - off.sum(1)) <= most[ok]
+    return out
+
+
+def _pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All i < j of rows of one run, for runs of the given sizes one after the other, in steps."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    i = np.arange(len(ends))
+    more = ends - i - 1
+    upto = np.cumsum(more)
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP, side="right")))
+        first = np.repeat(i[lo:hi], more[lo:hi])
+        begin = np.cumsum(more[lo:hi]) - more[lo:hi]
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(begin, more[lo:hi])
+        lo = hi
+
+
+def _apart(members: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of a group that is in two classes and can be alike by length and histogram."""
+    groups = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    side = F.broadcast(groups) if groups.count() <= BROADCAST_KEYS else groups
+    mixed = stored(members.join(side, "h").select("h", "key", "root", "blocks"))
+    wanted = mixed.select("key").distinct()
+    few = wanted.count() <= BROADCAST_KEYS
+
+    def count(texts: list[bytes]) -> list[pa.Array]:
+        n, words = histograms(texts)
+        return [pa.array(n, pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())]
+
+    added = T.StructType([T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType())])
+    texts = keyed.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+    counted = stored(map_text(texts, "text", added, count, ["key"]).dropDuplicates(["key"]))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = mixed.join(counted, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", F.xxhash64("root").alias("r"), "key", "n", "words")
+    # a pair of blocks is a run of equal g; "one" tells whether the run is a single block, whose members all meet
+    rows = rows.repartition("g").sortWithinPartitions("g")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            g, one, block, r, n = (table.column(c).to_numpy() for c in ("g", "one", "block", "r", "n"))
+            words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            key = table.column("key").combine_chunks()
+            sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)))
+            for i, j in _pairs_of(sizes):
+                apart = (r[i] != r[j]) & (one[i] | (block[i] != block[j]))
+                i, j = i[apart], j[apart]
+                like = may_be_like(n, words, i, j, least)
+                i, j = i[like], j[like]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(i)), key.take(pa.array(j))], ["a", "b"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            g = table.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last run can go on in the next batch
+            if cut:
+                yield from pairs(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from pairs(rest)
+
+    met = rows.mapInArrow(meet, "a binary, b binary")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 4, text_col: str = "text") -> DataFrame:
     """(key, root, links) of the texts that have links; key is the MD5 of the text, root names the class."""
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -185,17 +278,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = stored(_aligned(_with_texts(pairs, keyed), similarity))
         aligned, new = pairs.count(), found.count()
-        if not new:
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        now = members.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        led = leaders.select("h", F.col("a").alias("key")).join(roots, "key", "left").select("h", F.coalesce("root", "key").alias("led"))
-        members = stored(now.join(led, "h").select("h", "key", "root", (F.col("covered") | (F.col("root") == F.col("led"))).alias("covered")))
+        if new:
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+            now = members.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            led = leaders.select("h", F.col("a").alias("key")).join(roots, "key", "left").select("h", F.coalesce("root", "key").alias("led"))
+            members = stored(now.join(led, "h", "left").select("h", "key", "root", (F.col("covered") | F.coalesce(F.col("root") == F.col("led"), F.lit(False))).alias("covered")))
         turn += 1
-        if new < MIN_YIELD * aligned:
+        if new < MIN_YIELD * aligned or not aligned:
             break
+    # no pair of different classes is left out: neither the rounds' end nor a leader met by some members only loses a link
+    pairs = stored(_apart(members, keyed, similarity).join(tried, ["a", "b"], "left_anti"))
+    found = stored(_aligned(_with_texts(pairs, keyed), similarity))
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
     if links is None:
         return docs.sparkSession.createDataFrame([], "key binary, root binary, links long")
     ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("links"))

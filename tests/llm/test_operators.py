@@ -208,6 +208,51 @@ def test_near_duplicates(spark, docs):
     assert near.classify(docs.limit(0)).count() == 0
 
 
+def brute_classes(texts, least=0.8):
+    """The least number of the class of each text, by aligning all pairs."""
+    ids = {}
+    each = [np.asarray([ids.setdefault(w, len(ids)) for w in words(t)], np.uint64) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.similarity_of(each[i], each[j], least) is not None:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_pairs_beside_many_false_candidates(spark):
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    common, texts = own(90), []
+    for _ in range(300):  # all share two thirds, which makes them candidates; 45 words in 135 differ, so none are alike
+        texts.append(" ".join(common + own(45)))
+    for k in range(3):  # few pairs that are alike
+        texts.append(" ".join(texts[k].split()[:-4] + own(4)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i - 300 if i >= 300 else i for i in range(303)}
+    assert {r.doc_id: r.class_id for r in near.classify(df).collect()} == want
+
+
+def test_near_members_of_two_families(spark):
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    boilerplate, texts = own(40), []
+    for _ in range(8):  # each text is like the one before and after it only, so it belongs to the families of both
+        t = boilerplate + own(160)
+        for step in range(6):
+            t = t[: 40 + 26 * step] + own(26) + t[66 + 26 * step :]
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near.classify(df).collect()} == brute_classes(texts)
+
+
 def test_edit_distance():
     rng = np.random.default_rng(3)
     for _ in range(200):
