@@ -6,9 +6,10 @@ Luhn sum, phones of other than 9 to 15 digits) are dropped without a retry.
 
 What else tells of an entity is estimated from the whole corpus: a term t within `reach` characters of a mention of e
 discloses e if PMI(t; e) = ln(N n(t,e) / (n(t) n(e))) is at least `disclosure` times the information content
-IC(e) = ln(N / n(e)), where N and n(t) count documents, n(e) mentions and n(t,e) mentions with t near. At least `min_contexts` different
-surroundings must show the pair, so copies of one document prove nothing. Disclosing terms near their entity become spans of
-kind `term`. Counts cover all documents; nothing is capped.
+IC(e) = ln(N / n(e)). All of these count distinct texts, so copies of one prove nothing: N and n(t) all texts, n(e) those that mention
+e and n(t,e) those with t near a mention. No number of mentions is asked for: an entity in one text is told by terms that hardly
+any other text has. Every occurrence of a disclosing term in a text that mentions its entity becomes a span of kind `term`. Nothing
+is capped.
 
 Spans depend on the text and the corpus statistics alone, so they are found once for each text (by its SHA-256) and joined
 back. A null text is empty; empty texts have no spans; equal texts get equal spans; repeated rows all stay.
@@ -121,34 +122,53 @@ def _key(text_col: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, min_contexts: int = 3) -> DataFrame:
-    """(entity, term): the terms that reveal an entity, from co-occurrence counts over all documents."""
-    shown = mentions.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    seen = shown.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te")).where(F.col("contexts") >= min_contexts)
-    pairs = checkpointed(pairs)
+def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str = "text", disclosure: float = 0.9) -> DataFrame:
+    """(entity, term): the terms that reveal an entity, from co-occurrence counts over all distinct texts."""
+    shown = mentions.select("key", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).distinct()
+    pairs = checkpointed(shown.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")))
     if pairs.isEmpty():
         return pairs.select("entity", "term")
-    n_e = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n_e = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # a text of c copies counts 1 / c in each, which the sum takes back to whole numbers
+    copies = checkpointed(docs.select(_key(text_col).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")))
+    total, several = copies.count(), copies.where("c > 1")
+    if several.count() * 96 <= BROADCAST_BYTES:
+        several = F.broadcast(several)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
     terms = pairs.select("term").distinct()
-    n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
-    total = docs.count()
+    weighed = docs.select(_key(text_col).alias("key"), words.alias("words")).join(several, "key", "left")
+    n_t = weighed.select(F.explode("words").alias("term"), (1 / F.coalesce("c", F.lit(1))).alias("part")).groupBy("term").agg(F.round(F.sum("part")).alias("n_t")).join(terms, "term")
     scored = pairs.join(n_e, "entity").join(n_t, "term")
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     return scored.where((pmi >= disclosure * F.log(F.lit(float(total)) / F.col("n_e"))) & (pmi > 0)).select("entity", "term")
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 80, disclosure: float = 0.9, min_contexts: int = 3) -> DataFrame:
-    """docs with base (the entities' spans) and spans (those and the disclosing terms near them)."""
+def _occurrences(text: Column, told: Column, base: Column) -> Column:
+    """The spans of all whole words of a text that are in told and outside the base spans."""
+    matches, pieces = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+
+    def step(a: Column, x: Column) -> Column:
+        start, end, word = a["at"] + F.length(x["p"]), a["at"] + F.length(x["p"]) + F.length(x["m"]), F.lower(x["m"])
+        span = F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), word.alias("value")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(told, word), F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
+    found = F.aggregate(F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p")), empty, step)["out"]
+    return F.filter(found, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+
+
+def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 80, disclosure: float = 0.9) -> DataFrame:
+    """docs with base (the entities' spans) and spans (those and all disclosing terms of these entities in the text)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = find_entities(docs.select(text.alias("t"), _key(text_col).alias("key")), "t")
     found = checkpointed(found.select("key", "base", _mentions(F.col("t"), reach).alias("mentions"))).where("size(base) > 0")
     mentions = found.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
-    told = disclosing_terms(mentions, docs, text_col, disclosure, min_contexts)
-    exploded = mentions.select("key", "entity", F.explode("terms").alias("t")).select("key", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    hits = exploded.join(told, ["entity", "term"]).select("key", F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")).alias("s")).distinct()
-    more = hits.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("more"))
+    told = disclosing_terms(mentions, docs, text_col, disclosure)
+    by_text = mentions.select("key", "entity").distinct().join(told, "entity").groupBy("key").agg(F.collect_set("term").alias("told"))
+    by_text = checkpointed(by_text.join(found.groupBy("key").agg(F.first("base").alias("base")), "key"))
+    size = by_text.agg(F.coalesce(F.sum(F.size("told") + F.size("base")), F.lit(0)) * 96).first()[0]
+    held = docs.select(_key(text_col).alias("key"), text.alias("t")).join(F.broadcast(by_text) if size <= BROADCAST_BYTES else by_text, "key")
+    more = held.select("key", F.array_sort(_occurrences(F.col("t"), F.col("told"), F.col("base"))).alias("more")).groupBy("key").agg(F.first("more").alias("more"))
     none = F.expr(f"cast(array() as {SPANS})")
     of_text = found.groupBy("key").agg(F.first("base").alias("b")).join(more, "key", "left").select(F.col("key").alias("__key"), F.col("b").alias("__base"), F.concat("b", F.coalesce("more", none)).alias("__spans"))
     of_text = checkpointed(of_text)

@@ -79,6 +79,15 @@ def test_pii(spark, docs):
     assert "[TERM]" in by[0].text and "secret@" not in by[0].text and "Zorro" not in by[0].text and by[10].text == "red blue green grey writes about to"
 
 
+def test_pii_single_mention(spark):
+    far = "common words follow here " * 10
+    rows = [(0, f"Zebulon writes to once@corp.example about common things. {far}and Zebulon again"), (0, "copy")] + [(i, far + "writes about common things") for i in range(1, 60)]
+    rows += [rows[0]] * 3  # copies do not make the term a common one
+    got = {r.text for r in pii.redact(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id = 0").collect()}
+    one = next(t for t in got if t != "copy")
+    assert "Zebulon" not in one and "once@" not in one and one.endswith("and [TERM] again") and "common things" in one
+
+
 def test_tokens(docs):
     from tokenizers import Tokenizer
 
