@@ -142,11 +142,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again.
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again, for narrow tables in at most so many files.
 
     Smaller than a checkpoint for many rows; and its size is known, while a checkpoint keeps the planner's estimate, which loops
     of joins multiply into numbers of millions of digits."""
     folder = f"{shared_folder(df.sparkSession)}/opplens-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    (df.coalesce(files) if files else df).write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

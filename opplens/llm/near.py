@@ -5,14 +5,20 @@ hash functions picks the `order` least labelled k-mers and keeps them in text or
 that share a value are candidates, and are linked if their edit similarity, 1 - distance / longer length in words, is at
 least `similarity`. The alignment walks diagonals outwards only as far as that similarity allows.
 
-Equal texts are one node from the start. A value's group never meets in one task. First come rounds that only save work: a group
-gets a leader, and members of other classes are aligned with a leader alone. They end when links are under MIN_YIELD of the pairs.
-Then every pair of a group whose texts are still in different classes is looked at: groups are cut into blocks, each two blocks
-meet in one task, and the pairs are held against length and word histogram, which are bounds of the edit distance. All
-pairs that these leave are aligned, so no link between candidates is lost. Classes are connected components.
+Equal texts are one node from the start, and classes are connected components. A value's group never meets in one task:
+
+1. Every member is aligned with one leader, the least key of its groups. That joins nearly all of a group of copies.
+2. In the groups that still hold several classes every pair of members of different classes is looked at: groups are cut into
+   blocks, each two blocks meet in one task, and pairs are held against length and word histogram, which bound the edit
+   distance. Pairs of one class are never made.
+3. Of the pairs that are left each class aligns its nearest one, then each two classes that are still apart theirs, then all
+   pairs of classes that are still apart are aligned.
+
+So no pair of candidates is left out that could join two classes; what can be missed are pairs that share no sketch value at all.
 
 Texts without words are only like equal texts; texts of fewer than k words are one k-mer. Null is empty. Rows with equal
-texts are of one class; a class is named by its least id, nulls aside.
+texts are of one class; a class is named by its least id, nulls aside. An empty table gives no rows. Input columns keep their
+names, whatever they are: columns made here are only read from tables made here.
 """
 
 from __future__ import annotations
@@ -25,16 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, stored, map_text, mix, text_bytes, window_hashes, word_hashes, word_spans
+from .common import blocks, map_text, mix, stored, window_hashes, word_hashes, word_spans
 
 #: Key tables up to this many rows are broadcast, beyond it the texts are shuffled.
 BROADCAST_KEYS = 400_000
-#: The rounds with leaders end with one in which fewer than this share of the aligned pairs were links; the rest goes by blocks.
-MIN_YIELD = 0.5
 #: Members of a group that are one block, about.
-BLOCK = 512
-#: Buckets of a word histogram, and pairs that are held against each other in one step.
-BUCKETS, STEP = 256, 50_000
+BLOCK = 1024
+#: Loops over keys are written in at most so many files; more tasks would only add overhead to tables that small.
+FILES = 64
+#: Texts on each side of a tile of pairs that are aligned, about.
+TILE = 128
+#: Buckets of a word histogram, how many of them are first taken together, and pairs that are held against each other in one step.
+BUCKETS, TOGETHER, STEP = 1024, 8, 50_000
 #: Low bits that hold a k-mer's place in its text.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -98,15 +106,15 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The edit distance of two arrays of word hashes, or None if it is above most.
 
-    Furthest-reaching points on the diagonals of the band: after d edits each diagonal keeps how far it got, so a text is walked
-    once along each diagonal that is reached.
+    Furthest-reaching points on the diagonals up to NARROW edits: a text is walked once along each diagonal that is reached.
+    Texts that differ more are aligned in the whole band.
     """
     if abs(len(a) - len(b)) > most or _shared(a, b) < max(len(a), len(b)) - GRAM + 1 - GRAM * most:
         return None
     x, y = a.tolist(), b.tolist()
     n, m = len(x), len(y)
     reach: dict[int, int] = {}
-    for d in range(most + 1):
+    for d in range(min(most, NARROW) + 1):
         now: dict[int, int] = {}
         for k in range(max(-d, -n), min(d, m) + 1):
             i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1, -k if d else 0)
@@ -117,24 +125,92 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
                 return d
             now[k] = i
         reach = now
-    return None
+    return band_distance(x, y, most) if most > NARROW else None
 
 
-def _aligned(pairs: DataFrame, least: float) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = list(zip(text_bytes(batch.column(2)), text_bytes(batch.column(3))))
-            like: list[float | None] = []
-            for lo, hi in blocks([s + t for s, t in both]):
-                flat = [t for pair in both[lo:hi] for t in pair]
-                buf, starts, ends, _, first = word_spans(flat)
-                words = word_hashes(buf, starts, ends)
-                each = [words[first[i] : first[i + 1]] for i in range(len(flat))]
-                like += [similarity_of(a, b, least) for a, b in zip(each[::2], each[1::2])]
-            found = pa.array(like, pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["a", "b", "similarity"]).filter(found.is_valid())
+#: Edits up to which diagonals are followed one by one.
+NARROW = 10
+
+
+def band_distance(x: list[int], y: list[int], most: int) -> int | None:
+    """The edit distance of x and y, or None above most: a band of `most` diagonals to each side, a column at a time.
+
+    A column's vertical steps in the band are the bits of two integers, up and down; bit t of column j is row j - most + t. So a
+    column takes a few operations on integers of 2 * most + 1 bits. The distance is followed along the diagonal that ends in the
+    last cell, on which it never falls.
+    """
+    n, m = len(x), len(y)
+    if abs(n - m) > most:
+        return None
+    places: dict[int, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << 2 * most + 1) - 1
+    up, down = whole & ~((1 << most) - 1), 0  # rows up to 0 have no steps, the first column's others go up
+    track = 1 << most + n - m
+    edits = abs(n - m)
+    for j in range(1, m + 1):
+        at = places.get(y[j - 1], 0)
+        at = (at << most + 1 - j if j <= most + 1 else at >> j - most - 1) & whole
+        level = (((at & up) + up) ^ up | at | down) & whole  # cells that cost no more than the one before on their diagonal
+        right, left = (down | ~(level | up)) & whole, level & up
+        if j > m - n and not level & track:
+            edits += 1
+            if edits > most:
+                return None
+        level >>= 1
+        up, down = (left | ~(level | right)) & whole, level & right
+    return edits
+
+
+def _aligned(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, g) whose texts have an edit similarity of least.
+
+    The pairs of a group g are tiled by hashes of a and b, and a text goes once to each tile that needs it, not once to each
+    pair: a tile has about TILE texts on each side, however many pairs a text or a group has.
+    """
+    tiles = pairs.groupBy("g").agg(F.ceil(F.approx_count_distinct("a") / TILE).alias("na"), F.ceil(F.approx_count_distinct("b") / TILE).alias("nb"))
+    tiles = stored(tiles, FILES)
+    tiled = pairs.join(F.broadcast(tiles) if tiles.count() <= BROADCAST_KEYS else tiles, "g")
+    tiled = stored(tiled.select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "na"), F.pmod(F.xxhash64("b"), "nb")).alias("u"), "a", "b"), FILES)
+    needed = stored(tiled.select("u", F.explode(F.array("a", "b")).alias("key")).distinct(), FILES)
+    wanted = needed.select("key").distinct()
+    texts = keyed.join(F.broadcast(wanted) if needed.count() <= BROADCAST_KEYS else wanted, "key", "left_semi").dropDuplicates(["key"])
+    rows = needed.join(texts, "key").select("u", F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
+    rows = rows.unionByName(tiled.withColumn("text", F.lit(None).cast("string"))).repartition("u").sortWithinPartitions("u")
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a binary, b binary, similarity double")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in whole_runs(batches, "u"):
+            keys, others, texts = tile.column("a").to_pylist(), tile.column("b").to_pylist(), tile.column("text").to_pylist()
+            own = [i for i, b in enumerate(others) if b is None]
+            words: dict[bytes, np.ndarray] = {}
+            for lo, hi in blocks([(texts[i] or "").encode() for i in own]):
+                buf, starts, ends, _, first = word_spans([(texts[i] or "").encode() for i in own[lo:hi]])
+                hashes = word_hashes(buf, starts, ends)
+                words |= {keys[i]: hashes[first[k] : first[k + 1]] for k, i in enumerate(own[lo:hi])}
+            found = [(a, b) for a, b in zip(keys, others) if b is not None and similarity_of(words[a], words[b], least) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+    return rows.mapInArrow(work, "a binary, b binary")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each value of a sorted column, whatever the batches are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        edges = np.flatnonzero(values[1:] != values[:-1]) + 1
+        if held and len(values) and values[0] != held[-1].column(column)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(values)]):
+            if held and lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray, least: float) -> float | None:
@@ -145,16 +221,26 @@ def similarity_of(a: np.ndarray, b: np.ndarray, least: float) -> float | None:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) to (key, root): the least key of each connected component. Labels spread to neighbours and then jump to the
-    label's own label, so the rounds grow with the logarithm of the longest path; each is cut off from the last."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root"))
-    labels = stored(labels)
+    """(a, b) to (key, root): the least key of each connected component.
+
+    A step offers every key the labels of its neighbours, every label those of its keys' neighbours and every key the label of
+    its label, and keeps the least, by one aggregation. The steps grow with the logarithm of the longest path; each is cut off
+    from the last. Labels are broadcast up to BROADCAST_KEYS rows and joined by shuffling beyond.
+    """
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), FILES)
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), FILES)
+    small = labels.count() <= BROADCAST_KEYS
     while True:
-        near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("root").alias("m"))
-        spread = labels.join(near, labels["key"] == near["a"]).select("key", "root", F.least("root", "m").alias("low"))
-        jump = labels.select(F.col("key").alias("low"), F.col("root").alias("far"))
-        moved = stored(spread.join(jump, "low").select("key", F.col("root").alias("old"), F.least("low", "far").alias("root")))
+        def of(key: str, root: str) -> DataFrame:
+            named = labels.select(F.col("key").alias(key), F.col("root").alias(root))
+            return F.broadcast(named) if small else named
+
+        met = both.join(of("a", "ra"), "a").join(of("b", "rb"), "b")
+        own = labels.join(of("root", "far"), "root")
+        offers = met.select(F.col("a").alias("key"), F.col("rb").alias("root"), F.lit(None).cast("binary").alias("old"))
+        offers = offers.unionByName(met.where("rb < ra").select(F.col("ra").alias("key"), F.col("rb").alias("root"), F.lit(None).cast("binary").alias("old")))
+        offers = offers.unionByName(own.select("key", F.col("far").alias("root"), F.col("root").alias("old")))
+        moved = stored(offers.groupBy("key").agg(F.min("root").alias("root"), F.max("old").alias("old")), FILES)
         labels = moved.select("key", "root")
         if moved.where("root != old").isEmpty():
             return labels
@@ -169,39 +255,44 @@ def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return n, np.minimum(counts, 255).astype(np.uint8)
 
 
-def may_be_like(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs (i, j) can have an edit similarity of least: an edit adds one word to a histogram and takes one from it at most."""
+def least_edits(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places in i and j of the pairs that can have an edit similarity of least, how many edits they have at least): an edit
+    adds one word to a histogram and takes one from it at most. Coarse histograms are looked at first."""
     most = (np.maximum(n[i], n[j]) * (1 - least) + 1e-9).astype(np.int64)
     ok = np.flatnonzero(np.abs(n[i] - n[j]) <= most)
-    off = words[i[ok]].astype(np.int16) - words[j[ok]]
-    up = np.maximum(off, 0).sum(1)
-    out = np.zeros(len(i), bool)
-    out[ok] = np.maximum(up, up - off.sum(1)) <= most[ok]
-    return out
-
-
-def _pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All i < j of rows of one run, for runs of the given sizes one after the other, in steps."""
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    i = np.arange(len(ends))
-    more = ends - i - 1
+    edits = np.zeros(len(ok), np.int64)
+    for of in (words.reshape(len(words), -1, TOGETHER).sum(2, dtype=np.int16), words):
+        off = of[i[ok]].astype(np.int16) - of[j[ok]]
+        up = np.maximum(off, 0).sum(1)
+        edits = np.maximum(up, up - off.sum(1))
+        like = edits <= most[ok]
+        ok, edits = ok[like], edits[like]
+    return ok, edits
+
+
+def _pairs_of(kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All i < j of different kinds, for rows sorted by kind, in steps."""
+    n = len(kind)
+    after = np.searchsorted(kind, kind, side="right")
+    more = n - after
     upto = np.cumsum(more)
     lo = 0
-    while lo < len(i):
+    while lo < n:
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP, side="right")))
-        first = np.repeat(i[lo:hi], more[lo:hi])
+        first = np.repeat(np.arange(lo, hi), more[lo:hi])
         begin = np.cumsum(more[lo:hi]) - more[lo:hi]
-        yield first, first + 1 + np.arange(len(first)) - np.repeat(begin, more[lo:hi])
+        yield first, np.repeat(after[lo:hi], more[lo:hi]) + np.arange(len(first)) - np.repeat(begin, more[lo:hi])
         lo = hi
 
 
-def _apart(members: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
-    """(a, b): every pair of a group that is in two classes and can be alike by length and histogram."""
-    groups = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+def _apart(members: DataFrame, roots: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb, edits, g): every pair of a group that is in two classes and can be alike by length and histogram."""
+    rooted = with_roots(members.select("h", "key"), roots)
+    groups = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), FILES)
     side = F.broadcast(groups) if groups.count() <= BROADCAST_KEYS else groups
-    mixed = stored(members.join(side, "h").select("h", "key", "root", "blocks"))
-    wanted = mixed.select("key").distinct()
+    mixed = stored(rooted.join(side, "h").select("h", "key", "root", "blocks"))
+    wanted = stored(mixed.select("key").distinct(), FILES)
     few = wanted.count() <= BROADCAST_KEYS
 
     def count(texts: list[bytes]) -> list[pa.Array]:
@@ -210,138 +301,112 @@ def _apart(members: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
 
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType())])
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    counted = stored(map_text(texts, "text", added, count, ["key"]).dropDuplicates(["key"]))
+    counted = map_text(texts, "text", added, count, ["key"]).dropDuplicates(["key"])
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = mixed.join(counted, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", F.xxhash64("root").alias("r"), "key", "n", "words")
-    # a pair of blocks is a run of equal g; "one" tells whether the run is a single block, whose members all meet
-    rows = rows.repartition("g").sortWithinPartitions("g")
+    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", F.xxhash64("root").alias("r"), "root", "key", "n", "words")
+    # two blocks are a run of equal g; "one" tells whether the run is a single block, whose members all meet
+    rows = rows.repartition("g").sortWithinPartitions("g", "r")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            g, one, block, r, n = (table.column(c).to_numpy() for c in ("g", "one", "block", "r", "n"))
+        for table in whole_runs(batches, "g"):
+            one, block, r, n = (table.column(c).to_numpy() for c in ("one", "block", "r", "n"))
             words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            key = table.column("key").combine_chunks()
-            sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)))
-            for i, j in _pairs_of(sizes):
-                apart = (r[i] != r[j]) & (one[i] | (block[i] != block[j]))
-                i, j = i[apart], j[apart]
-                like = may_be_like(n, words, i, j, least)
-                i, j = i[like], j[like]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([key.take(pa.array(i)), key.take(pa.array(j))], ["a", "b"])
-
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            g = table.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1]))  # the last run can go on in the next batch
-            if cut:
-                yield from pairs(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from pairs(rest)
-
-    met = rows.mapInArrow(meet, "a binary, b binary")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 4, text_col: str = "text") -> DataFrame:
-    """(key, root, links) of the texts that have links; key is the MD5 of the text, root names the class."""
-    added = T.StructType([T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+            key, root = table.column("key").combine_chunks(), table.column("root").combine_chunks()
+            for i, j in _pairs_of(r):
+                meet_here = one[i] | (block[i] != block[j])
+                i, j = i[meet_here], j[meet_here]
+                like, edits = least_edits(n, words, i, j, least)
+                if len(like):
+                    i, j = pa.array(i[like]), pa.array(j[like])
+                    group = pa.array(np.full(len(like), table.column("g")[0].as_py()))
+                    yield pa.RecordBatch.from_arrays([key.take(i), key.take(j), root.take(i), root.take(j), pa.array(edits, pa.int64()), group], ["a", "b", "ra", "rb", "edits", "g"])
+
+    met = rows.mapInArrow(meet, "a binary, b binary, ra binary, rb binary, edits long, g long")
+    swap = F.col("ra") > F.col("rb")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ra", "rb"), ("rb", "ra"))]
+    return met.select(*ends, "edits", "g").groupBy("a", "b", "ra", "rb", "edits").agg(F.min("g").alias("g"))
+
+
+def with_roots(rows: DataFrame, roots: DataFrame | None, key: str = "key", root: str = "root") -> DataFrame:
+    """rows with the root of their key, which is the key itself where roots does not have it."""
+    if roots is None:
+        return rows.withColumn(root, F.col(key))
+    side = roots.select(F.col("key").alias(key), F.col("root").alias("__root"))
+    side = F.broadcast(side) if roots.count() <= BROADCAST_KEYS else side
+    return rows.join(side, key, "left").select(*rows.columns, F.coalesce("__root", F.col(key)).alias(root))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 3, text_col: str = "text") -> DataFrame:
+    """(key, root) of the texts that are linked to others; key is the MD5 of the text, root names the class."""
+    added = T.StructType([T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def work(texts: list[bytes]) -> list[pa.Array]:
-        n, values = order_min_hash(texts, k, sketches, order)
+        _, values = order_min_hash(texts, k, sketches, order)
         flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        return [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
     keyed = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketched = map_text(keyed, "text", added, work, ["key"]).dropDuplicates(["key"])
-    rows = sketched.select("key", "n", F.posexplode("sketch").alias("s", "h"))
-    # a pair can only be alike if neither has fewer than `similarity` of the other's words: equal or neighbouring size classes
-    size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity)) + 1e-9)
-    rows = rows.select("key", "s", "h", F.explode(F.array(size, size + 1)).alias("size")).select("key", F.xxhash64("s", "h", "size").alias("h"))
-    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    members = stored(rows.join(groups, "h").withColumn("root", F.col("key")).withColumn("covered", F.lit(False)))
-    links, roots, tried, turn = None, None, None, 0
-    while True:
-        open_ = members.where("not covered")
-        leaders = open_.groupBy("h").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("l")).select("h", F.col("l.key").alias("a"), F.col("l.root").alias("ra"))
-        leaders = stored(leaders)
-        # of the leaders of its groups a member meets one in a round, the same one in all groups that it shares with its like
-        met = members.join(leaders, "h").where("root != ra").groupBy("key").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a"))
-        pairs = met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = stored(_aligned(_with_texts(pairs, keyed), similarity))
-        aligned, new = pairs.count(), found.count()
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if new:
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
-            now = members.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            led = leaders.select("h", F.col("a").alias("key")).join(roots, "key", "left").select("h", F.coalesce("root", "key").alias("led"))
-            members = stored(now.join(led, "h", "left").select("h", "key", "root", (F.col("covered") | F.coalesce(F.col("root") == F.col("led"), F.lit(False))).alias("covered")))
-        turn += 1
-        if new < MIN_YIELD * aligned or not aligned:
+    sketched = stored(map_text(keyed, "text", added, work, ["key"]).dropDuplicates(["key"]))
+    rows = sketched.select("key", F.explode("sketch").alias("h"))
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lead")).where("c > 1").select("h", "lead")
+    members = stored(rows.join(groups, "h"))
+    led = stored(members.where("key != lead").groupBy("key").agg(F.min("lead").alias("a")).select("a", F.col("key").alias("b")))
+    links = stored(_aligned(led.withColumn("g", F.xxhash64("a")), keyed, similarity), FILES)
+    roots = None if links.isEmpty() else components(links)
+    open_ = stored(_apart(members, roots, keyed, similarity))
+    tried = led.unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for step in range(3):
+        now = with_roots(with_roots(open_.drop("ra", "rb"), roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
+        open_ = stored(now.join(tried, ["a", "b"], "left_anti"))
+        if open_.isEmpty():
             break
-    # no pair of different classes is left out: neither the rounds' end nor a leader met by some members only loses a link
-    pairs = stored(_apart(members, keyed, similarity).join(tried, ["a", "b"], "left_anti"))
-    found = stored(_aligned(_with_texts(pairs, keyed), similarity))
-    if not found.isEmpty():
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "key binary, root binary, links long")
-    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
-    return roots.join(ends, "key")
+        pick = F.min(F.struct("edits", "a", "b", "g")).alias("p")
+        if step == 0:  # each class its nearest other one
+            sides = open_.select("*", F.explode(F.array("ra", "rb")).alias("r"))
+            chosen = sides.groupBy("r").agg(pick).select("p.a", "p.b", "p.g").distinct()
+        elif step == 1:  # each two classes their nearest pair
+            low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
+            chosen = open_.groupBy(low.alias("low"), high.alias("high")).agg(pick).select("p.a", "p.b", "p.g")
+        else:
+            chosen = open_.select("a", "b", "g")
+        tried = stored(chosen)
+        found = stored(_aligned(tried, keyed, similarity), FILES)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+        tried = tried.select("a", "b")
+    return roots if roots is not None else docs.sparkSession.createDataFrame([], "key binary, root binary")
 
 
 def text_key(text_col: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
-def _with_texts(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    small = pairs.count() * 2 <= BROADCAST_KEYS
-    texts = keyed.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").dropDuplicates(["key"])
-    first = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return first.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-
-
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, class_id, class_size, links, exact): a row for each document; class_id is the least id of the class."""
-    near = stored(near_duplicates(docs, text_col=text_col, **how))
-    ids = docs.select(id_col, text_key(text_col).alias("key")).join(near, "key", "left")
-    ids = ids.select(F.col(id_col).alias("__id"), F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    ids = stored(ids)
-    classes = ids.groupBy("root").agg(F.min("__id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return ids.join(classes, "root").select(F.col("__id").alias(id_col), "class_id", "class_size", "links")
+    """(id, class_id, class_size): a row for each document; class_id is the least id of the class."""
+    roots = near_duplicates(docs, text_col=text_col, **how)
+    ids = stored(with_roots(docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key")), roots).select("id", "root"))
+    classes = ids.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return ids.join(classes, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each class: one with the least id."""
-    near = stored(near_duplicates(docs, text_col=text_col, **how))
-    ids = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key")).join(near.withColumnRenamed("key", "__key"), "__key", "left")
-    ids = ids.select("__id", "__key", F.coalesce("root", "__key").alias("root"))
-    # rows of one id and text cannot be told apart: their number is needed to keep one of them
-    counted = ids.groupBy("root", "__id", "__key").agg(F.count(F.lit(1)).alias("rows"))
+    """docs with one row of each class: one with the least id, nulls last; of rows equal in id and text any."""
+    roots = near_duplicates(docs, text_col=text_col, **how)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("key"))
+    counted = with_roots(rows.select("id", "key"), roots).groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("rows"))
     counted = stored(counted)
-    kept = counted.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key", "rows")).alias("k"), F.sum("rows").alias("size"))
-    kept = stored(kept.select("root", "k.__id", "k.__key", "k.rows", "size"))
-    lost = counted.join(kept.where("size > 1").select("root", F.col("__id").alias("keep_id"), F.col("__key").alias("keep_key")), "root")
-    lost = stored(lost.where(~(F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")))).select("__id", "__key"))
-    again = stored(kept.where("rows > 1").select("__id", "__key"))
-    small = lost.count() <= BROADCAST_KEYS
-    rows = docs.withColumn("__id", F.col(id_col)).withColumn("__key", text_key(text_col))
-    side = (F.broadcast(lost) if small else lost).alias("l")
-    same = F.col("d.__id").eqNullSafe(F.col("l.__id")) & (F.col("d.__key") == F.col("l.__key"))
-    rest = rows.alias("d").join(side, same, "left_anti")
+    kept = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "rows")).alias("k"), F.sum("rows").alias("size"))
+    kept = stored(kept.select("root", "k.id", "k.key", "k.rows", "size"))
+    lost = counted.join(kept.where("size > rows").select("root", F.col("id").alias("keep_id"), F.col("key").alias("keep_key")), "root")
+    lost = stored(lost.where(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")))).select("id", "key"))
+    again = stored(kept.where("rows > 1").select("id", "key"))
+    same = F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))
+    side = lambda df: (F.broadcast(df) if df.count() <= BROADCAST_KEYS else df).alias("l")
+    rest = rows.alias("d").join(side(lost), same, "left_anti")
     if not again.isEmpty():
-        repeated = F.broadcast(again).alias("l") if again.count() <= BROADCAST_KEYS else again.alias("l")
-        one = rest.alias("d").join(repeated, same, "left_semi").dropDuplicates(["__id", "__key"])
-        rest = rest.alias("d").join(repeated, same, "left_anti").unionByName(one)
-    return rest.select(*docs.columns)
+        one = rest.alias("d").join(side(again), same, "left_semi").dropDuplicates(["id", "key"])
+        rest = rest.alias("d").join(side(again), same, "left_anti").unionByName(one)
+    return rest.select("row.*")

@@ -228,8 +228,12 @@ def brute_classes(texts, least=0.8):
             i = root[i]
         return i
 
+    counts = [Counter(e.tolist()) for e in each]
     for i in range(len(texts)):
         for j in range(i):
+            longer = max(len(each[i]), len(each[j]))
+            if min(len(each[i]), len(each[j])) < least * longer or (counts[i] & counts[j]).total() < least * longer - 1e-9:
+                continue
             if near.similarity_of(each[i], each[j], least) is not None:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
@@ -272,7 +276,27 @@ def test_edit_distance():
             old, row[0] = row[0], i
             for j, y in enumerate(b.tolist(), 1):
                 old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-        assert near.edit_distance(a, b, 40) == row[-1]
+        for most in (40, row[-1], row[-1] - 1):
+            want = row[-1] if row[-1] <= most else None
+            assert near.band_distance(a.tolist(), b.tolist(), most) == want if most >= 0 else True
+            assert near.edit_distance(a, b, most) == want
+    long = rng.integers(0, 1 << 60, 900).astype(np.uint64)
+    other = long.copy()
+    other[rng.choice(900, 100, replace=False)] = 1
+    assert near.edit_distance(long, other, 180) == 100 and near.edit_distance(long, other, 99) is None
+
+
+def test_near_recall_over_all_pairs(spark):
+    """All pairs of a given table held against the alignment of each pair: 0.9 of the pairs at least, and no pair of unlike texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = sorted({r.text or "" for r in docs.collect()})
+    want = brute_classes(texts)
+    got = {t or "": c for t, c in near.classify(docs).join(docs, "doc_id").select("text", "class_id").collect()}
+    mine: dict[int, set[int]] = {}
+    for i, t in enumerate(texts):
+        mine.setdefault(got[t], set()).add(want[i])
+    assert all(len(roots) == 1 for roots in mine.values())
+    assert len(mine) - len(set(want.values())) <= 0.1 * (len(texts) - len(set(want.values())))
 
 
 def test_repeats(docs):
