@@ -2,32 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def temporal_split(rows: DataFrame, ts: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """rows with split: TRAIN, VALIDATION or OOS by cut-offs at fractions of the distinct times, so no time is in two splits."""
-    times = rows.select(ts).distinct()
+    times = rows.select(ts).distinct().where(F.col(ts).isNotNull()).select(ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.lit(1).alias("one"))
     n = times.count()
-    ranked = times.sort(ts)  # a range-partitioned sort; only the two cut-offs are read from it
-    cut = [ranked.offset(int(n * f)).limit(1).first() for f in (train, train + validation)]
-    a, b = (F.lit(c[0]) if c else F.lit(None) for c in cut)
-    return rows.withColumn("split", F.when(F.col(ts) < a, "TRAIN").when(F.col(ts) < b, "VALIDATION").otherwise("OOS"))
+    placed = running_before(times, "at", "one", "place")  # no task sorts all times, and two times reach the driver
+    a, b = placed.agg(*[F.min(F.when(F.col("place") >= int(n * f), F.col(ts))) for f in (train, train + validation)]).first()
+    return rows.withColumn("split", F.when(F.col(ts) < F.lit(a), "TRAIN").when(F.col(ts) < F.lit(b), "VALIDATION").otherwise("OOS"))
 
 
-def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: int = 256) -> DataFrame:
-    """rows, one for each distinct numeric order, with the sum of value over lesser orders.
+def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: int = 256, group: Sequence[str] = (), then: Sequence[str] = ()) -> DataFrame:
+    """rows with the sum of value over lesser orders, in each group; rows of one order follow each other by then, in each group.
 
-    Rows are dealt by approximate quantiles of order and summed within a bucket; the sums of the buckets before, `buckets` rows,
-    are broadcast. So no task sorts all rows, and the result is exact whatever the bounds are.
+    Rows are dealt by approximate quantiles of order and summed within a bucket; the sums of the buckets before, at most
+    `buckets` rows a group, are joined. So no task sorts all rows, and the result is exact whatever the bounds are.
     """
     bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]))).first()[0] or []
     x = rows.withColumn("__b", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b < F.col(order).cast("double"))))
-    w = Window.partitionBy(F.lit(1)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = x.groupBy("__b").agg(F.sum(value).alias("__t")).select("__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
+    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy(*group, "__b").agg(F.sum(value).alias("__t")).select(*group, "__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*group, "__b").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    side = before if group else F.broadcast(before)  # without groups it has `buckets` rows
+    return x.withColumn("__own", own).join(side, [*group, "__b"]).withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
+
+
+def exact_quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], group: Sequence[str] = ()) -> DataFrame:
+    """(group, name of each wanted quantile): rule linear, nearest (of rank) or lower (index rounded down), and a fraction.
+
+    Quantiles are read off the places of the distinct values, so neither a group's rows nor its values meet in one task. Groups
+    must not be null.
+    """
+    by = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    total = by.groupBy(*group).agg(F.sum("__c").alias("__n"))
+    placed = running_before(by, value, "__c", "__below", group=group)
+    placed = placed.join(total, list(group)) if group else placed.join(F.broadcast(total))  # one row
+    n = F.col("__n")
+    at = {
+        "linear": lambda p: ((n - 1) * p, F.floor((n - 1) * p + 1e-9), F.ceil((n - 1) * p - 1e-9)),
+        "nearest": lambda p: (F.greatest(F.ceil(n * p - 1e-9) - 1, F.lit(0)),) * 3,
+        "lower": lambda p: (F.floor((n - 1) * p + 1e-9),) * 3,
+    }
+    held = lambda i: F.max(F.when((F.col("__below") <= i) & (i < F.col("__below") + F.col("__c")), F.col(value)))
+    made = []
+    for name, (rule, p) in wanted.items():
+        place, low, high = at[rule](p)
+        made += [held(low).alias(f"__low_{name}"), held(high).alias(f"__high_{name}"), F.max(place - low).alias(f"__part_{name}")]
+    out = placed.groupBy(*group).agg(*made)
+    between = lambda q: F.when(F.col(f"__low_{q}") == F.col(f"__high_{q}"), F.col(f"__low_{q}")).otherwise(F.col(f"__low_{q}") + (F.col(f"__high_{q}") - F.col(f"__low_{q}")) * F.greatest(F.col(f"__part_{q}"), F.lit(0.0)))
+    return out.select(*group, *[between(q).alias(q) for q in wanted])
+
+
+def average_precision(rows: DataFrame, score: str, label: str, index: str) -> DataFrame:
+    """(positives, average_precision): precision at each positive in the order of falling scores, then index, averaged."""
+    x = rows.select((-F.col(score)).alias("__s"), F.col(label).cast("long").alias("__y"), F.col(index).alias("__i"), F.lit(1).alias("__one"))
+    x = running_before(running_before(x, "__s", "__y", "__hits", then=["__i"]), "__s", "__one", "__rank", then=["__i"])
+    gain = F.when(F.col("__y") == 1, (F.col("__hits") + 1) / (F.col("__rank") + 1))
+    return x.agg(F.sum("__y").alias("positives"), F.round(F.try_divide(F.sum(gain), F.sum("__y").cast("double")), 8).alias("average_precision"))
 
 
 def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:

@@ -18,32 +18,67 @@ def linear(weights: np.ndarray, features: list[str]) -> Column:
     return sum((F.lit(float(w)) * F.col(f) for w, f in zip(weights[1:], features)), F.lit(float(weights[0])))
 
 
+def logit(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return float(np.log(p / (1 - p)))
+
+
 def fit_logistic(rows: DataFrame, features: list[str], label: str, steps: int = 400, rate: float = 0.05, l2: float = 1.0) -> np.ndarray:
-    """Gradient descent on the mean log loss, with l2 / n on all but the intercept. One class only gives a constant model.
+    """Gradient descent on the mean log loss with l2 on the coefficients; the intercept starts at the logit of the mean label.
 
-    Rows with equal features and label are one weighted row, so a step reads as many rows as there are distinct ones.
+    One class only gives a constant model. Rows with equal features and label are one weighted row. Each step is one
+    aggregation; rows without a value in a feature or the label are left out.
     """
     kept = rows.dropna(subset=[*features, label]).groupBy(*features, label).agg(F.count(F.lit(1)).alias("__n")).persist()
-    n, ones = kept.agg(F.sum("__n"), F.sum(F.col("__n") * F.col(label))).first()
-    w = np.zeros(len(features) + 1)
-    if not n:
-        return w
-    if ones in (0, n):
-        w[0] = np.log((ones + 0.5) / (n - ones + 0.5))
+    try:
+        n, ones = kept.agg(F.sum("__n"), F.sum(F.col("__n") * F.col(label))).first()
+        w = np.zeros(len(features) + 1)
+        if not n:
+            return w
+        w[0] = logit(ones / n)
+        if ones in (0, n):
+            return w
+        return _descend(kept, features, label, w, n, steps, rate, l2)
+    finally:
         kept.unpersist()
-        return w
+
+
+def _descend(kept: DataFrame, features: list[str], label: str, w: np.ndarray, n: int, steps: int, rate: float, l2: float) -> np.ndarray:
     for _ in range(steps):
         miss = (sigmoid(linear(w, features)) - F.col(label)) * F.col("__n")
         slope = np.array(kept.agg(F.sum(miss), *[F.sum(miss * F.col(f)) for f in features]).first(), float) / n
-        slope[1:] += l2 * w[1:] / n
+        slope[1:] += l2 * w[1:]
         w = w - rate * slope
-    kept.unpersist()
     return w
 
 
-def fit_platt(rows: DataFrame, score: str, label: str, steps: int = 250, rate: float = 0.05) -> np.ndarray:
-    """Intercept and slope that turn a score into a probability."""
-    return fit_logistic(rows, [score], label, steps, rate, 0.0)
+def fit_platt(rows: DataFrame, probability: str, label: str, steps: int = 250, rate: float = 0.03) -> np.ndarray:
+    """Intercept and slope over the logit of a probability; they start at 0 and 1, which changes nothing, and stay so without rows."""
+    p = F.least(F.greatest(F.col(probability), F.lit(1e-6)), F.lit(1 - 1e-6))
+    kept = rows.dropna(subset=[probability, label]).select(F.log(p / (1 - p)).alias("x"), F.col(label).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("__n")).persist()
+    try:
+        n = kept.agg(F.sum("__n")).first()[0]
+        w = np.array([0.0, 1.0])
+        return _descend(kept, ["x"], "y", w, n, steps, rate, 0.0) if n else w
+    finally:
+        kept.unpersist()
+
+
+def edge_status(n: int, brier: float | None, prior: float | None, auc: float | None, later: float | None) -> str:
+    """Whether a model predicts better than the prior: by its Brier improvement, its AUC and the improvement in later folds."""
+    if n < 20 or brier is None or prior is None or later is None:
+        return "INSUFFICIENT_DATA"
+    better = prior - brier
+    if better >= 0.01 and auc is not None and auc >= 0.55 and later > 0:
+        return "DEMONSTRATED"
+    return "WEAK" if (better >= 0.005 or auc is not None and auc >= 0.52) and later >= 0 else "NOT_DEMONSTRATED"
+
+
+def scored(ready: Column, conflict: Column, far: Column, completeness: Column, regime: Column, opinion: Column, neighbours: Column, calibrated: Column) -> Column:
+    """struct<status, reason, confidence>: the first reason to have no opinion, else how far the score can be trusted."""
+    why = F.when(~ready, "INSUFFICIENT_DATA").when(conflict, "FEATURE_CONFLICT").when(far, "OUT_OF_DISTRIBUTION").when(completeness < 0.25, "INSUFFICIENT_FEATURES")
+    trust = F.when((completeness >= 0.75) & (regime == "HIGH") & (opinion == "OK") & (neighbours >= 10) & calibrated, "HIGH").when((completeness >= 0.5) & (opinion == "OK") & (neighbours >= 3), "MEDIUM").otherwise("LOW")
+    return F.struct(F.when(why.isNull(), "OK").otherwise("NO_OPINION").alias("status"), F.coalesce(why, F.lit("SUPPORTED")).alias("reason"), F.when(why.isNull(), trust).otherwise("NO_OPINION").alias("confidence"))
 
 
 def fit_ridge(rows: DataFrame, features: list[str], target: str, l2: float = 1.0) -> np.ndarray:

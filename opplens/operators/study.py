@@ -19,10 +19,13 @@ def signals(rows: DataFrame, n: int = 20, level: float = 1.0) -> DataFrame:
 def first_touch(events: DataFrame, rows: DataFrame, horizon: int = 12, returns: tuple[int, ...] = (6, 12), floor_zero: bool = True) -> DataFrame:
     """Each event with mfe_r, mae_r, first_hit and the return at each age, over the horizon bars after it.
 
-    The join has the symbol and a range of bar numbers, so only bars within the horizon are paired.
+    Bar numbers are cut into stretches of the horizon's length; an event meets the bars of the two stretches that its horizon
+    touches, so the join is on symbol and stretch, and no event meets all bars of its symbol.
     """
-    future = rows.withColumn("n", F.row_number().over(bars.ordered())).select(F.col("symbol").alias("s"), "n", "h", "l", "c")
-    pairs = events.join(future, (F.col("symbol") == F.col("s")) & (F.col("n") > F.col("k")) & (F.col("n") <= F.col("k") + horizon))
+    stretch = lambda n: F.floor(n / horizon)
+    future = rows.withColumn("n", F.row_number().over(bars.ordered())).select(F.col("symbol").alias("s"), "n", "h", "l", "c", stretch(F.col("n")).alias("at"))
+    near = events.withColumn("near", F.explode(F.array_distinct(F.array(stretch(F.col("k") + 1), stretch(F.col("k") + horizon)))))
+    pairs = near.join(future, (F.col("symbol") == F.col("s")) & (F.col("near") == F.col("at")) & (F.col("n") > F.col("k")) & (F.col("n") <= F.col("k") + horizon))
     long = F.col("side") == "LONG"
     good = F.when(long, F.col("h") - F.col("entry")).otherwise(F.col("entry") - F.col("l")) / F.col("risk")
     bad = F.when(long, F.col("l") - F.col("entry")).otherwise(F.col("entry") - F.col("h")) / F.col("risk")

@@ -130,7 +130,11 @@ def j5_orphans(spark, d):
 @query("""SELECT l_returnflag AS side, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(median(l_quantity), 6) AS med, round(quantile_cont(l_extendedprice, 0.9), 6) AS linear, quantile_disc(l_extendedprice, 0.95) AS nearest,
   round(stddev_pop(l_quantity), 6) AS sd FROM lineitem GROUP BY 1""")
 def a19_a21_quantiles(spark, d):
-    out = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"), F.median("l_quantity").alias("med"), S.quantile_linear(F.col("l_extendedprice"), 0.9).alias("linear"), S.quantile_nearest("l_extendedprice", 0.95).alias("nearest"), F.stddev_pop("l_quantity").alias("sd"))
+    from opplens.operators.features import exact_quantiles
+
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("side"), "l_quantity", "l_extendedprice")
+    out = x.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("sd"))
+    out = out.join(exact_quantiles(x, "l_quantity", {"med": ("linear", 0.5)}, ["side"]), "side").join(exact_quantiles(x, "l_extendedprice", {"linear": ("linear", 0.9), "nearest": ("nearest", 0.95)}, ["side"]), "side")
     return rounded(out, "mean", "med", "linear", "sd")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opplens.functions import scalars as S
 from opplens.functions.rules import is_close
 from opplens.operators import models as M
+from opplens.operators.features import exact_quantiles, running_before
 
 from .registry import query, rounded, table
 
@@ -18,7 +19,8 @@ SELECT l_orderkey, l_linenumber, round((coalesce(q, mid) - m) / sd, 6) AS z, (q
 def f3_f5_features(spark, d):
     """Imputed, scaled and one-hot features with the statistics of the training years only, and whether a row is far out."""
     x = table(spark, d, "lineitem")
-    s = x.where(F.year("l_shipdate") < 1996).agg(F.median("l_quantity").alias("mid"), F.avg("l_quantity").alias("m"), F.greatest(F.stddev_pop("l_quantity"), F.lit(1e-15)).alias("sd"))
+    train = x.where(F.year("l_shipdate") < 1996)
+    s = train.agg(F.avg("l_quantity").alias("m"), F.greatest(F.stddev_pop("l_quantity"), F.lit(1e-15)).alias("sd")).join(F.broadcast(exact_quantiles(train, "l_quantity", {"mid": ("linear", 0.5)})))  # one row each
     x = x.withColumn("q", F.when(~(F.col("l_tax") > 0.07), F.col("l_quantity"))).join(F.broadcast(s))  # one row
     z = (F.coalesce("q", "mid") - F.col("m")) / F.col("sd")
     flag = F.col("l_returnflag")
@@ -31,7 +33,7 @@ SELECT regime, count(*) AS n, count(*) FILTER (before <> regime) AS entered FROM
 def r1_r2_a24_regimes(spark, d):
     """Thresholds from the training period, assigned to all rows, with transitions."""
     e = table(spark, d, "events")
-    t = e.where("ts < timestamp_ntz'2024-01-15'").agg(*[F.percentile("value", F.lit(p)).alias(n) for p, n in ((1 / 3, "lo"), (2 / 3, "hi"), (0.95, "top"))])
+    t = exact_quantiles(e.where("ts < timestamp_ntz'2024-01-15'"), "value", {"lo": ("linear", 1 / 3), "hi": ("linear", 2 / 3), "top": ("linear", 0.95)})
     x = e.join(F.broadcast(t)).withColumn("regime", F.when(F.expr("value >= top"), "extreme").when(F.expr("value >= hi"), "high").when(F.expr("value >= lo"), "normal").otherwise("low"))  # one row
     x = x.withColumn("before", F.lag("regime").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return x.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("regime")).alias("entered"))
@@ -60,12 +62,12 @@ def m6_regression_metrics(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
 
     def ranks(c: str):
-        by = x.groupBy("flag", c).agg(F.count(F.lit(1)).alias("k"))
-        below = F.coalesce(F.sum("k").over(Window.partitionBy("flag").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return by.select("flag", c, (below + (F.col("k") + 1) / 2).alias(f"r{c}"))
+        by = running_before(x.groupBy("flag", c).agg(F.count(F.lit(1)).alias("k")), c, "k", "below", group=["flag"])
+        return by.select("flag", c, (F.col("below") + (F.col("k") + 1) / 2).alias(f"r{c}"))
 
     miss = F.abs(F.col("a") - F.col("b"))
-    out = x.join(ranks("a"), ["flag", "a"]).join(ranks("b"), ["flag", "b"]).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.avg(miss).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.median(miss).alias("median_error"), F.corr("ra", "rb").alias("spearman"))
+    out = x.join(ranks("a"), ["flag", "a"]).join(ranks("b"), ["flag", "b"]).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.avg(miss).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.corr("ra", "rb").alias("spearman"))
+    out = out.join(exact_quantiles(x.withColumn("miss", miss), "miss", {"median_error": ("linear", 0.5)}, ["flag"]), "flag")
     return rounded(out, "mae", "rmse", "median_error", "spearman")
 
 

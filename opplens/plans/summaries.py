@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opplens.functions import scalars as S
+from opplens.operators.features import exact_quantiles
 
 from .registry import query, rounded, table
 
@@ -58,11 +59,10 @@ def a25_priors(spark, d):
 
 @query("SELECT event_type, list_sort(list(value))[((count(*) - 1) * 50 // 100 + 1)::INT] AS p50, list_sort(list(value))[((count(*) - 1) * 95 // 100 + 1)::INT] AS p95, max(value) AS top, count(*) AS n FROM events GROUP BY 1")
 def a30_lower_quantiles(spark, d):
-    """The lower-index quantile by place in a sort, which spills, not by a collected list."""
-    w = Window.partitionBy("event_type")
-    x = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count(F.lit(1)).over(w).alias("c"))
-    at = lambda p: F.max(F.when(F.col("k") == F.floor((F.col("c") - 1) * p / 100) + 1, F.col("value")))
-    return x.groupBy("event_type").agg(at(50).alias("p50"), at(95).alias("p95"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
+    """The lower-index quantile by the places of distinct values."""
+    x = table(spark, d, "events").select("event_type", "value")
+    top = x.groupBy("event_type").agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
+    return exact_quantiles(x, "value", {"p50": ("lower", 0.5), "p95": ("lower", 0.95)}, ["event_type"]).join(top, "event_type")
 
 
 @query("""SELECT l_suppkey, round(list_sum(list_sort(list(l_extendedprice), 'DESC')[1:3]) / sum(l_extendedprice) * 100, 6) AS top3 FROM lineitem GROUP BY 1""")
@@ -94,9 +94,10 @@ sa AS (SELECT f, quantile_cont(q, 0.1) AS a1, quantile_cont(q, 0.5) AS a5, quant
 SELECT f AS flag, round(x, 6) AS shift, CASE WHEN x >= 0.25 THEN 'HIGH' WHEN x >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s""")
 def d1_drift(spark, d):
     """Largest shift of three quantiles between two periods, in units of the first one's spread."""
-    old = F.year("l_shipdate") < 1996
-    part = lambda keep: F.percentile(F.when(keep, F.col("l_quantity")), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(part(old).alias("a"), part(~old).alias("b"))
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.when(F.year("l_shipdate") < 1996, "a").otherwise("b").alias("period"), "l_quantity")
+    q = exact_quantiles(x, "l_quantity", {"q1": ("linear", 0.1), "q5": ("linear", 0.5), "q9": ("linear", 0.9)}, ["flag", "period"])
+    side = lambda p: q.where(F.col("period") == p).select("flag", F.array("q1", "q5", "q9").alias(p))
+    both = side("a").join(side("b"), "flag")
     shift = F.array_max(F.zip_with("a", "b", lambda a, b: F.abs(b - a))) / F.greatest(F.abs(F.get("a", F.lit(2)) - F.get("a", F.lit(0))), F.lit(1e-12))
-    x = x.select("flag", shift.alias("s"))
+    x = both.select("flag", shift.alias("s"))
     return x.select("flag", F.round("s", 6).alias("shift"), F.when(F.col("s") >= 0.25, "HIGH").when(F.col("s") >= 0.1, "MEDIUM").otherwise("LOW").alias("severity"))
