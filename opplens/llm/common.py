@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,10 +126,58 @@ def map_text(df: DataFrame, text_col: str, added: T.StructType, work: Callable[[
     return typed.mapInArrow(run, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: inside a lambda an outer expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan_before(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array op over all elements before it, for an associative op with that zero.
+
+    Blocks of about the square root of the length are scanned by themselves and then shifted by what lies before them, so n
+    elements take n ** 1.5 copies of an element, not n ** 2.
+    """
+    grow = lambda a, v: F.concat(a, F.array(op(F.element_at(a, -1), v)))
+
+    def blocks_of(v: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return let(step, lambda b: F.transform(F.sequence(F.lit(0), F.greatest((F.size(v) - 1) / b, F.lit(0)).cast("int")), lambda i: F.aggregate(F.slice(v, i * b + 1, b), F.array(zero), grow)))
+
+    def shifted(blocks: Column) -> Column:
+        heads = F.aggregate(F.transform(blocks, lambda x: F.element_at(x, -1)), F.array(zero), grow)
+        return let(heads, lambda h: F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: op(F.get(h, i), y)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks_of(v), shifted)).otherwise(F.slice(F.array(zero), 1, 0)))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each element of an array of sizes the sum of those before it."""
+    return scan_before(F.transform(sizes, lambda v: v.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+#: Code points in a chunk of a text that is cut at many places.
+CHUNK = 4096
+
+
+def chunked(text: Column) -> Column:
+    """The text as an array of chunks of CHUNK code points, for cut_from."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut_from(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to before end; only the chunks that hold them are read, not all of the text before them."""
+    first = (start / CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, ((end - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(part, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where none is set."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. A temporary one is made only where none is set and
+    the executors are threads of this machine; on a cluster that is an error, as other executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="opplens-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -142,11 +190,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, files: int | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again, for narrow tables in at most so many files.
+#: Rows of a narrow table that one task writes, where a bound of the rows is known.
+ROWS_A_FILE = 250_000
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again. If it is narrow and has at most so many rows, by as few tasks as
+    that asks for: loops over small tables would else spend their time on empty tasks.
 
     Smaller than a checkpoint for many rows; and its size is known, while a checkpoint keeps the planner's estimate, which loops
     of joins multiply into numbers of millions of digits."""
     folder = f"{shared_folder(df.sparkSession)}/opplens-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(folder)
+    (df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)).write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

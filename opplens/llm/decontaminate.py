@@ -17,11 +17,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, window_hashes, word_hashes, word_spans
+from .common import let, map_text, scan_before, window_hashes, word_hashes, word_spans
 
 SPAN = T.StructType([T.StructField("word_start", T.LongType()), T.StructField("word_end", T.LongType()), T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType())])
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -98,37 +98,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_
     count = max(1, math.ceil(size / broadcast_limit))
     if count == 1:
         return _scan(docs, text_col, windows.collect(), None)
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    key = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(f"`{text_col}`").alias("t"))
     parts = None
     for b in range(count):  # a stated set of windows, block by block, against all rows
         block = windows.where(F.pmod(F.xxhash64("window"), F.lit(count)) == b).collect()
-        part = _scan(keyed, text_col, block, ["__key"]).where("size(items) > 0")
+        part = _scan(keyed, "t", block, ["key"]).where("size(items) > 0")
         parts = part if parts is None else parts.unionByName(part)
-    merged = parts.dropDuplicates(["__key", "spans", "items"]).groupBy("__key").agg(F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    start = F.array_sort("all")
-    joined = F.aggregate(start, F.expr("cast(array() as array<struct<word_start:bigint,word_end:bigint,byte_start:bigint,byte_end:bigint>>)"), _merge)
-    merged = merged.select("__key", joined.alias("spans"), "items")
-    counted = _scan(keyed, text_col, [], None).drop("spans", "items")
-    return counted.join(merged, "__key", "left").select(*[c for c in counted.columns if c != "__key"], F.coalesce("spans", F.expr("cast(array() as array<struct<word_start:bigint,word_end:bigint,byte_start:bigint,byte_end:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    merged = parts.dropDuplicates(["key", "spans", "items"]).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.select("key", join_spans(F.col("found")).alias("spans"), "items")
+    counted = _scan(keyed, "t", [], ["row", "key"]).drop("spans", "items")
+    none = F.expr("cast(array() as array<struct<word_start:bigint,word_end:bigint,byte_start:bigint,byte_end:bigint>>)")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in HITS.names]
+    return counted.join(merged, "key", "left").select(*kept, "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
-def _merge(done, span):
-    last = F.element_at(done, -1)
-    joined = F.struct(last["word_start"].alias("word_start"), F.greatest(last["word_end"], span["word_end"]).alias("word_end"), last["byte_start"].alias("byte_start"), F.greatest(last["byte_end"], span["byte_end"]).alias("byte_end"))
-    touching = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["word_end"] >= span["word_start"])
-    return F.when(touching, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(span)))
+def join_spans(spans: Column) -> Column:
+    """Spans in any order to disjoint ones in order; those that touch are joined."""
+
+    def join(s: Column, reach: Column) -> Column:
+        fresh = lambda i: (i == 0) | (F.get(s, i)["word_start"] > F.get(reach, i)["word_end"])
+        last = F.get(scan_before(F.concat(s, F.slice(s, 1, 1)), nothing, further), F.size(s))
+        end = lambda heads, k, top: F.coalesce(F.get(reach, F.get(heads, k + 1)), top)
+        one = lambda heads, i, k, top: F.struct(F.get(s, i)["word_start"].alias("word_start"), end(heads, k, top)["word_end"].alias("word_end"), F.get(s, i)["byte_start"].alias("byte_start"), end(heads, k, top)["byte_end"].alias("byte_end"))
+        return let(last, lambda top: let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), fresh), lambda heads: F.transform(heads, lambda i, k: one(heads, i, k, top))))
+
+    nothing = F.struct(*[F.lit(-1).cast("long").alias(n) for n in SPAN.names])
+    further = lambda a, b: F.when(b["word_end"] > a["word_end"], b).otherwise(a)
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), lambda s: let(scan_before(s, nothing, further), lambda reach: join(s, reach)))).otherwise(spans)
 
 
 def remove_spans(hits: DataFrame, text_col: str = "text") -> DataFrame:
     """The scanned documents without their hit spans, for training on what is left of a document."""
-    raw = F.col(text_col).cast("string").cast("binary")
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out")),
-        lambda a, s: F.struct(s["byte_end"].alias("at"), F.concat(a["out"], F.substring(raw, (a["at"] + 1).cast("int"), (s["byte_start"] - a["at"]).cast("int"))).alias("out")),
-    )
-    rest = F.concat(cut["out"], F.substring(raw, (cut["at"] + 1).cast("int"), F.lit(2147483647)))
-    return hits.withColumn(text_col, F.when(F.size("spans") > 0, F.decode(rest, "UTF-8")).otherwise(F.col(text_col)))
+    raw = F.col(f"`{text_col}`").cast("string").cast("binary")
+    parts = lambda s: F.transform(s, lambda x, i: F.substring(raw, (F.when(i > 0, F.get(s, i - 1)["byte_end"]).otherwise(0) + 1).cast("int"), (x["byte_start"] - F.when(i > 0, F.get(s, i - 1)["byte_end"]).otherwise(0)).cast("int")))
+    text = let(F.col("spans"), lambda s: F.array_join(F.transform(F.concat(parts(s), F.array(F.substring(raw, (F.element_at(s, -1)["byte_end"] + 1).cast("int"), F.lit(2147483647)))), lambda b: F.decode(b, "UTF-8")), ""))
+    return hits.withColumn(text_col, F.when(F.size("spans") > 0, text).otherwise(F.col(f"`{text_col}`")))
 
 
 def digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

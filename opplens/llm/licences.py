@@ -1,13 +1,18 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed by template comparison.
 
-Families are learned from short notices (`NOTICES`), each with deterministic variations (words dropped, neighbours around it), against
-paragraphs of a bounded sample of the corpus (`background` rows at most, those with the least text hashes) as the unknown class. The
-model is a multinomial logistic regression over hashed word 1- and 2-grams. Its unknown class is calibrated on held-out
-variations: a temperature that gives the best likelihood. A predicted family stands only if a template of it is confirmed: enough of
-the template's 2-grams occur in the paragraph.
-
-Every paragraph (line) of every whole text is scored. Null and empty texts have no paragraph and no licence; equal texts get
-equal results; repeated rows all stay.
+Families are learned from short notices (`NOTICES`), each with deterministic variations (words dropped, neighbours around it). The
+unknown class is learned from wordings of other licences (`OTHERS`) and from lines of a bounded sample of the corpus: of the
+`background` distinct texts with the least MD5, the first `lines` lines, of each `line_chars` characters at most; lines that speak
+of licences are left out, as nothing says what they are. The model is a multinomial logistic regression over hashed word 1- and
+2-grams. Its unknown class is calibrated on held-out variations: a temperature that gives the best likelihood. A predicted
+family stands only if a template of it is confirmed: enough of the template's n-grams occur in the paragraph.
+
+What is classified are all lines of every whole text, and all stretches of consecutive lines of up to SPAN_WORDS words without a
+blank line in between that begin at a line with HINTS n-grams of two template words: a notice may be wrapped. Punctuation and
+comment marks are no words. Of overlapping stretches that stand the one with the greatest overlap is reported, of ties the first and
+shortest. Null and empty texts have no lines and no licence; equal texts get equal results; repeated rows all stay; an empty
+table gives no rows, and a model that is trained on one knows the notices alone. The column licences replaces one of that
+name; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -35,7 +40,25 @@ NOTICES = {
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("All rights reserved. No part of this work may be reproduced without written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 }
+#: Wordings of licences outside the families, for the unknown class.
+OTHERS = (
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1.",
+    "Licensed under the GNU Lesser General Public License, version 3.",
+    "Licensed under the GNU Affero General Public License, version 3.",
+    "SPDX-License-Identifier: LGPL-2.1-only",
+    "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "SPDX-License-Identifier: ISC",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "This software is provided as is, without any express or implied warranty.",
+    "This is free and unencumbered software released into the public domain.",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "This work is dedicated to the public domain under CC0 1.0 Universal.",
+    "The licence of the driver was renewed by the public office in the city.",
+)
 UNKNOWN = "unknown"
+#: Words in a stretch of lines, and n-grams of two template words at which one begins.
+SPAN_WORDS, HINTS = 96, 2
 
 
 @dataclass
@@ -81,16 +104,20 @@ def _variations(neighbours: list[str], seed: int) -> list[tuple[str, str]]:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", background: int = 500, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-4) -> Model:
-    """Fits the classifier on the driver: the notices, and at most `background` documents' first 40 paragraphs."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample = docs.select(F.md5(text.cast("binary")).alias("h"), F.slice(F.split(text, "\n"), 1, 40).alias("p")).orderBy("h").limit(background).collect()
-    plain = [p[:400] for r in sample for p in r["p"] if p.strip() and "licen" not in p.lower()]
+def train(docs: DataFrame, text_col: str = "text", background: int = 500, lines: int = 40, line_chars: int = 400, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-4) -> Model:
+    """Fits the classifier on the driver: the notices, and the lines of at most `background` texts (see above)."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # only digests are sorted; the lines of the few chosen texts are read after that
+    digest = F.unhex(F.md5(text.cast("binary")))
+    least = [bytes(r["h"]) for r in docs.select(digest.alias("h")).distinct().orderBy("h").limit(background).collect()]
+    chosen = docs.select(digest.alias("h"), text.alias("t")).where(F.col("h").isin(least)).dropDuplicates(["h"]).select("h", F.transform(F.slice(F.split("t", "\n"), 1, lines), lambda p: F.substring(p, 1, line_chars)).alias("p"))
+    sample = sorted(chosen.collect(), key=lambda r: bytes(r["h"])) if least else []
+    plain = [p for r in sample for p in r["p"] if p.strip() and "licen" not in p.lower()]
     families = [*sorted(NOTICES), UNKNOWN]
     known, held = _variations(plain, 1), _variations(plain, 2)
-    rows = known + [(UNKNOWN, p) for p in plain[::2]]
-    tests = held + [(UNKNOWN, p) for p in plain[1::2]]
-    notices = [n.encode() for all_ in NOTICES.values() for n in all_]
+    rows = known + [(UNKNOWN, p) for p in [*OTHERS, *plain[::2]]]
+    tests = held + [(UNKNOWN, p) for p in [*OTHERS, *plain[1::2]]]
+    notices = [n.encode() for all_ in [*NOTICES.values(), OTHERS] for n in all_]
     grams = np.unique(_grams(notices)[1])
     x, y = _matrix([t.encode() for _, t in rows], grams), np.array([families.index(f) for f, _ in rows])
     w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
@@ -114,42 +141,65 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-FOUND = T.StructType([T.StructField("family", T.StringType()), T.StructField("paragraph", T.LongType()), T.StructField("probability", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
+FOUND = T.StructType([T.StructField("family", T.StringType()), T.StructField("paragraph", T.LongType()), T.StructField("lines", T.LongType()), T.StructField("probability", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
+
+
+def _stretches(texts: list[list[bytes]], hints: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, first line, end) of all lines with an n-gram of two template words, and of the stretches that begin at a line with HINTS of
+    them or more. Line numbers run through all texts."""
+    out, base = [], 0
+    for t, lines in enumerate(texts):
+        for i in np.flatnonzero(hints[base : base + len(lines)]).tolist():
+            out.append((t, base + i, base + i + 1))
+            total, j = int(sizes[base + i]), i + 1
+            while hints[base + i] >= HINTS and j < len(lines) and sizes[base + j] and total + sizes[base + j] <= SPAN_WORDS:
+                total += int(sizes[base + j])
+                j += 1
+                out.append((t, base + i, base + j))
+        base += len(lines)
+    return out
 
 
 def _classify(texts: list[bytes], model: Model, least: float, confirm: float) -> list[list[dict]]:
     lines = [t.split(b"\n") for t in texts]
     flat = [p for ps in lines for p in ps]
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in lines])
-    number = np.concatenate([np.arange(len(p)) for p in lines]) if lines else np.zeros(0, int)
-    doc, g = _grams(flat)
-    at = np.minimum(np.searchsorted(model.grams, g), len(model.grams) - 1)
-    hit = model.grams[at] == g
-    # each n-gram counts once in a paragraph
-    pairs = np.unique(doc[hit].astype(np.int64) * len(model.grams) + at[hit])
-    para, gram = pairs // len(model.grams), pairs % len(model.grams)
+    start = np.cumsum([0, *map(len, lines)])
+    buf, starts, ends, _, first = word_spans(flat)
+    words = word_hashes(buf, starts, ends)
+    two = window_hashes(words, 2)
+    line = np.repeat(np.arange(len(flat)), np.diff(first))
+    index = lambda g: np.where(model.grams[np.minimum(np.searchsorted(model.grams, g), len(model.grams) - 1)] == g, np.searchsorted(model.grams, g), -1)
+    one, pair = index(words), index(two)
+    inside = np.flatnonzero((pair >= 0) & (line[1:] == line[:-1])) if len(two) else np.zeros(0, np.int64)
+    hints = np.bincount(line[inside], minlength=len(flat))
     out: list[list[dict]] = [[] for _ in texts]
-    if not len(para):
-        return out
-    first = np.flatnonzero(np.concatenate([[True], para[1:] != para[:-1]]))
-    p = _softmax((np.add.reduceat(model.weights[gram], first) + model.bias) / model.temperature)
-    best = p.argmax(1)
-    ends = np.append(first[1:], len(para))
-    unknown = len(model.families) - 1
-    for k in np.flatnonzero((best != unknown) & (p.max(1) >= least)).tolist():
-        family = model.families[best[k]]
-        have = set(model.grams[gram[first[k] : ends[k]]].tolist())
-        overlap = max(len(t & have) / len(t) for t in model.templates[family])
+    standing: dict[int, list[tuple[float, int, int, str, float]]] = {}
+    for t, lo, hi in _stretches(lines, hints, np.diff(first)):
+        a, b = int(first[lo]), int(first[hi])
+        own = np.unique(np.concatenate([one[a:b], pair[a : b - 1]]))  # each n-gram counts once in a stretch; words that no template has do not
+        own = own[own >= 0]
+        p = _softmax((model.weights[own].sum(0) + model.bias)[None, :] / model.temperature)[0]
+        best = int(p.argmax())
+        if model.families[best] == UNKNOWN or p[best] < least:
+            continue
+        have = set(model.grams[own].tolist())
+        overlap = max(len(x & have) / len(x) for x in model.templates[model.families[best]])
         if overlap >= confirm:
-            line = int(para[first[k]])
-            out[int(owner[line])].append({"family": family, "paragraph": int(number[line]), "probability": round(float(p[k].max()), 6), "overlap": round(overlap, 6)})
+            standing.setdefault(t, []).append((-overlap, hi - lo, lo, model.families[best], float(p[best])))
+    for t, found in standing.items():
+        used: set[int] = set()
+        for overlap, size, lo, family, p in sorted(found):
+            if used.isdisjoint(range(lo, lo + size)):
+                used.update(range(lo, lo + size))
+                out[t].append({"family": family, "paragraph": int(lo - start[t]), "lines": size, "probability": round(p, 6), "overlap": round(-overlap, 6)})
+        out[t].sort(key=lambda x: x["paragraph"])
     return out
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7, confirm: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """docs with licences: family, paragraph number, probability and template overlap of each confirmed licence paragraph."""
+    """docs with licences: family, first line, number of lines, probability and template overlap of each confirmed licence paragraph."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("family", pa.string()), ("paragraph", pa.int64()), ("probability", pa.float64()), ("overlap", pa.float64())]))
+    kind = pa.list_(pa.struct([("family", pa.string()), ("paragraph", pa.int64()), ("lines", pa.int64()), ("probability", pa.float64()), ("overlap", pa.float64())]))
 
     def work(texts: list[bytes]) -> list[pa.Array]:
         return [pa.array(_classify(texts, shared.value, least, confirm), kind)]

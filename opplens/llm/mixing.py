@@ -23,6 +23,8 @@ from .common import checkpointed
 #: Hex digits of the hash that one histogram resolves.
 DIGIT = 3
 HASH_DIGITS = 32
+#: Columns that the mix adds.
+ADDED = ("size", "source_size", "target", "copies")
 
 
 #: Tables of a row for each source are broadcast up to this many rows, and joined by shuffling beyond it.
@@ -66,10 +68,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_rep
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """keep columns, source, size, source_size, target and copies (how often the mix repeats the document) of each row."""
-    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
-    kept = [F.col(c) for c in dict.fromkeys(keep) if c not in ("__source", "__size", "__h")]
-    rows = docs.select(*kept, F.col(source_col).cast("string").alias("__source"), count_words(F.col(text_col).cast("string")).alias("__size"), h.alias("__h"))
+    """The columns in keep, then size, source_size, target and copies (how often the mix repeats the document) of each row. These
+    four replace columns of these names in keep, whatever their case; all other names are free."""
+    h = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("binary"))
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in ADDED]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
+    rows = docs.select(row.alias("row"), F.col(f"`{source_col}`").cast("string").alias("__source"), count_words(F.col(f"`{text_col}`").cast("string")).alias("__size"), h.alias("__h"))
     narrow = rows.select("__source", "__size", "__h")
     first = checkpointed(narrow.groupBy("__source", F.substring("__h", 1, DIGIT).alias("prefix")).agg(F.sum("__size").alias("words"), F.min("__h").alias("low"), F.max("__h").alias("high")))
     targets = checkpointed(source_targets(first.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights, max_repeat, share))
@@ -101,4 +105,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat:
     limits = checkpointed(limits)
     out = rows.alias("a").join(_small(limits).alias("b"), F.col("a.__source").eqNullSafe(F.col("b.__source")))
     below = (F.col("__h") < F.col("limit")).cast("long")
-    return out.select(*kept, F.col("__size").alias("size"), "source_size", "target", F.least(F.col("whole") + below, F.lit(max_repeat)).alias("copies"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("__size").alias("size"), "source_size", "target", F.least(F.col("whole") + below, F.lit(max_repeat)).alias("copies"))

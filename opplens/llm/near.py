@@ -37,10 +37,8 @@ from .common import blocks, map_text, mix, stored, window_hashes, word_hashes, w
 BROADCAST_KEYS = 400_000
 #: Members of a group that are one block, about.
 BLOCK = 1024
-#: Loops over keys are written in at most so many files; more tasks would only add overhead to tables that small.
-FILES = 64
 #: Texts on each side of a tile of pairs that are aligned, about.
-TILE = 128
+TILE = 64
 #: Buckets of a word histogram, how many of them are first taken together, and pairs that are held against each other in one step.
 BUCKETS, TOGETHER, STEP = 1024, 8, 50_000
 #: Low bits that hold a k-mer's place in its text.
@@ -170,10 +168,10 @@ def _aligned(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
     pair: a tile has about TILE texts on each side, however many pairs a text or a group has.
     """
     tiles = pairs.groupBy("g").agg(F.ceil(F.approx_count_distinct("a") / TILE).alias("na"), F.ceil(F.approx_count_distinct("b") / TILE).alias("nb"))
-    tiles = stored(tiles, FILES)
+    tiles = stored(tiles, most := pairs.count())
     tiled = pairs.join(F.broadcast(tiles) if tiles.count() <= BROADCAST_KEYS else tiles, "g")
-    tiled = stored(tiled.select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "na"), F.pmod(F.xxhash64("b"), "nb")).alias("u"), "a", "b"), FILES)
-    needed = stored(tiled.select("u", F.explode(F.array("a", "b")).alias("key")).distinct(), FILES)
+    tiled = stored(tiled.select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "na"), F.pmod(F.xxhash64("b"), "nb")).alias("u"), "a", "b"), most)
+    needed = stored(tiled.select("u", F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * most)
     wanted = needed.select("key").distinct()
     texts = keyed.join(F.broadcast(wanted) if needed.count() <= BROADCAST_KEYS else wanted, "key", "left_semi").dropDuplicates(["key"])
     rows = needed.join(texts, "key").select("u", F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
@@ -227,8 +225,9 @@ def components(edges: DataFrame) -> DataFrame:
     its label, and keeps the least, by one aggregation. The steps grow with the logarithm of the longest path; each is cut off
     from the last. Labels are broadcast up to BROADCAST_KEYS rows and joined by shuffling beyond.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), FILES)
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), FILES)
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root"))
+    labels = stored(labels, most := 2 * edges.count())
     small = labels.count() <= BROADCAST_KEYS
     while True:
         def of(key: str, root: str) -> DataFrame:
@@ -240,12 +239,24 @@ def components(edges: DataFrame) -> DataFrame:
         offers = met.select(F.col("a").alias("key"), F.col("rb").alias("root"), F.lit(None).cast("binary").alias("old"))
         offers = offers.unionByName(met.where("rb < ra").select(F.col("ra").alias("key"), F.col("rb").alias("root"), F.lit(None).cast("binary").alias("old")))
         offers = offers.unionByName(own.select("key", F.col("far").alias("root"), F.col("root").alias("old")))
-        moved = stored(offers.groupBy("key").agg(F.min("root").alias("root"), F.max("old").alias("old")), FILES)
+        moved = stored(offers.groupBy("key").agg(F.min("root").alias("root"), F.max("old").alias("old")), most)
         labels = moved.select("key", "root")
         if moved.where("root != old").isEmpty():
             return labels
 
 
+def merged_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots after links between their classes: only the classes' roots are joined anew."""
+    if roots is None:
+        return components(links)
+    most = roots.count() + 2 * links.count()
+    edges = with_roots(with_roots(links, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b").distinct()
+    higher = components(stored(edges, most))
+    ends = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+    everyone = roots.unionByName(ends.join(roots, "key", "left_anti").select("key", F.col("key").alias("root")))
+    return stored(with_roots(everyone.withColumnRenamed("root", "old"), higher, "old", "root").select("key", "root"), most)
+
+
 def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each text its number of words and how many of them fall into each bucket, 255 at most."""
     buf, starts, ends, _, first = word_spans(texts)
@@ -289,10 +300,10 @@ def _apart(members: DataFrame, roots: DataFrame, keyed: DataFrame, least: float)
     """(a, b, ra, rb, edits, g): every pair of a group that is in two classes and can be alike by length and histogram."""
     rooted = with_roots(members.select("h", "key"), roots)
     groups = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), FILES)
+    groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), most := members.count())
     side = F.broadcast(groups) if groups.count() <= BROADCAST_KEYS else groups
-    mixed = stored(rooted.join(side, "h").select("h", "key", "root", "blocks"))
-    wanted = stored(mixed.select("key").distinct(), FILES)
+    mixed = stored(rooted.join(side, "h").select("h", "key", "root", "blocks"), most)
+    wanted = stored(mixed.select("key").distinct(), most)
     few = wanted.count() <= BROADCAST_KEYS
 
     def count(texts: list[bytes]) -> list[pa.Array]:
@@ -352,14 +363,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     rows = sketched.select("key", F.explode("sketch").alias("h"))
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lead")).where("c > 1").select("h", "lead")
     members = stored(rows.join(groups, "h"))
-    led = stored(members.where("key != lead").groupBy("key").agg(F.min("lead").alias("a")).select("a", F.col("key").alias("b")))
-    links = stored(_aligned(led.withColumn("g", F.xxhash64("a")), keyed, similarity), FILES)
+    led = stored(members.where("key != lead").groupBy("key").agg(F.min("lead").alias("a")).select("a", F.col("key").alias("b")), members.count())
+    links = stored(_aligned(led.withColumn("g", F.xxhash64("a")), keyed, similarity))
     roots = None if links.isEmpty() else components(links)
     open_ = stored(_apart(members, roots, keyed, similarity))
     tried = led.unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for step in range(3):
-        now = with_roots(with_roots(open_.drop("ra", "rb"), roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
-        open_ = stored(now.join(tried, ["a", "b"], "left_anti"))
         if open_.isEmpty():
             break
         pick = F.min(F.struct("edits", "a", "b", "g")).alias("p")
@@ -367,16 +376,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
             sides = open_.select("*", F.explode(F.array("ra", "rb")).alias("r"))
             chosen = sides.groupBy("r").agg(pick).select("p.a", "p.b", "p.g").distinct()
         elif step == 1:  # each two classes their nearest pair
-            low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
-            chosen = open_.groupBy(low.alias("low"), high.alias("high")).agg(pick).select("p.a", "p.b", "p.g")
+            chosen = open_.groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(pick).select("p.a", "p.b", "p.g")
         else:
-            chosen = open_.select("a", "b", "g")
-        tried = stored(chosen)
-        found = stored(_aligned(tried, keyed, similarity), FILES)
+            chosen = open_.join(tried, ["a", "b"], "left_anti").select("a", "b", "g")
+        chosen = stored(chosen, most := open_.count())
+        found = stored(_aligned(chosen, keyed, similarity))
         if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
-        tried = tried.select("a", "b")
+            roots = merged_roots(roots, found)
+        if step < 2:
+            tried = tried.unionByName(chosen.select("a", "b"))
+            now = with_roots(with_roots(open_.drop("ra", "rb"), roots, "a", "ra"), roots, "b", "rb")
+            open_ = stored(now.where("ra != rb"), most)
     return roots if roots is not None else docs.sparkSession.createDataFrame([], "key binary, root binary")
 
 

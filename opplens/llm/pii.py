@@ -4,15 +4,21 @@ Protected entities are e-mail addresses, IP addresses, payment card numbers and
 leftmost and without overlap; matches that fail their check (IP parts over 255, cards of other than 13 to 19 digits or a wrong
 Luhn sum, phones of other than 9 to 15 digits) are dropped without a retry.
 
-What else tells of an entity is estimated from the whole corpus: a term t within `reach` characters of a mention of e
+What else tells of an entity is estimated from the whole corpus: a term t that stands within `reach` characters of a mention of e
 discloses e if PMI(t; e) = ln(N n(t,e) / (n(t) n(e))) is at least `disclosure` times the information content
-IC(e) = ln(N / n(e)). All of these count distinct texts, so copies of one prove nothing: N and n(t) all texts, n(e) those that mention
-e and n(t,e) those with t near a mention. No number of mentions is asked for: an entity in one text is told by terms that hardly
-any other text has. Every occurrence of a disclosing term in a text that mentions its entity becomes a span of kind `term`. Nothing
-is capped.
+IC(e) = ln(N / n(e)); the quotient of the two is 1 where t is only found with e. All of these count distinct texts, so copies of one
+prove nothing: N and n(t) all texts, n(e) those that mention e and n(t,e) those with t near a mention. No number of mentions is asked
+for: an entity in one text is told by terms that hardly any other text has. Every occurrence of a disclosing term in a text that
+mentions its entity becomes a span of kind `term`. Nothing is capped. Defaults: 80 characters are the sentence around a mention;
+0.9 leaves a term that N ** 0.1 texts have for an entity in one, which is 3 to 4 texts in 250,000.
+
+A disclosing term is generalised: to the class of its form ([NAME], [CODE] or [WORD]) below `removal`, from it on to [TERM], the
+top of that hierarchy, which says no more than that something stood there.
 
 Spans depend on the text and the corpus statistics alone, so they are found once for each text (by its SHA-256) and joined
-back. A null text is empty; empty texts have no spans; equal texts get equal spans; repeated rows all stay.
+back. A null text is empty; empty texts have no spans; equal texts get equal spans; repeated rows all stay; an empty table gives
+no rows. Columns base and spans replace input columns of these names, all others pass through whatever their names are. Work
+grows with n ** 1.5 of the matches in one text at most.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, chunked, cut_from, let, scan_before, sums_before
 
 #: The patterns of the four kinds, possessive and anchored so that no text takes more than linear time.
 #: \G keeps the search after a match where it is; elsewhere a run of characters is entered at its start only.
@@ -37,6 +43,8 @@ KINDS = tuple(PATTERNS)
 BROADCAST_BYTES = 48 << 20
 TERM = r"[\p{L}][\p{L}\p{N}]{2,}+"
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Candidate terms and repeated texts are broadcast up to this many rows.
+BROADCAST_ROWS = 400_000
 
 
 def _octet(p: Column) -> Column:
@@ -62,17 +70,44 @@ CHECKS = {
 }
 
 
-def _placed(kind: str, matches: Column, pieces: Column) -> Column:
-    """Matches with their places, from the lengths of what lies between them."""
-    ended = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p")),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + F.length(x["p"])).alias("start"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-    )["out"]
-    return F.filter(ended, lambda s: CHECKS[kind](s["value"]))
+def _placed(text: Column, pattern: str, matches: Column, span) -> Column:
+    """span(match, start, end) of the matches of a pattern, with their places from the lengths of what lies between them."""
+
+    def place(m: Column, between: Column) -> Column:
+        steps = F.transform(m, lambda x, i: F.length(F.get(between, i)) + F.length(x))
+        at = lambda starts, i: (F.get(starts, i) + F.length(F.get(between, i))).cast("int")
+        return let(sums_before(steps), lambda starts: F.transform(m, lambda x, i: span(x, at(starts, i), at(starts, i) + F.length(x))))
+
+    return let(matches, lambda m: let(F.split(text, pattern, -1), lambda between: place(m, between)))
+
+
+def _span(kind: str):
+    return lambda value, start, end: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
+
+
+def merged(spans: Column) -> Column:
+    """array<struct<start, end, first>> of sorted, disjoint intervals that cover spans; first is the earliest span of each."""
+
+    def join(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i)["start"] >= F.get(reach, i))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return let(last, lambda top: let(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(s, i)["start"].alias("start"), F.coalesce(F.get(reach, F.get(h, k + 1)), top).alias("end"), F.get(s, i).alias("first")))))
+
+    before = lambda s: scan_before(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    in_order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), *[x[c].alias(c) for c in ("kind", "value")])))
+    return F.when(F.size(spans) > 0, let(in_order, lambda s: let(before(s), lambda reach: join(s, reach))))
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """text with each joined interval of spans replaced by by(interval)."""
+
+    def build(chunks: Column, joined: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(joined, i - 1)["end"]).otherwise(0)
+        parts = F.transform(joined, lambda x, i: F.concat(cut_from(chunks, before(i), x["start"]), by(x)))
+        rest = cut_from(chunks, F.element_at(joined, -1)["end"], F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    return F.when(F.size(spans) > 0, let(chunked(text), lambda chunks: let(merged(spans), lambda joined: build(chunks, joined)))).otherwise(text)
 
 
 def find_entities(docs: DataFrame, text_col: str = "text", out_col: str = "base") -> DataFrame:
@@ -85,111 +120,89 @@ def find_entities(docs: DataFrame, text_col: str = "text", out_col: str = "base"
         if k == "card":  # short digit runs are no cards: only runs with 13 digits or more are looked at again
             found = F.when(F.exists(found, lambda m: F.length(m) >= 13), found).otherwise(empty)
         df = df.withColumn(f"__{k}", F.when(F.contains(text, F.lit(NEEDS[k])), found).otherwise(empty) if NEEDS[k] else found)
-    each = [F.when(F.size(f"__{k}") > 0, _placed(k, F.col(f"__{k}"), F.split(text, PATTERNS[k], -1))).otherwise(F.expr(f"cast(array() as {SPANS})")) for k in KINDS]
-    return df.withColumn(out_col, F.concat(*each)).drop(*[f"__{k}" for k in KINDS])
-
-
-def _terms(context: Column, offset: Column) -> Column:
-    """array<struct<term, start, end>> of a stretch of text that starts at offset."""
-    matches, pieces = F.regexp_extract_all(context, F.lit(TERM), F.lit(0)), F.split(context, TERM, -1)
-    return F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p")),
-        F.struct(offset.alias("at"), F.expr("cast(array() as array<struct<term:string,start:int,end:int>>)").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(F.lower(x["m"]).alias("term"), (a["at"] + F.length(x["p"])).alias("start"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end")))).alias("out"),
-        ),
-    )["out"]
+    none = F.expr(f"cast(array() as {SPANS})")
 
+    def checked(kind: str) -> Column:
+        placed = _placed(text, PATTERNS[kind], F.col(f"__{kind}"), _span(kind))
+        return F.when(F.size(f"__{kind}") > 0, F.filter(placed, lambda s: CHECKS[kind](s["value"]))).otherwise(none)
 
-def _mentions(text: Column, reach: int) -> Column:
-    """array<struct<entity, context, terms>>: the terms near each base span, whole words only, none inside a base span."""
+    each = [checked(k) for k in KINDS]
+    return df.withColumn(out_col, F.concat(*each)).drop(*[f"__{k}" for k in KINDS])
 
-    def one(e: Column) -> Column:
-        low = F.greatest(e["start"] - reach, F.lit(0))
-        left, right = F.substring(text, low + 1, e["start"] - low), F.substring(text, e["end"] + 1, F.lit(reach))
-        # a word cut off by the reach is left out
-        skip = F.when(low > 0, F.length(F.regexp_extract(left, r"^[\p{L}\p{N}]*+", 0))).otherwise(0)
-        right = F.when(F.length(right) == reach, F.regexp_replace(right, r"[\p{L}\p{N}]++$", "")).otherwise(right)
-        terms = F.concat(_terms(F.substring(left, skip + 1, F.length(left)), low + skip), _terms(right, e["end"]))
-        free = F.filter(terms, lambda t: ~F.exists(F.col("base"), lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-        return F.struct(F.concat_ws(":", e["kind"], F.lower(e["value"])).alias("entity"), F.xxhash64(left, right).alias("context"), free.alias("terms"))
 
-    return F.transform("base", one)
+def find_terms(text: Column, base: Column) -> Column:
+    """array<struct<term, start, end, form>> of the whole words outside the base spans; form is the class of the word's form."""
+    blank = replaced(text, base, lambda x: F.repeat(F.lit(" "), x["end"] - x["start"]))
+    form = lambda w: F.when(w.rlike(r"\p{N}"), "CODE").when(w.rlike(r"^\p{Lu}"), "NAME").otherwise("WORD")
+    one = lambda w, start, end: F.struct(F.lower(w).alias("term"), start.alias("start"), end.alias("end"), form(w).alias("form"))
+    return let(blank, lambda t: _placed(t, TERM, F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), one))
 
 
 def _key(text_col: str) -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+
 
+def disclosing_terms(mentions: DataFrame, terms: DataFrame, docs: DataFrame, text_col: str = "text", reach: int = 80, disclosure: float = 0.9) -> DataFrame:
+    """(entity, term, told): the terms that reveal an entity, from co-occurrence counts over all distinct texts.
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str = "text", disclosure: float = 0.9) -> DataFrame:
-    """(entity, term): the terms that reveal an entity, from co-occurrence counts over all distinct texts."""
-    shown = mentions.select("key", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).distinct()
+    mentions and terms have (key, entity, start, end) and (key, term, start, end). Near ones meet by stretches of the text, so
+    a text with any number of either is no single group.
+    """
+    wide = 2 * reach
+    at = F.explode(F.sequence(F.floor((F.col("start") - reach) / wide), F.floor((F.col("end") + reach) / wide)))
+    around = mentions.select("key", "entity", (F.col("start") - reach).alias("lo"), (F.col("end") + reach).alias("hi"), at.alias("at"))
+    placed = terms.withColumn("at", F.floor(F.col("start") / wide))
+    shown = around.join(placed, ["key", "at"]).where("start >= lo and end <= hi").select("key", "entity", "term").distinct()
     pairs = checkpointed(shown.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")))
     if pairs.isEmpty():
-        return pairs.select("entity", "term")
+        return pairs.select("entity", "term", F.lit(0.0).alias("told"))
     n_e = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # a text of c copies counts 1 / c in each, which the sum takes back to whole numbers
     copies = checkpointed(docs.select(_key(text_col).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")))
     total, several = copies.count(), copies.where("c > 1")
-    if several.count() * 96 <= BROADCAST_BYTES:
-        several = F.broadcast(several)
+    asked = checkpointed(pairs.select("term").distinct())
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    terms = pairs.select("term").distinct()
-    weighed = docs.select(_key(text_col).alias("key"), words.alias("words")).join(several, "key", "left")
-    n_t = weighed.select(F.explode("words").alias("term"), (1 / F.coalesce("c", F.lit(1))).alias("part")).groupBy("term").agg(F.round(F.sum("part")).alias("n_t")).join(terms, "term")
+    held = docs.select(_key(text_col).alias("key"), words.alias("words"))
+    if several.count() <= BROADCAST_ROWS:  # a text of c copies counts 1 / c in each, which the sum takes back to whole numbers
+        held = held.join(F.broadcast(several), "key", "left").select(F.explode("words").alias("term"), (1 / F.coalesce("c", F.lit(1))).alias("part"))
+        n_t = held.join(asked, "term").groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
+    else:
+        n_t = held.select("key", F.explode("words").alias("term")).join(asked, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n_t"))
     scored = pairs.join(n_e, "entity").join(n_t, "term")
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return scored.where((pmi >= disclosure * F.log(F.lit(float(total)) / F.col("n_e"))) & (pmi > 0)).select("entity", "term")
-
-
-def _occurrences(text: Column, told: Column, base: Column) -> Column:
-    """The spans of all whole words of a text that are in told and outside the base spans."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-
-    def step(a: Column, x: Column) -> Column:
-        start, end, word = a["at"] + F.length(x["p"]), a["at"] + F.length(x["p"]) + F.length(x["m"]), F.lower(x["m"])
-        span = F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), word.alias("value")))
-        return F.struct(end.alias("at"), F.when(F.array_contains(told, word), F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
-    found = F.aggregate(F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p")), empty, step)["out"]
-    return F.filter(found, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-
-
-def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 80, disclosure: float = 0.9) -> DataFrame:
-    """docs with base (the entities' spans) and spans (those and all disclosing terms of these entities in the text)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = find_entities(docs.select(text.alias("t"), _key(text_col).alias("key")), "t")
-    found = checkpointed(found.select("key", "base", _mentions(F.col("t"), reach).alias("mentions"))).where("size(base) > 0")
-    mentions = found.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
-    told = disclosing_terms(mentions, docs, text_col, disclosure)
-    by_text = mentions.select("key", "entity").distinct().join(told, "entity").groupBy("key").agg(F.collect_set("term").alias("told"))
-    by_text = checkpointed(by_text.join(found.groupBy("key").agg(F.first("base").alias("base")), "key"))
-    size = by_text.agg(F.coalesce(F.sum(F.size("told") + F.size("base")), F.lit(0)) * 96).first()[0]
-    held = docs.select(_key(text_col).alias("key"), text.alias("t")).join(F.broadcast(by_text) if size <= BROADCAST_BYTES else by_text, "key")
-    more = held.select("key", F.array_sort(_occurrences(F.col("t"), F.col("told"), F.col("base"))).alias("more")).groupBy("key").agg(F.first("more").alias("more"))
+    content = F.log(F.lit(float(total)) / F.col("n_e"))
+    return scored.where((pmi >= disclosure * content) & (pmi > 0)).select("entity", "term", (pmi / content).alias("told"))
+
+
+def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 80, disclosure: float = 0.9, removal: float = 0.999) -> DataFrame:
+    """docs with base (the entities' spans) and spans (those and all disclosing terms of these entities in the text). The value
+    of a term span is the class that it is generalised to."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    found = find_entities(docs.select(text.alias("t"), _key(text_col).alias("key")), "t").where("size(base) > 0")
+    found = checkpointed(found.select("key", "base", find_terms(F.col("t"), F.col("base")).alias("terms")).dropDuplicates(["key"]))
+    mentions = found.select("key", F.explode("base").alias("b")).select("key", F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity"), "b.start", "b.end")
+    terms = found.select("key", F.explode("terms").alias("w")).select("key", "w.*")
+    told = checkpointed(disclosing_terms(mentions, terms, docs, text_col, reach, disclosure))
+    of_text = mentions.select("key", "entity").distinct().join(told, "entity").groupBy("key", "term").agg(F.max("told").alias("told"))
+    hits = terms.join(of_text, ["key", "term"])
+    value = F.when(F.col("told") >= removal, "TERM").otherwise(F.col("form"))
+    more = hits.select("key", F.struct(F.lit("term").alias("kind"), "start", "end", value.alias("value")).alias("s")).groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("more"))
     none = F.expr(f"cast(array() as {SPANS})")
-    of_text = found.groupBy("key").agg(F.first("base").alias("b")).join(more, "key", "left").select(F.col("key").alias("__key"), F.col("b").alias("__base"), F.concat("b", F.coalesce("more", none)).alias("__spans"))
+    of_text = found.select("key", "base").join(more, "key", "left").select("key", F.col("base").alias("b"), F.concat("base", F.coalesce("more", none)).alias("s"))
     of_text = checkpointed(of_text)
-    size = of_text.agg(F.count(F.lit(1)) * 96 + F.coalesce(F.sum(F.size("__base") + F.size("__spans")), F.lit(0)) * 96).first()[0]
+    size = of_text.agg(F.count(F.lit(1)) * 96 + F.coalesce(F.sum(F.size("b") + F.size("s")), F.lit(0)) * 96).first()[0]
     if size <= BROADCAST_BYTES:
         of_text = F.broadcast(of_text)
-    kept = [c for c in docs.columns if c.lower() not in ("base", "spans")]
-    return docs.select(*kept, _key(text_col).alias("__key")).join(of_text, "__key", "left").select(*kept, F.coalesce("__base", none).alias("base"), F.coalesce("__spans", none).alias("spans"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("base", "spans")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(text_col).alias("key"))
+    return rows.join(of_text, "key", "left").select(*kept, F.coalesce("b", none).alias("base"), F.coalesce("s", none).alias("spans"))
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The text with overlapping spans joined and each replaced by its kind: an entity is removed, a term generalised."""
-    text = F.col(text_col).cast("string")
-    in_order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(
-        in_order,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-    )
-    whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2147483647)))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(F.col(text_col)))
+    """The text with overlapping spans joined and each replaced by a tag: an entity by its kind, a term by its class."""
+    tag = lambda x: F.concat(F.lit("["), F.when(x["first"]["kind"] == "term", x["first"]["value"]).otherwise(F.upper(x["first"]["kind"])), F.lit("]"))
+    return found.withColumn(text_col, replaced(F.col(f"`{text_col}`").cast("string"), F.col("spans"), tag))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -15,7 +15,8 @@ All counts are partial sums first, so neither thousands of copies nor a passage
 Windows never cross documents. Digits beyond the first have 128 bits.
 
 Null and empty texts are empty; texts shorter than `length` lose nothing; copies of a text lose everything that is in a window,
-repeated rows too; equal texts get equal results.
+repeated rows too; equal texts get equal results; an empty table gives no rows. The added columns replace input columns of
+their names; all others pass through, whatever their names are.
 """
 
 from __future__ import annotations
@@ -239,13 +240,15 @@ def cut(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> Iterator[byte
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, removed (the byte intervals), kept_sha256 and kept (the bytes that stay)."""
     added = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
     spans = checkpointed(repeated_intervals(docs.select(key.alias("key"), text.alias("text")), length))
     size = spans.agg(F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.size("spans")), F.lit(0)) * 24).first()[0]
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in added} | {"n_spans", "kept_sha256"}]
-    joined = docs.select(*kept, key.alias("__key"), text.alias("__t")).join((F.broadcast(spans) if size <= BROADCAST_BYTES else spans).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "__key", "left").drop("__key")
-    schema = T.StructType([*joined.select(*kept).schema.fields, *added.fields])
+    # the columns that pass through travel in one struct, so that their names cannot meet those of this operator
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0))
+    joined = docs.select(row.alias("row"), key.alias("key"), text.alias("t")).join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key", "left").select("row", "t", "spans")
+    schema = T.StructType([joined.schema["row"], *added.fields])
     interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,5 +262,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -
                 made = [pa.array([len(t) for t in some], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(some, kept_bytes)], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], interval), pa.array(kept_bytes, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], *made], [*part.schema.names[:-2], *added.names])
 
-    out = joined.select(*kept, "__t", "__spans").mapInArrow(work, schema)
-    return out.withColumn("n_spans", F.size("removed").cast("long")).withColumn("kept_sha256", F.sha2("kept", 256))
+    out = joined.mapInArrow(work, schema)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *added.names, F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -3,12 +3,15 @@
 Training counts the words of labelled documents. A word's log-odds between toxic and other documents are taken with an
 informative Dirichlet prior (pseudo-counts in the proportions of all labelled words, `prior` times their number) and kept if their z-score is at least `min_z`; every
 other word has the small negative log-odds of not being such a word. A linear-time scan finds all maximal scoring segments
-of a text. The best segment's score is calibrated as an extreme value: with lambda from the background and K from the segments of
-clean labelled documents, E = K n exp(-lambda S) segments as good are expected in n clean words. A logistic curve over -ln E, fitted
-to counts by bins over all labelled training documents, turns that into a probability.
+of a text. Their scores are calibrated as extreme values: with lambda from the background and K from the segments of clean labelled
+documents, a segment of score S has the normalised score lambda S - ln(K n), the -ln of how many as good are expected in n
+clean words. A text's evidence is the greatest, over r, of what its r best segments say together: the sum of their normalised
+scores, less ln r! for the orders in which r segments can come. So one clear passage counts as by itself and several middling ones add
+up. A logistic curve over the evidence, fitted to counts by bins over all labelled training documents, makes it a probability.
 
-The model is broadcast; it has at most `max_terms` words (those of the highest z-scores), a bound on the model, not on the data it is
-fitted to. Labels that are null are ignored; a document with several labels is toxic if one says so.
+The words of the model are those whose z-score is at least `min_z`, however many these are: the vocabulary of the labelled texts bounds
+them, and they are broadcast up to `max_model` of them; beyond that an error asks for a higher `min_z`, as no word is dropped silently.
+Labels that are null are ignored; a document with several labels is toxic if one says so.
 
 Null, empty and word-less texts have no segment and get the probability of such documents. Without labels of both kinds all scores
 are the share of toxic labels (0 if there are none). Repeated rows and ties get equal scores.
@@ -49,29 +52,31 @@ class Model:
 def segments(scores: list[tuple[int, float]], n: int, other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, end, score) of n words: the listed words score as given, all others score other.
 
-    Each listed positive word starts as a segment of its own. It joins the nearest earlier segment that begins lower and ends
-    lower, and so on until none is left.
+    Each listed positive word starts as a segment of its own. It joins the nearest earlier segment that begins lower, if that
+    ends lower, and so on until none is left. Every segment keeps a link to its nearest earlier one that begins lower, and a new
+    segment follows these links, which makes the scan linear.
     """
-    total, at, found = 0.0, 0, []
+    total, at = 0.0, 0
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, nearest earlier one that begins lower
     for i, s in scores:
         total += (i - at) * other
         at = i + 1
         if s <= 0:
             total += s
             continue
-        low, first = total, i
+        first, low = i, total
         total += s
-        high = total
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            first, low = found[j][0], found[j][2]
+            first, low, before = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((first, i + 1, low, high))
-    return [(a, b, high - low) for a, b, low, high in found]
+            j = before
+        found.append((first, i + 1, low, total, j))
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def _scan(texts: list[bytes], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
@@ -115,7 +120,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(work, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_words(labelled: DataFrame, prior: float = 0.1, min_z: float = 3.0, max_terms: int = 100_000) -> Model:
+def learn_words(labelled: DataFrame, prior: float = 0.1, min_z: float = 3.0, max_model: int = 5_000_000) -> Model:
     """The word weights of labelled (text, toxic 0 or 1)."""
     counts = checkpointed(_word_counts(labelled))
     docs = counts.where("word is null").first()
@@ -129,17 +134,20 @@ def learn_words(labelled: DataFrame, prior: float = 0.1, min_z: float = 3.0, max
     t, c = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(t / (nt + all_ - t)) - F.log(c / (nc + all_ - c))
     scored = words.select("word", "toxic", "clean", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
-    kept = scored.where(F.col("z") >= min_z).orderBy(F.col("z").desc(), "word").limit(max_terms).collect()
+    strong = checkpointed(scored.where(F.col("z") >= min_z))
+    if (size := strong.count()) > max_model:
+        raise ValueError(f"{size} words have a z-score of {min_z}: more than max_model, which bounds what is broadcast; raise min_z")
+    kept = sorted(strong.collect(), key=lambda r: r["word"])
     # what is left over for all other words
     pt, pc = sum(r["toxic"] for r in kept) / nt, sum(r["clean"] for r in kept) / nc
     other = min(math.log(max(1e-6, 1 - pt) / max(1e-6, 1 - pc)), -1e-3)
     raw = [r["word"].encode() for r in kept]
     hashes = np.concatenate([word_hashes(*word_spans([w])[:3])[:1] for w in raw]) if raw else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
+    order = np.lexsort((raw, hashes)) if raw else np.zeros(0, np.int64)
     weights = np.asarray([r["odds"] for r in kept])
     p = np.asarray([(r["clean"] + 0.5) / (nc + 1) for r in kept])
-    lam = _root(np.append(weights, other), np.append(p, max(0.0, 1 - p.sum())))
-    return Model(hashes[order], weights[order], other, lam, base=docs["toxic"] / (docs["toxic"] + docs["clean"]), words=[r["word"] for r in kept])
+    lam = _root(np.append(weights[order], other), np.append(p[order], max(0.0, 1 - p.sum())))
+    return Model(hashes[order], weights[order], other, lam, base=docs["toxic"] / (docs["toxic"] + docs["clean"]), words=[kept[i]["word"] for i in order])
 
 
 def _root(scores: np.ndarray, p: np.ndarray) -> float:
@@ -158,32 +166,52 @@ SEGMENT = T.StructType([T.StructField("first", T.LongType()), T.StructField("end
 
 
 def raw_scores(docs: DataFrame, model: Model, text_col: str = "text", passages: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, best (the best segment's score, 0 without one) and, if asked for, passages (all maximal segments)."""
+    """docs with n_words, best (the best segment's score, 0 without one), evidence (of all segments, once the model has its K) and,
+    if asked for, passages (all maximal segments)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("best", T.DoubleType())]
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("evidence", T.DoubleType())]
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def work(texts: list[bytes]) -> list[pa.Array]:
         n, found = _scan(texts, shared.value)
-        made = [pa.array(n, pa.int64()), pa.array([max((s for _, _, s in f), default=0.0) for f in found], pa.float64())]
+        scores = [[s for _, _, s in f] for f in found]
+        made = [pa.array(n, pa.int64()), pa.array([max(s, default=0.0) for s in scores], pa.float64()), pa.array([evidence(shared.value, s, int(k)) for s, k in zip(scores, n)], pa.float64())]
         return made + ([pa.array([[{"first": a, "end": b, "score": s} for a, b, s in f] for f in found], kind)] if passages else [])
 
     return map_text(docs, text_col, T.StructType(fields + [T.StructField("passages", T.ArrayType(SEGMENT))] * passages), work, keep)
 
 
-def _evidence(model: Model, best: Column | None = None) -> Column:
-    """-ln E of the best segment, at least 0 and at most 60; rounded to hundredths, which are the bins of the fit."""
-    best = F.col("best") if best is None else best
-    e = model.lam * best - F.log(model.k * F.greatest(F.col("n_words"), F.lit(1)))
-    return F.when(best > 0, F.round(F.least(F.greatest(e, F.lit(0.0)), F.lit(60.0)) + 0.01, 2)).otherwise(0.0)
+def evidence(model: Model, scores: list[float], n: int) -> float:
+    """What the segments of a text of n words say together, from 0 to 60 in hundredths, which are the bins of the fit."""
+    if not scores:
+        return 0.0
+    own = np.sort(model.lam * np.asarray(scores) - math.log(model.k * max(n, 1)))[::-1]
+    together = np.cumsum(own) - np.cumsum(np.log(np.arange(1, len(own) + 1)))
+    return round(min(max(float(together.max()), 0.0), 60.0) + 0.01, 2)
 
 
-def calibrate(model: Model, scored: DataFrame) -> Model:
-    """The extreme-value constant and the logistic curve from scored (n_words, best, toxic), all rows."""
+def _with_evidence(found: DataFrame, model: Model) -> DataFrame:
+    """(evidence, toxic) of (n_words, scores, toxic)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [evidence(model, s, n) for n, s in zip(batch.column("n_words").to_pylist(), batch.column("scores").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.float64()), batch.column("toxic")], ["evidence", "toxic"])
+
+    return found.select("n_words", "scores", "toxic").mapInArrow(work, "evidence double, toxic long")
+
+
+def fit_constant(model: Model, scored: DataFrame) -> Model:
+    """The extreme-value constant from scored (n_words, best, toxic), all rows."""
     clean = scored.where("toxic = 0").agg(F.sum("n_words").alias("n"), F.count_if(F.col("best") > 0).alias("c"), F.min(F.when(F.col("best") > 0, F.col("best"))).alias("x")).first()
     least = clean["x"] if clean["x"] is not None else float(model.weights[model.weights > 0].min(initial=1.0))
     model.k = ((clean["c"] or 0) + 0.5) / max(1, clean["n"] or 0) * math.exp(min(50.0, model.lam * least))
-    bins = scored.groupBy(_evidence(model).alias("e")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # 6001 rows at most
+    return model
+
+
+def calibrate(model: Model, scored: DataFrame) -> Model:
+    """The logistic curve from scored (evidence, toxic), all rows."""
+    bins = scored.groupBy("evidence").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("evidence").collect()  # 6001 rows at most
     x, t, n = (np.asarray([r[i] for r in bins], float) for i in range(3))
     model.slope, model.offset = fit_logistic(x, t, n)
     return model
@@ -206,7 +234,7 @@ def fit_logistic(x: np.ndarray, t: np.ndarray, n: np.ndarray, ridge: float = 1e-
 def probability(model: Model) -> Column:
     if not len(model.hashes):
         return F.lit(float(model.base))
-    z = model.slope * _evidence(model) + model.offset
+    z = model.slope * F.col("evidence") + model.offset
     return 1 / (1 + F.exp(-z))
 
 
@@ -221,8 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = rows.select(F.col(id_col).alias("__id"), text.alias("text")).join(known, "__id").select("text", "toxic")
     model = learn_words(labelled, **how)
     if len(model.hashes):
-        narrow = raw_scores(rows.select(F.col(id_col).alias("__id"), text.alias("text")), model, keep=["__id"])
-        model = calibrate(model, checkpointed(narrow.join(known, "__id").select("n_words", "best", "toxic")))
+        found = raw_scores(labelled, model, passages=True, keep=["toxic"])
+        found = checkpointed(found.select("toxic", "n_words", "best", F.transform("passages", lambda s: s["score"]).alias("scores")))
+        model = fit_constant(model, found)
+        model = calibrate(model, _with_evidence(found, model))
     return model
 
 
