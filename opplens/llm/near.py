@@ -296,13 +296,16 @@ def _pairs_of(kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def _apart(members: DataFrame, roots: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb, edits, g): every pair of a group that is in two classes and can be alike by length and histogram."""
-    rooted = with_roots(members.select("h", "key"), roots)
+def _apart(members: DataFrame, sketched: DataFrame, roots: DataFrame | None, keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb, edits, g): every pair of a group that is in two classes and can be alike by length and histogram.
+
+    A pair that shares several sketch values is looked at in the group of the first of them only.
+    """
+    rooted = with_roots(members.select("h", "s", "key"), roots)
     groups = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), most := members.count())
     side = F.broadcast(groups) if groups.count() <= BROADCAST_KEYS else groups
-    mixed = stored(rooted.join(side, "h").select("h", "key", "root", "blocks"), most)
+    mixed = stored(rooted.join(side, "h").select("h", "s", "key", "root", "blocks"), most)
     wanted = stored(mixed.select("key").distinct(), most)
     few = wanted.count() <= BROADCAST_KEYS
 
@@ -314,8 +317,9 @@ def _apart(members: DataFrame, roots: DataFrame, keyed: DataFrame, least: float)
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
     counted = map_text(texts, "text", added, count, ["key"]).dropDuplicates(["key"])
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = mixed.join(counted, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", F.xxhash64("root").alias("r"), "root", "key", "n", "words")
+    values = sketched.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+    rows = mixed.join(counted, "key").join(values, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", "s", F.xxhash64("root").alias("r"), "root", "key", "n", "words", "sketch")
     # two blocks are a run of equal g; "one" tells whether the run is a single block, whose members all meet
     rows = rows.repartition("g").sortWithinPartitions("g", "r")
 
@@ -323,10 +327,14 @@ def _apart(members: DataFrame, roots: DataFrame, keyed: DataFrame, least: float)
         for table in whole_runs(batches, "g"):
             one, block, r, n = (table.column(c).to_numpy() for c in ("one", "block", "r", "n"))
             words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            sketch = np.asarray(table.column("sketch").to_pylist(), np.int64)
+            own = table.column("s")[0].as_py()
             key, root = table.column("key").combine_chunks(), table.column("root").combine_chunks()
             for i, j in _pairs_of(r):
                 meet_here = one[i] | (block[i] != block[j])
                 i, j = i[meet_here], j[meet_here]
+                first = (sketch[i] == sketch[j]).argmax(1) == own
+                i, j = i[first], j[first]
                 like, edits = least_edits(n, words, i, j, least)
                 if len(like):
                     i, j = pa.array(i[like]), pa.array(j[like])
@@ -336,7 +344,7 @@ def _apart(members: DataFrame, roots: DataFrame, keyed: DataFrame, least: float)
     met = rows.mapInArrow(meet, "a binary, b binary, ra binary, rb binary, edits long, g long")
     swap = F.col("ra") > F.col("rb")
     ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ra", "rb"), ("rb", "ra"))]
-    return met.select(*ends, "edits", "g").groupBy("a", "b", "ra", "rb", "edits").agg(F.min("g").alias("g"))
+    return met.select(*ends, "edits", "g")
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None, key: str = "key", root: str = "root") -> DataFrame:
@@ -360,13 +368,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
 
     keyed = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketched = stored(map_text(keyed, "text", added, work, ["key"]).dropDuplicates(["key"]))
-    rows = sketched.select("key", F.explode("sketch").alias("h"))
+    rows = sketched.select("key", F.posexplode("sketch").alias("s", "h"))
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lead")).where("c > 1").select("h", "lead")
     members = stored(rows.join(groups, "h"))
     led = stored(members.where("key != lead").groupBy("key").agg(F.min("lead").alias("a")).select("a", F.col("key").alias("b")), members.count())
     links = stored(_aligned(led.withColumn("g", F.xxhash64("a")), keyed, similarity))
     roots = None if links.isEmpty() else components(links)
-    open_ = stored(_apart(members, roots, keyed, similarity))
+    open_ = stored(_apart(members, sketched, roots, keyed, similarity))
     tried = led.unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for step in range(3):
         if open_.isEmpty():
