@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from opplens.llm import decontaminate, mixing, near, pii, toxicity
 from opplens.llm.queries import TOXIC_FROM, toxicity_model
 
-#: No SQL: the toxicity, order-min-hash and co-occurrence stages cannot be written in it; tests hold the stages against brute force.
+#: No SQL: the toxicity, order-min-hash and co-occurrence stages cannot be written in it; tests/llm/test_whole.py holds each stage against
+#: plain rules on a small corpus.
 ORACLE_SQL = None
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The timeframes and their spellings.
-TIMEFRAMES = {"1m": "M1", "m1": "M1", "5m": "M5", "m5": "M5", "15m": "M15", "m15": "M15", "30m": "M30", "m30": "M30", "1h": "H1", "h1": "H1", "4h": "H4", "h4": "H4", "1d": "D1", "d1": "D1"}
+TIMEFRAMES = {"1m": "M1", "m1": "M1", "5m": "M5", "m5": "M5", "15m": "M15", "m15": "M15", "30m": "M30", "m30": "M30", "1h": "H1", "h1": "H1", "4h": "H4", "h4": "H4", "1d": "D1", "d1": "D1", "60": "H1", "16385": "H1"}
 #: The time formats that inputs use.
-TIME_FORMATS = ("yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+TIME_FORMATS = ("yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def first_reason(rules: dict[str, Column]) -> Column:
@@ -21,10 +21,12 @@ def all_reasons(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules.items()]))
 
 
-def timestamp_of(text: Column, zone: str = "UTC") -> Column:
-    """The time in UTC of a text in one of TIME_FORMATS at zone; NULL if it has none of them."""
+def timestamp_of(text: Column, zone: str = "UTC", epoch: Column | None = None) -> Column:
+    """The time in UTC of a text in one of TIME_FORMATS at zone; NULL if it has none of them, or if it is not the time that an epoch
+    in seconds gives."""
     t = F.trim(text)
-    return F.to_utc_timestamp(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]), zone)
+    at = F.to_utc_timestamp(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]), zone)
+    return at if epoch is None else F.when(F.unix_seconds(at) == epoch, at)
 
 
 def symbol(text: Column) -> Column:

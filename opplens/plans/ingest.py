@@ -19,13 +19,15 @@ def p1_p3_typed_fields(spark, d):
     return files.normalise_fields(raw, ("number",), ("ok",)).select("event_id", "number", "ok", F.size("bad_fields").alias("bad"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS at FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 = 5 OR event_id % 7 = 0 THEN NULL WHEN event_id % 6 IN (1, 3) THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS at FROM events")
 def p4_p5_timestamps(spark, d):
-    """Times written in four formats and one broken one, read back."""
+    """Times written in five formats and one broken one, read back and held against an epoch, which is wrong for some."""
     e = table(spark, d, "events")
     forms = [F.date_format("ts", f) for f in R.TIME_FORMATS]
-    text = F.when(F.col("event_id") % 5 == 0, forms[0]).when(F.col("event_id") % 5 == 1, forms[1]).when(F.col("event_id") % 5 == 2, forms[2]).when(F.col("event_id") % 5 == 3, forms[3]).otherwise("soon")
-    return e.select("event_id", R.timestamp_of(text).alias("at"))
+    text = F.coalesce(*[F.when(F.col("event_id") % 6 == i, f) for i, f in enumerate(forms)], F.lit("soon"))
+    shown = F.when(F.col("event_id") % 6 == 1, F.date_trunc("minute", "ts")).when(F.col("event_id") % 6 == 3, F.date_trunc("minute", "ts")).otherwise(F.date_trunc("second", "ts"))
+    epoch = F.unix_seconds(shown.cast("timestamp")) + F.when(F.col("event_id") % 7 == 0, 3600).otherwise(0)
+    return e.select("event_id", R.timestamp_of(text, epoch=epoch).alias("at"))
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_full_match(upper(trim(p_brand)), '[A-Z0-9._-]+') THEN upper(trim(p_brand)) END AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'H1' WHEN 1 THEN 'M15' END AS timeframe, CASE p_partkey % 3 WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' END AS side,
@@ -51,7 +53,12 @@ def p21_b10_a32_folds(spark, d):
     return x.groupBy("fold", "month").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("filled"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\\s+', ' ', 'g')) AS title FROM pages""")
+_TITLE = "regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"
+for _name, _value in files.ENTITIES.items():
+    _TITLE = f"replace({_TITLE}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"""SELECT page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title FROM pages""")
 def s8_titles(spark, d):
     return table(spark, d, "pages").select("page_id", files.title(F.col("html")).alias("title"))
 

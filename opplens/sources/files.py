@@ -90,8 +90,74 @@ def labelled_values(tables: DataFrame, key: str) -> DataFrame:
     return cell.select(key, F.rtrim("cell", F.lit(":")).alias("label"), F.get("cells", F.col("at") + 1).alias("value"))
 
 
+#: Named entities that titles hold.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def unescape(text: Column) -> Column:
+    """Named and decimal entities as characters, the ampersand last."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#\d{1,7};|.[^&]*"), F.lit(0))
+    point = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(p, r"^&#(\d+);", 1).cast("int")), 8, "0")), "UTF-32")
+    out = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^&#\d{1,7};$"), point(p)).otherwise(p)), "")
+    for name, value in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(value))
+    return out
+
+
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    """The page's title with entities decoded and white space collapsed."""
+    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.trim(F.regexp_replace(F.when(F.contains(raw, F.lit("&")), unescape(raw)).otherwise(raw), r"\s+", " "))
+
+
+def sniffed_csv(spark: SparkSession, paths: list[str], required: tuple[str, ...] = ()) -> DataFrame:
+    """Several CSVs as one, each with the separator (, ; or tab) that its header has most; columns that a file lacks are NULL."""
+    out = None
+    for path in paths:
+        header = spark.read.text(path).first()
+        best = max(",;\t", key=(header[0] if header else "").count)
+        one = read_csv(spark, path, required, best)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def json_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(file, keys): the top-level keys of each JSON file, sorted."""
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.col("_metadata.file_path").alias("file"), F.array_sort(F.json_object_keys("value")).alias("keys"))
+
+
+def deals(tables: DataFrame, key: str) -> DataFrame:
+    """(key, row, and the named columns) of the deals in table rows: below the header row that has Deal and Direction, buys and sells that
+    go in, out or out by. Numbers may have spaces as thousands separators."""
+    lower = F.transform("cells", lambda c: F.lower(F.trim(c)))
+    heads = tables.where(F.array_contains(lower, "deal") & F.array_contains(lower, "direction")).groupBy(key).agg(F.min(F.struct("row", lower.alias("names"))).alias("h"))
+    rows = tables.join(heads, key).where(F.col("row") > F.col("h.row"))
+    cell = lambda name: F.get("cells", F.array_position("h.names", name).cast("int") - 1)
+    number = lambda name: S.parse_number(F.regexp_replace(cell(name), r"[\s\u00a0]", ""))
+    out = rows.select(key, "row", F.lower(F.trim(cell("type"))).alias("type"), F.lower(F.trim(cell("direction"))).alias("direction"), cell("time").alias("time"), *[number(n).alias(n) for n in ("deal", "volume", "price", "profit", "balance")])
+    return out.where(F.col("type").isin("buy", "sell") & F.col("direction").isin("in", "out", "out by"))
+
+
+def snapshot(spark: SparkSession, path: str, glob: str, manifest: str, taken: str) -> DataFrame:
+    """Appends (taken, path, size, lines, sha256) of the files below path to a manifest, and returns what was appended."""
+    rows = inventory(spark, path, glob).select(F.lit(taken).alias("taken"), "path", "size", "lines", "sha256")
+    rows.write.mode("append").parquet(manifest)
+    return spark.read.parquet(manifest).where(F.col("taken") == taken)
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """One JSON text a row with its keys sorted, for reports that must not depend on the order of columns."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)])).alias("value"))
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A table of a small result; more rows than `most` are an error, not a cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: summarise them first")
+    line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
+    return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *map(line, found)])
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -60,3 +60,26 @@ def stream_bars(ticks: DataFrame, every: str, late: str, symbol: str, ts: str, p
         .agg(F.min_by(price, at).alias("o"), F.max(price).alias("h"), F.min(price).alias("l"), F.max_by(price, at).alias("c"), F.count(F.lit(1)).alias("vol"))
         .select("symbol", F.col("window.start").alias("bar_ts"), "o", "h", "l", "c", "vol")
     )
+
+
+def first_of_key(stream: DataFrame, key: list[str], ts: str, late: str) -> DataFrame:
+    """The first record of each key within `late` of it: the state holds the keys of that time, not all keys ever seen."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+
+
+def attach_outcomes(predictions: DataFrame, bars_: DataFrame, horizon: str, late: str) -> DataFrame:
+    """Each prediction (id, symbol, committed) with each later bar (symbol, bar_ts, c) within the horizon, once; both sides may be streams.
+
+    The interval bounds the state of both sides: a prediction is forgotten when no bar of its horizon can come any more.
+    """
+    p = predictions.withWatermark("committed", late).alias("p")
+    b = bars_.withWatermark("bar_ts", late).alias("b")
+    on = (F.col("p.symbol") == F.col("b.symbol")) & (F.col("b.bar_ts") > F.col("p.committed")) & F.expr(f"b.bar_ts <= p.committed + interval {horizon}")
+    return p.join(b, on).select("p.id", "p.symbol", "p.committed", "b.bar_ts", "b.c")
+
+
+def scored(stream: DataFrame, weights: list[float], features: list[str], history: DataFrame, by: list[str]) -> DataFrame:
+    """The records with the probability of a frozen model and the columns of a frozen table of history, by keys."""
+    from opplens.operators.models import linear, sigmoid
+
+    return stream.join(history, by, "left").withColumn("probability", sigmoid(linear(weights, features)))

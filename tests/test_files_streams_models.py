@@ -95,11 +95,11 @@ def test_models_against_numpy(spark):
     x = rng.normal(size=(200, 2)).round(3)
     y = (x @ [1.0, -2.0] + rng.normal(size=200) > 0).astype(int)
     df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)] + [(None, 1.0, 1)], "a double, b double, y int")
-    want = np.zeros(3)
+    want = np.array([np.log(y.mean() / (1 - y.mean())), 0, 0])  # the fit starts at the logit of the mean label
     full = np.hstack([np.ones((200, 1)), x])
     for _ in range(5):
         slope = full.T @ (1 / (1 + np.exp(-full @ want)) - y) / 200
-        slope[1:] += want[1:] / 200
+        slope[1:] += want[1:]  # the penalty is not divided by the rows
         want = want - 0.05 * slope
     assert np.allclose(models.fit_logistic(df, ["a", "b"], "y", steps=5), want)
     penalty = np.diag([0.0, 1.0, 1.0])
@@ -123,3 +123,49 @@ def test_bootstrap_agrees_with_itself_and_the_mean(spark):
     low, mid, high = models.bootstrap_blocks(df, "id", "v", draws=200).first()
     assert low <= mid <= high and abs(mid - 3) < 0.1
     assert models.bootstrap_blocks(df, "id", "v", draws=200).first() == (low, mid, high)
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿x;y\n1;2\n")
+    (tmp_path / "b.csv").write_text("x\tz\n3\t4\n")
+    both = files.sniffed_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], ("x",))
+    assert sorted(map(tuple, both.select("x", "y", "z").collect()), key=str) == [("1", "2", None), ("3", None, "4")]
+    with pytest.raises(ValueError):
+        files.sniffed_csv(spark, [str(tmp_path / "a.csv")], ("q",))
+    (tmp_path / "s.json").write_text('{"b": {"c": 1},\n "a": 2}')
+    assert files.json_keys(spark, str(tmp_path / "s.json")).first().keys == ["a", "b"]
+    html = "<title>A &amp; B&#233; &lt;x&gt;</title><table><tr><td>Deals</td></tr><tr><th>Time</th><th>Deal</th><th>Type</th><th>Direction</th><th>Volume</th><th>Price</th><th>Profit</th><th>Balance</th></tr><tr><td>t1</td><td>1</td><td>buy</td><td>in</td><td>0.10</td><td>16 516.65</td><td>0</td><td>1 000.00</td></tr><tr><td>t2</td><td>2</td><td>balance</td><td></td><td></td><td></td><td></td><td></td></tr><tr><td>t3</td><td>3</td><td>sell</td><td>out by</td><td>0.10</td><td>x</td><td>-2.5</td><td>997.50</td></tr></table>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert pages.select(files.title(F.col("html"))).first()[0] == "A & Bé <x>"
+    got = files.deals(files.html_tables(pages, "page_id"), "page_id").orderBy("row").collect()
+    assert [(r.time, r.deal, r.price, r.balance) for r in got] == [("t1", 1.0, 16516.65, 1000.0), ("t3", 3.0, None, 997.5)]
+    kept = files.snapshot(spark, str(tmp_path), "*.csv", str(tmp_path / "manifest"), "t1")
+    files.snapshot(spark, str(tmp_path), "a.csv", str(tmp_path / "manifest"), "t2")
+    assert kept.count() == 2 and spark.read.parquet(str(tmp_path / "manifest")).count() == 3
+    rows = spark.createDataFrame([(2, "x|y")], "b long, a string")
+    assert files.report_lines(rows).first()[0] == '{"a":"x|y","b":2}'
+    assert files.markdown(rows).splitlines()[-1] == "| 2 | x\\|y |"
+    with pytest.raises(ValueError):
+        files.markdown(rows.union(rows), 1)
+
+
+def test_streams_with_bounded_state(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    spark.createDataFrame([("a", "X", at(0)), ("a", "X", at(1)), ("b", "X", at(2))], "id string, symbol string, committed timestamp").coalesce(1).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("X", at(1), 1.0), ("X", at(3), 2.0), ("X", at(9), 3.0), ("Y", at(1), 4.0)], "symbol string, bar_ts timestamp, c double").coalesce(1).write.parquet(str(tmp_path / "b"))
+    read = lambda n, s: spark.readStream.schema(s).parquet(str(tmp_path / n))
+    p = events.first_of_key(read("p", "id string, symbol string, committed timestamp"), ["id"], "committed", "6 hours")
+    met = events.attach_outcomes(p, read("b", "symbol string, bar_ts timestamp, c double"), "4 hours", "6 hours")
+    weighed = events.scored(met, [0.0, 1.0], ["c"], spark.createDataFrame([("X", 0.5)], "symbol string, prior double"), ["symbol"])
+    weighed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    out = sorted((r.id, r.c, r.prior, round(r.probability, 4)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert out == [("a", 1.0, 0.5, 0.7311), ("a", 2.0, 0.5, 0.8808), ("b", 2.0, 0.5, 0.8808)]
+
+
+def test_one_class_and_edges(spark):
+    df = spark.createDataFrame([(0.5, 1), (1.5, 1)], "a double, y int")
+    assert np.allclose(models.fit_logistic(df, ["a"], "y"), [models.logit(1.0), 0])
+    assert models.fit_platt(df.limit(0), "a", "y").tolist() == [0.0, 1.0]
+    assert models.edge_status(30, 0.2, 0.25, 0.6, 0.01) == "DEMONSTRATED" and models.edge_status(5, 0.2, 0.25, 0.6, 0.01) == "INSUFFICIENT_DATA"
