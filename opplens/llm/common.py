@@ -112,18 +112,25 @@ def map_text(df: DataFrame, text_col: str, added: T.StructType, work: Callable[[
     """df with columns that work computes from the texts of a block; keep: the input columns to pass on (all, but for clashes)."""
     names = {f.name.lower() for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    typed = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = T.StructType([*typed.schema.fields[:-1], *added.fields])
+    typed = df.select(row_of(kept).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([typed.schema["row"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(batch.num_columns - 1))
+            texts = text_bytes(batch.column(1))
             for lo, hi in blocks(texts):
-                part = batch.slice(lo, hi - lo)
-                made = work(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], *added.names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *work(texts[lo:hi])], schema.names)
 
-    return typed.mapInArrow(run, schema)
+    return typed.mapInArrow(run, schema).select(*of_row(kept), *added.names)
+
+
+def row_of(columns: list[str]) -> Column:
+    """The columns in one struct, in which their names, whatever they are, meet no other names."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+
+
+def of_row(columns: list[str], row: str = "row") -> list[Column]:
+    return [F.col(f"{row}.`{c}`").alias(c) for c in columns]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

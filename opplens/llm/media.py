@@ -3,7 +3,8 @@
 A payload is the text's UTF-8 followed by bytes 255 up to a positive multiple of `unit`; it becomes a grey image of rows of `unit`
 pixels. The format allows 16,384 rows, so longer payloads are a sequence of such files, one after the other.
 
-Null and empty texts are one unit of padding. Equal texts give equal files and features; nothing is truncated.
+Null and empty texts are one unit of padding. Equal texts give equal files and features, repeated rows all stay, an empty table
+gives no rows; nothing is truncated. Added columns replace input columns of their names, all others pass through.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, of_row, row_of
 from .webp import decode, encode_grey
 
 UNIT = 576
@@ -78,19 +80,20 @@ READ = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongTy
 
 def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
     """The rows without the media column, with digests of the payload that was read back from it and features of its pixels."""
-    kept = [c for c in stored.columns if c != media_col and c not in READ.names]
-    schema = T.StructType([*stored.select(*kept).schema.fields, *READ.fields])
+    kept = [c for c in stored.columns if c != media_col and c.lower() not in READ.names]
+    rows = stored.select(row_of(kept).alias("row"), F.col(f"`{media_col}`").alias("media"))
+    schema = T.StructType([rows.schema["row"], *READ.fields])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for media in batch.column(batch.num_columns - 1):
+            found = []
+            for media in batch.column(1):
                 raw = media.as_py()
                 pixels = pixels_of(raw)
                 payload = pixels.tobytes()
-                rows.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha256(raw).hexdigest(), describe(pixels)))
-            made = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema.names)
+                found.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha256(raw).hexdigest(), describe(pixels)))
+            made = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], schema.names)
 
-    return stored.select(*kept, media_col).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*of_row(kept), *READ.names)

@@ -15,7 +15,8 @@ Two deterministic transducers are chained.
 BPE is exact here because the encoding of a prefix ends in exactly one token that is compatible with the encoding before it
 (two tokens are compatible if merging their bytes gives back the two).
 
-Null and empty texts have no tokens. Texts are never truncated.
+Null and empty texts have no tokens. Texts are never truncated. Equal texts have equal counts, repeated rows all stay, an empty table gives
+no rows; added columns replace input columns of their names, all others pass through.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, checkpointed, map_text, text_bytes, word_hashes, word_spans
+from .common import blocks, checkpointed, map_text, of_row, row_of, text_bytes, word_hashes, word_spans
 
 
 #: Labels (an id and a flag) are broadcast up to this many rows; beyond it the texts are shuffled to them.
@@ -259,8 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from threshold on)."""
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
-    rows = raw_scores(docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)], F.col(text_col).alias("__x")), model, "__x", keep=[f"__{i}" for i in range(len(kept))])
-    return rows.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], probability(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = raw_scores(docs.select(row_of(kept).alias("kept"), F.col(f"`{text_col}`").alias("text")), model, "text", keep=["kept"])
+    return rows.select(*of_row(kept, "kept"), probability(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def significant_passages(docs: DataFrame, model: Model, text_col: str = "text", max_e: float = 0.05) -> DataFrame:

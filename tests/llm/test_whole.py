@@ -182,7 +182,7 @@ def test_awkward_tables(spark, awkward, name, tmp_path):
     out.write.parquet(str(tmp_path / "out"))  # which refuses names that come twice
     back = spark.read.parquet(str(tmp_path / "out"))
     n = awkward.count()
-    assert back.count() == (n if name != "near" else 7)
+    assert back.count() == (n if name != "near" else 6)  # null is empty; equal texts are one
     if "a.b" in back.columns and name != "near":
         assert sorted(r[0] for r in back.select("`a.b`").collect()) == sorted(r[0] for r in awkward.select("`a.b`").collect())
     empty = run(awkward.limit(0))
