@@ -123,8 +123,8 @@ def sniffed_csv(spark: SparkSession, paths: list[str], required: tuple[str, ...]
 
 def json_keys(spark: SparkSession, path: str) -> DataFrame:
     """(file, keys): the top-level keys of each JSON file, sorted."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.array_sort(F.json_object_keys("value")).alias("keys"))
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.col("_metadata.file_path").alias("file"), F.array_sort(F.map_keys(F.from_json("value", "map<string,string>"))).alias("keys"))
 
 
 def deals(tables: DataFrame, key: str) -> DataFrame:

@@ -68,11 +68,11 @@ def first_of_key(stream: DataFrame, key: list[str], ts: str, late: str) -> DataF
 
 
 def attach_outcomes(predictions: DataFrame, bars_: DataFrame, horizon: str, late: str) -> DataFrame:
-    """Each prediction (id, symbol, committed) with each later bar (symbol, bar_ts, c) within the horizon, once; both sides may be streams.
+    """Each prediction (id, symbol, committed) with each later bar (symbol, bar_ts, c) within the horizon, once; both sides are streams.
 
-    The interval bounds the state of both sides: a prediction is forgotten when no bar of its horizon can come any more.
+    Predictions come with a watermark on committed, as first_of_key gives them; that of the bars is set here. The interval bounds the state of both sides: a prediction is forgotten when no bar of its horizon can come any more.
     """
-    p = predictions.withWatermark("committed", late).alias("p")
+    p = predictions.alias("p")
     b = bars_.withWatermark("bar_ts", late).alias("b")
     on = (F.col("p.symbol") == F.col("b.symbol")) & (F.col("b.bar_ts") > F.col("p.committed")) & F.expr(f"b.bar_ts <= p.committed + interval {horizon}")
     return p.join(b, on).select("p.id", "p.symbol", "p.committed", "b.bar_ts", "b.c")
