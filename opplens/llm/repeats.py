@@ -40,6 +40,8 @@ PIECE = 1 << 20
 BROADCAST_BYTES = 48 << 20
 #: Windows in a block of the third digit.
 BLOCK = 16
+#: A digit that more rows than this have is dealt to several tasks.
+HEAVY = 50_000
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -178,7 +180,23 @@ def _weigh(rows: DataFrame, group: list[str], content: list[str]) -> DataFrame:
     kinds = rows.groupBy(*group, *content).agg(F.sum("n").alias("times"))
     groups = kinds.groupBy(*group).agg(F.min("times").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1").select(*group, F.lit(True).alias("open"))
     known = kinds.join(groups, group, "left").select(*group, *content, "times", F.coalesce("open", F.lit(False)).alias("open")).where("times > 1 or open")
-    return rows.join(known, [*group, *content])
+    return _spread_join(rows, known, [*group, *content], "times")
+
+
+def _spread_join(rows: DataFrame, known: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows (with key and lo) joined with known, which has a row for each value of on and in n how many rows there are of it.
+
+    Values of more than HEAVY rows are salted: their rows are dealt by content to several tasks, each of which gets the known
+    row. There are at most rows / HEAVY such values, which bounds what is broadcast.
+    """
+    known = stored(known)
+    heavy = stored(known.where(F.col(n) > HEAVY).select(*on, F.ceil(F.col(n) / HEAVY).cast("int").alias("salts")), known.count())
+    if heavy.isEmpty():
+        return rows.join(known, on)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = rows.join(F.broadcast(heavy), on, "left").withColumn("salt", F.pmod(F.xxhash64("key", "lo"), salts).cast("int")).drop("salts")
+    known = known.join(F.broadcast(heavy), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return salted.join(known, [*on, "salt"]).drop("salt")
 
 
 def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
@@ -188,8 +206,8 @@ def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
 def repeated_intervals(keyed: DataFrame, length: int) -> DataFrame:
     """(key, text) to (key, spans): the byte intervals that repeated windows cover, in order."""
     rows = find_runs(keyed, length)
-    known = rows.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-    near = stored(rows.join(known, "a").withColumn("n", F.lit(1).cast("long")))
+    known = rows.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    near = stored(_spread_join(rows, known, ["a"], "k").drop("k").withColumn("n", F.lit(1).cast("long")))
     weighed = stored(_weigh(near, ["a"], ["c1", "c2"]).select("key", "a", "c1", "c2", "lo", "hi", "at", "times", "open"))
     spans = weighed.where("times > 1").select("key", "lo", (F.col("hi") + length).alias("end"))
     # of contents that occur more often one run stands for all

@@ -299,7 +299,9 @@ def test_near_recall_over_all_pairs(spark):
     assert len(mine) - len(set(want.values())) <= 0.1 * (len(texts) - len(set(want.values())))
 
 
-def test_repeats(docs):
+@pytest.mark.parametrize("heavy", [50_000, 2])
+def test_repeats(docs, monkeypatch, heavy):
+    monkeypatch.setattr(repeats, "HEAVY", heavy)  # with 2, nearly every digit is dealt to several tasks
     rows = repeats.remove_repeats(docs, 40).collect()
     texts = [(r.text or "").encode() for r in rows]
     seen = Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
@@ -308,6 +310,19 @@ def test_repeats(docs):
         assert bytes(r.kept) == bytes(c for j, c in enumerate(t) if j not in gone) and r.n_removed == len(gone)
 
 
+def test_repeats_of_400_bytes_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = repeats.remove_repeats(docs, 400).collect()
+    texts = [(r.text or "").encode() for r in rows]
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for r, t in zip(rows, texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        assert bytes(r.kept) == bytes(np.frombuffer(t, np.uint8)[~gone]) and r.n_removed == gone.sum() and r.n_spans == (np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     vocab = [f"w{i}" for i in range(400)]
