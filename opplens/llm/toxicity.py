@@ -5,9 +5,10 @@ informative Dirichlet prior (pseudo-counts in the proportions of all labelled wo
 other word has the small negative log-odds of not being such a word. A linear-time scan finds all maximal scoring segments
 of a text. Their scores are calibrated as extreme values: with lambda from the background and K from the segments of clean labelled
 documents, a segment of score S has the normalised score lambda S - ln(K n), the -ln of how many as good are expected in n
-clean words. A text's evidence is the greatest, over r, of what its r best segments say together: the sum of their normalised
-scores, less ln r! for the orders in which r segments can come. So one clear passage counts as by itself and several middling ones add
-up. A logistic curve over the evidence, fitted to counts by bins over all labelled training documents, makes it a probability.
+clean words. A text's evidence is that of its best segment. (Adding up the r best segments, less ln r!, was tried: on held-out
+documents of check_s it found 533 of 718 toxic ones with 51 false, the best segment alone 655 with 16 false.) A logistic curve
+over the evidence, fitted to counts by bins over all labelled training documents, makes it a probability. significant_passages
+gives every passage that is significant by itself.
 
 The words of the model are those whose z-score is at least `min_z`, however many these are: the vocabulary of the labelled texts bounds
 them, and they are broadcast up to `max_model` of them; beyond that an error asks for a higher `min_z`, as no word is dropped silently.
@@ -166,7 +167,7 @@ SEGMENT = T.StructType([T.StructField("first", T.LongType()), T.StructField("end
 
 
 def raw_scores(docs: DataFrame, model: Model, text_col: str = "text", passages: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, best (the best segment's score, 0 without one), evidence (of all segments, once the model has its K) and,
+    """docs with n_words, best (the best segment's score, 0 without one), evidence (once the model has its K) and,
     if asked for, passages (all maximal segments)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("evidence", T.DoubleType())]
@@ -182,12 +183,11 @@ def raw_scores(docs: DataFrame, model: Model, text_col: str = "text", passages:
 
 
 def evidence(model: Model, scores: list[float], n: int) -> float:
-    """What the segments of a text of n words say together, from 0 to 60 in hundredths, which are the bins of the fit."""
+    """What the best segment of a text of n words says, from 0 to 60 in hundredths, which are the bins of the fit."""
     if not scores:
         return 0.0
-    own = np.sort(model.lam * np.asarray(scores) - math.log(model.k * max(n, 1)))[::-1]
-    together = np.cumsum(own) - np.cumsum(np.log(np.arange(1, len(own) + 1)))
-    return round(min(max(float(together.max()), 0.0), 60.0) + 0.01, 2)
+    best = model.lam * max(scores) - math.log(model.k * max(n, 1))
+    return round(min(max(best, 0.0), 60.0) + 0.01, 2)
 
 
 def _with_evidence(found: DataFrame, model: Model) -> DataFrame:
