@@ -201,12 +201,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
 ROWS_A_FILE = 250_000
 
 
-def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None, codec: str = "snappy") -> DataFrame:
     """df written as a table in the shared folder and read again. If it is narrow and has at most so many rows, by as few tasks as
     that asks for: loops over small tables would else spend their time on empty tasks.
 
     Smaller than a checkpoint for many rows; and its size is known, while a checkpoint keeps the planner's estimate, which loops
     of joins multiply into numbers of millions of digits."""
     folder = f"{shared_folder(df.sparkSession)}/opplens-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)).write.parquet(folder)
+    (df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)).write.parquet(folder, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: A key of more rows than this is dealt to several tasks by salted_join, and there are at most so many such keys.
+SALT_ROWS, SALT_KEYS = 50_000, 10_000
+
+
+def salted_join(rows: DataFrame, known: DataFrame, on: list[str], times: str, salt_by: Column, how: str = "inner") -> DataFrame:
+    """rows joined with known, which has one row for each value of on and in the column times how many of rows have it.
+
+    Values that very many rows have are salted: salt_by deals their rows to several tasks, each of which gets the known row. A
+    value counts as such from rows / SALT_KEYS on, so at most SALT_KEYS of them are broadcast, whatever the size of the data.
+    """
+    known = stored(known)
+    total = known.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    most = max(SALT_ROWS, total // SALT_KEYS)
+    heavy = known.where(F.col(times) > most).select(*on, F.ceil(F.col(times) / most).cast("int").alias("salts"))
+    if heavy.isEmpty():
+        return rows.join(known, on, how)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = rows.join(F.broadcast(heavy), on, "left").withColumn("salt", F.pmod(F.xxhash64(salt_by), salts).cast("int")).drop("salts")
+    known = known.join(F.broadcast(heavy), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return salted.join(known, [*on, "salt"], how).drop("salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, media, mixing, near, pii, repeats, tokens, toxicity
+from . import align, audit, chat, decontaminate, licences, media, mixing, near, pii, recompress, repeats, tokens, toxicity
 
 TOXIC_FROM = 0.7
 
@@ -80,7 +80,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of() == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_pii, op4_tokens, op5_media, op6_licences, op7_chat, op8_near_duplicates, op9_repeats, op10_toxicity)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), *paths, keep=["doc_id"])
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = recompress.remove_repeated_windows(_read(spark, sf_dir, "documents").select("doc_id", "text"), 13, keep=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_pii, op4_tokens, op5_media, op6_licences, op7_chat, op8_near_duplicates, op9_repeats, op10_toxicity, op11_alignment, op12_substrings, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -160,4 +176,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_mix": OP2_SQL, "op7_chat": OP7_SQL}
+_WORDS12 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS12} AS w FROM documents),
+places AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram FROM places),
+firsts AS (SELECT gram, min(doc_id) AS first FROM windows GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT r, list(DISTINCT j) AS gone FROM (SELECT r, unnest(range(i, i + 13)) AS j FROM windows JOIN firsts USING (gram) WHERE doc_id > first) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (r)
+"""
+
+#: op13: documents by what they fail, then each order over those counts.
+OP13_SQL = f"""
+WITH docs AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, {_WORDS12} AS w FROM documents),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN docs.doc_id > min(docs.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM docs LEFT JOIN known USING (doc_id)),
+kinds AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+met AS (
+  SELECT k.*, o, coalesce(list_min(list_transform(CASE WHEN fails = '' THEN NULL ELSE string_split(fails, '') END, lambda l: strpos(o, l))), 6) AS gone
+  FROM kinds k, orders),
+steps AS (
+  SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, o[s] AS filter,
+    sum(CASE WHEN gone > s THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = s THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone < s AND contains(fails, o[s]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = o[s] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = s THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = s THEN toxic ELSE 0 END) AS toxic_lost
+  FROM met, (SELECT unnest(range(1, 6)) AS s) GROUP BY part, o, s)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM steps
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_mix": OP2_SQL, "op7_chat": OP7_SQL, "op12_substrings": OP12_SQL, "op13_filter_audit": OP13_SQL}
