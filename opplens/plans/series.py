@@ -19,7 +19,7 @@ def numbered(spark, d):
 
 @query(f"""WITH {BARS}, x AS (SELECT *, c - lag(c) OVER w AS d FROM bars {W}), y AS (SELECT *, avg(greatest(d, 0)) OVER w14 AS up, avg(greatest(-d, 0)) OVER w14 AS down, count(d) OVER w14 AS n FROM x {W})
 SELECT symbol, bar_ts, CASE WHEN n = 14 THEN round(CASE WHEN up + down > 1e-12 THEN 100 * up / (up + down) ELSE 50 END, 6) END AS rsi FROM y""")
-def w1_rsi(spark, d):
+def w1_simple_mean_rsi(spark, d):
     """Relative strength over simple means of the last 14 moves; 50 where nothing moved."""
     x = numbered(spark, d).withColumn("move", F.col("c") - F.col("p"))
     x = x.select("symbol", "bar_ts", F.count("move").over(B.last(14)).alias("n"), F.avg(F.when(F.col("move").isNotNull(), F.greatest("move", F.lit(0.0)))).over(B.last(14)).alias("up"), F.avg(F.when(F.col("move").isNotNull(), F.greatest(-F.col("move"), F.lit(0.0)))).over(B.last(14)).alias("down"))
