@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .features import medians
+
 #: Event labels of the two audits and what they have in common.
 SEMANTICS = {"FLAT_LONG_ONLY": "LONG_ONLY", "FLAT_SHORT_ONLY": "SHORT_ONLY", "OPEN_OPPOSITE_SIDE": "BLOCKED_OPPOSITE", "OPEN_SAME_SIDE": "BLOCKED_SAME_SIDE"}
 #: Names that tell of an outcome and so are no features, and prefixes of such names.
@@ -92,16 +94,17 @@ def canonical_view(rows: DataFrame, key: str, ts: str, source: str, audit: str,
 
     The first value is that of the least (time, audit, source). A field with incompatible values is NULL and CONFLICT, one
     without values INSUFFICIENT. A row is CONFLICT if a field is, INSUFFICIENT without values, PARTIAL with some, else VALID.
-    Two aggregations over the same grouping do it: the first values, then what agrees with them.
+    What is compatible with the first value is an interval around it, so the least and the greatest value tell whether all are:
+    one aggregation, without a join.
     """
     order = F.struct(ts, audit, source)
-    first = rows.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"first_{c}") for c in fields])
-    both = rows.join(first, key)
-    near = lambda c: F.abs(F.col(c) - F.col(f"first_{c}")) <= F.greatest(relative * F.greatest(F.abs(F.col(c)), F.abs(F.col(f"first_{c}"))), F.lit(absolute))
-    out = both.groupBy(key).agg(
+    near = lambda c, x: F.abs(F.col(f"{x}_{c}") - F.col(f"first_{c}")) <= F.greatest(relative * F.greatest(F.abs(F.col(f"{x}_{c}")), F.abs(F.col(f"first_{c}"))), F.lit(absolute))
+    out = rows.groupBy(key).agg(
         F.max(ts).alias(ts), F.count(F.lit(1)).alias("observations"), F.array_sort(F.collect_set(audit)).alias("audits"),
-        *[F.count(c).alias(f"n_{c}") for c in fields], *[F.bool_and(near(c)).alias(f"same_{c}") for c in fields], *[F.avg(c).alias(c) for c in fields],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"first_{c}") for c in fields],
+        *[f(c).alias(f"{name}_{c}") for c in fields for name, f in (("n", F.count), ("low", F.min), ("high", F.max))], *[F.avg(c).alias(c) for c in fields],
     )
+    out = out.withColumns({f"same_{c}": near(c, "low") & near(c, "high") for c in fields})
     state = lambda c: F.when(F.col(f"n_{c}") == 0, "INSUFFICIENT").when(F.col(f"same_{c}"), "VALID").otherwise("CONFLICT")
     out = out.withColumns({f"status_{c}": state(c) for c in fields})
     known = sum((F.col(f"status_{c}") == "VALID").cast("int") for c in fields)
@@ -123,15 +126,17 @@ def hit_metrics(prefix: str) -> list[Column]:
     return [plus.alias(f"{prefix}plus1r_first"), minus.alias(f"{prefix}minus1r_first"), (plus + minus).alias(f"{prefix}resolved_events"), F.try_divide(plus.cast("double"), (plus + minus).cast("double")).alias(f"{prefix}plus1r_first_rate")]
 
 
-def event_metrics(horizons: Sequence[int] = HORIZONS) -> list[Column]:
-    """All metrics of a population of completed valid events."""
+def event_metrics(rows: DataFrame, by: Sequence[str], horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """All metrics of populations of completed valid events."""
     out = [F.count(F.lit(1)).alias("events"), F.count(F.lit(1)).alias("complete_events")]
     for prefix in ("shadow_", "active_", "actual_selected_"):
         out += hit_metrics(prefix)
     for family in ("shadow_return", "active_continuation", "opportunity_diff"):
         for h in horizons:
-            out += [F.avg(f"{family}_{h}bar_r").alias(f"mean_{family}_{h}_r"), F.median(f"{family}_{h}bar_r").alias(f"median_{family}_{h}_r")]
-    return out + [F.median(f"{p}_{m}").alias(f"median_{p}_{m}") for p in ("shadow", "active", "actual_selected") for m in ("mfe_r", "mae_r")]
+            out.append(F.avg(f"{family}_{h}bar_r").alias(f"mean_{family}_{h}_r"))
+    middle = {f"median_{f}_{h}_r": f"{f}_{h}bar_r" for f in ("shadow_return", "active_continuation", "opportunity_diff") for h in horizons}
+    middle |= {f"median_{p}_{m}": f"{p}_{m}" for p in ("shadow", "active", "actual_selected") for m in ("mfe_r", "mae_r")}
+    return rows.groupBy(*by).agg(*out).join(medians(rows, by, middle), list(by), "left")
 
 
 def relation_holds() -> Column:
@@ -169,11 +174,12 @@ def event_quality(expected_bars: int = 48, horizons: Sequence[int] = HORIZONS) -
 def promotion_gates(rows: DataFrame, by: Sequence[str], fold: str, year: str, least: int = 30) -> DataFrame:
     """For each hypothesis the five gates over its completed events and the conclusion."""
     snap = rows.groupBy(*by).pivot(fold, ["validation", "oos"]).agg(
-        F.count(F.lit(1)).alias("n"), F.median("opportunity_diff_24bar_r").alias("d24"), F.median("opportunity_diff_48bar_r").alias("d48"),
+        F.count(F.lit(1)).alias("n"),
         F.try_divide(F.count_if(F.col("shadow_first_hit") == "PLUS_1R").cast("double"), F.count_if(F.col("shadow_first_hit").isin("PLUS_1R", "MINUS_1R")).cast("double")).alias("blocked"),
         F.try_divide(F.count_if(F.col("active_first_hit") == "PLUS_1R").cast("double"), F.count_if(F.col("active_first_hit").isin("PLUS_1R", "MINUS_1R")).cast("double")).alias("active"),
     )
-    years = rows.groupBy(*by, year).agg(F.count(F.lit(1)).alias("n"), F.median("opportunity_diff_24bar_r").alias("d")).where(F.col("n") >= least)
+    middle = medians(rows, [*by, fold], {"d24": "opportunity_diff_24bar_r", "d48": "opportunity_diff_48bar_r"}).groupBy(*by).pivot(fold, ["validation", "oos"]).agg(F.max("d24").alias("d24"), F.max("d48").alias("d48"))
+    years = rows.groupBy(*by, year).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).join(medians(rows, [*by, year], {"d": "opportunity_diff_24bar_r"}), [*by, year], "left")
     years = years.groupBy(*by).agg(F.count(F.lit(1)).alias("years"), F.count_if(F.col("d") > 0).alias("positive_years"))
     v, o = (lambda c: F.col(f"validation_{c}")), (lambda c: F.col(f"oos_{c}"))
     no = F.lit(False)
@@ -184,7 +190,7 @@ def promotion_gates(rows: DataFrame, by: Sequence[str], fold: str, year: str, le
         "stability": F.coalesce((v("d24") > 0) & (o("d24") > 0) | (v("d24") < 0) & (o("d24") < 0), no),
         "year_concentration": (F.coalesce("years", F.lit(0)) >= 3) & (F.coalesce("positive_years", F.lit(0)) >= 3),
     }
-    out = snap.join(years, list(by), "left").withColumns(gates)
+    out = snap.join(middle, list(by), "left").join(years, list(by), "left").withColumns(gates)
     all_ = F.col("sample") & F.col("direction") & F.col("materiality") & F.col("stability") & F.col("year_concentration")
     conclusion = F.when(all_, "PROMISING_FOR_EXECUTION_EXPERIMENT").when(~F.col("sample"), "INSUFFICIENT_SAMPLE").otherwise("INSUFFICIENT_EVIDENCE")
     return out.select(*by, *gates, conclusion.alias("conclusion"))

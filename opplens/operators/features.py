@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,7 @@ def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: i
     `buckets` rows a group, are joined. So no task sorts all rows, and the result is exact whatever the bounds are.
     """
     bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]))).first()[0] or []
-    x = rows.withColumn("__b", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b < F.col(order).cast("double"))))
+    x = rows.withColumn("__b", bucket_of(F.col(order).cast("double"), sorted(set(bounds))))
     w = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     before = x.groupBy(*group, "__b").agg(F.sum(value).alias("__t")).select(*group, "__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
     own = F.coalesce(F.sum(value).over(Window.partitionBy(*group, "__b").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -32,6 +32,14 @@ def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: i
     return x.withColumn("__own", own).join(side, [*group, "__b"]).withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
 
 
+def bucket_of(x: Column, bounds: Sequence[float]) -> Column:
+    """How many of the sorted bounds are less than x, by binary search."""
+    held, n = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), len(bounds)
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    further = lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) < x), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), further) if n else F.lit(0)
+
+
 def exact_quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], group: Sequence[str] = ()) -> DataFrame:
     """(group, name of each wanted quantile): rule linear, nearest (of rank) or lower (index rounded down), and a fraction.
 
@@ -73,3 +81,12 @@ def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     ranks = by.select("p", "c", (F.col("p") * (F.col("below") + (F.col("c") + 1) / 2)).alias("k"))
     p = F.sum("p")
     return ranks.agg(F.sum("c").alias("n"), F.round(F.try_divide(F.sum("k") - p * (p + 1) / 2, (p * (F.sum("c") - p)).cast("double")), 8).alias("auc"))
+
+
+def medians(rows: DataFrame, group: Sequence[str], columns: dict[str, str | Column]) -> DataFrame:
+    """(group, the exact median of each column under its name): all columns as one long table of (group, name, value), so that no
+    task holds the values of a group. Groups must not be null."""
+    each = [F.struct(F.lit(name).alias("__name"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("__value")) for name, c in columns.items()]
+    long = rows.select(*group, F.inline(F.array(*each)))
+    q = exact_quantiles(long, "__value", {"__q": ("linear", 0.5)}, [*group, "__name"])
+    return q.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in columns])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opplens.operators import episodes as E
+from opplens.operators.features import medians
 
 from .registry import query, rounded, table
 
@@ -110,17 +111,18 @@ def _round_all(df: DataFrame) -> DataFrame:
 @query(f"WITH {_S} SELECT event_type, side, {_METRICS} FROM s WHERE shadow_build_valid AND completed GROUP BY ALL")
 def a9_event_metrics(spark, d):
     s = made(spark, d, SIGNALS).where("shadow_build_valid and completed")
-    return _round_all(s.groupBy("event_type", "side").agg(*E.event_metrics()))
+    return _round_all(E.event_metrics(s, ["event_type", "side"]))
 
 
 @query(f"""WITH {_S} SELECT coalesce(CAST(y AS VARCHAR), 'ALL') AS y, side, event_type, count(*) AS events, round(median(shadow_mfe_r), 6) AS median_mfe, round(median(shadow_mae_r), 6) AS median_mae, {', '.join(f'round(avg(shadow_return_{h}bar_r), 6) + 0 AS mean_{h}, round(median(shadow_return_{h}bar_r), 6) + 0 AS median_{h}' for h in E.HORIZONS)},
   round(avg((shadow_return_48bar_r > 0)::INT), 6) AS positive_48_rate FROM s WHERE completed GROUP BY GROUPING SETS ((y, side, event_type), (side, event_type))""")
 def a10_a13_yearly_groups(spark, d):
     """Completed events by year, side and kind, and over all years."""
-    s = made(spark, d, SIGNALS).where("completed")
-    means = [x for h in E.HORIZONS for x in (F.avg(f"shadow_return_{h}bar_r").alias(f"mean_{h}"), F.median(f"shadow_return_{h}bar_r").alias(f"median_{h}"))]
-    out = s.groupingSets([["y", "side", "event_type"], ["side", "event_type"]], "y", "side", "event_type").agg(F.count(F.lit(1)).alias("events"), F.median("shadow_mfe_r").alias("median_mfe"), F.median("shadow_mae_r").alias("median_mae"), *means, F.avg((F.col("shadow_return_48bar_r") > 0).cast("int")).alias("positive_48_rate"))
-    return _round_all(out.withColumn("y", F.coalesce(F.col("y").cast("string"), F.lit("ALL"))))
+    s = made(spark, d, SIGNALS).where("completed").withColumn("y", F.explode(F.array(F.col("y").cast("string"), F.lit("ALL"))))
+    by = ["y", "side", "event_type"]
+    middle = {"median_mfe": "shadow_mfe_r", "median_mae": "shadow_mae_r"} | {f"median_{h}": f"shadow_return_{h}bar_r" for h in E.HORIZONS}
+    out = s.groupBy(*by).agg(F.count(F.lit(1)).alias("events"), *[F.avg(f"shadow_return_{h}bar_r").alias(f"mean_{h}") for h in E.HORIZONS], F.avg((F.col("shadow_return_48bar_r") > 0).cast("int")).alias("positive_48_rate"))
+    return _round_all(out.join(medians(s, by, middle), by, "left"))
 
 
 @query(f"""WITH {_S}, g AS (SELECT *, CASE WHEN NOT coalesce(shadow_build_valid, false) THEN 'BUILD' WHEN NOT coalesce(shadow_risk_distance > 0, false) THEN 'RISK' WHEN NOT active_current_r >= 0 THEN 'BELOW_ENTRY' WHEN NOT adds < 3 THEN 'TOO_MANY_ADDS' WHEN NOT age_bars >= 42 THEN 'TOO_YOUNG' END AS gate FROM s WHERE completed)
@@ -131,8 +133,10 @@ def a14_w40_add_on_gates(spark, d):
 
     gate = first_reason({"BUILD": F.col("shadow_build_valid"), "RISK": F.col("shadow_risk_distance") > 0, "BELOW_ENTRY": F.col("active_current_r") >= 0, "TOO_MANY_ADDS": F.col("adds") < 3, "TOO_YOUNG": F.col("age_bars") >= 42})
     s = made(spark, d, SIGNALS).where("completed").withColumn("gate", gate)
-    out = s.groupBy("y", "side", F.col("gate").isNull().alias("eligible"), F.coalesce("gate", F.lit("OK")).alias("gate_reason")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("shadow_first_hit") == "PLUS_1R").alias("first_plus_1r"), F.count_if(F.col("shadow_first_hit") == "MINUS_1R").alias("first_minus_1r"), F.median("active_current_r").alias("median_base_r"), F.median("shadow_mfe_r").alias("median_mfe_r"), F.avg("shadow_return_48bar_r").alias("mean_return_48_r"))
-    return _round_all(out)
+    s = s.select("y", "side", F.col("gate").isNull().alias("eligible"), F.coalesce("gate", F.lit("OK")).alias("gate_reason"), "shadow_first_hit", "active_current_r", "shadow_mfe_r", "shadow_return_48bar_r")
+    by = ["y", "side", "eligible", "gate_reason"]
+    out = s.groupBy(*by).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("shadow_first_hit") == "PLUS_1R").alias("first_plus_1r"), F.count_if(F.col("shadow_first_hit") == "MINUS_1R").alias("first_minus_1r"), F.avg("shadow_return_48bar_r").alias("mean_return_48_r"))
+    return _round_all(out.join(medians(s, by, {"median_base_r": "active_current_r", "median_mfe_r": "shadow_mfe_r"}), by, "left"))
 
 
 @query(f"""WITH {_S} SELECT side, count(*) AS events, {', '.join(f'round(avg(shadow_return_{h}bar_r - actual_selected_return_{h}bar_r), 6) + 0 AS mean_{h}, round(median(shadow_return_{h}bar_r - actual_selected_return_{h}bar_r), 6) + 0 AS median_{h}' for h in E.HORIZONS)} FROM s WHERE event_type = 'SIMULTANEOUS_CONFLICT' AND completed GROUP BY 1""")
@@ -140,7 +144,8 @@ def a16_conflict_comparison(spark, d):
     """What was given up at simultaneous signals: differences of pairs of which both values are known."""
     s = made(spark, d, SIGNALS).where("event_type = 'SIMULTANEOUS_CONFLICT' and completed")
     gap = lambda h: F.col(f"shadow_return_{h}bar_r") - F.col(f"actual_selected_return_{h}bar_r")
-    return _round_all(s.groupBy("side").agg(F.count(F.lit(1)).alias("events"), *[x for h in E.HORIZONS for x in (F.avg(gap(h)).alias(f"mean_{h}"), F.median(gap(h)).alias(f"median_{h}"))]))
+    means = s.groupBy("side").agg(F.count(F.lit(1)).alias("events"), *[F.avg(gap(h)).alias(f"mean_{h}") for h in E.HORIZONS])
+    return _round_all(means.join(medians(s, ["side"], {f"median_{h}": gap(h) for h in E.HORIZONS}), "side", "left"))
 
 
 _FAM = [f"{p}_{h}bar_r" for p in ("shadow_return", "active_continuation", "opportunity_diff") for h in E.HORIZONS]
