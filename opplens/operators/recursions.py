@@ -14,21 +14,24 @@ def block_of(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
-def running(rows: DataFrame, by: list[str], ts: str, seconds: int, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
-    """rows with sums up to and with each row, and the last values that are not NULL before each row, along ts.
-
-    Windows go over the rows of a block of that many seconds, and over one row a block."""
-    sums, lasts = sums or {}, lasts or {}
-    x = rows.withColumn("__block", block_of(ts, seconds)).withColumns({f"__{n}": c for n, c in {**sums, **lasts}.items()})
-    totals = x.groupBy(*by, "__block").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums], *[F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col(ts))).alias(f"__{n}") for n in lasts])
+def running(rows: DataFrame, by: list[str], order: str, block: int | Column, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, tops: dict[str, Column] | None = None) -> DataFrame:
+    """rows with sums up to and with each row, and the last values that are not NULL and the greatest values before each row, along order.
+
+    Windows go over the rows of a block, of so many seconds or as a column says, and over one row a block."""
+    sums, lasts, tops = sums or {}, lasts or {}, tops or {}
+    made = {**sums, **lasts, **tops}
+    x = rows.withColumn("__block", block if isinstance(block, Column) else block_of(order, block)).withColumns({f"__{n}": c for n, c in made.items()})
+    totals = x.groupBy(*by, "__block").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums], *[F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col(order))).alias(f"__{n}") for n in lasts], *[F.max(f"__{n}").alias(f"__{n}") for n in tops])
+    over = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(lasts, lambda c: F.last(c, ignorenulls=True)), **dict.fromkeys(tops, F.max)}
     before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = totals.select(*by, "__block", *[F.sum(f"__{n}").over(before).alias(f"__head_{n}") for n in sums], *[F.last(f"__{n}", ignorenulls=True).over(before).alias(f"__head_{n}") for n in lasts])
-    inside = Window.partitionBy(*by, "__block").orderBy(ts)
+    heads = totals.select(*by, "__block", *[over[n](f"__{n}").over(before).alias(f"__head_{n}") for n in made])
+    inside = Window.partitionBy(*by, "__block").orderBy(order)
+    earlier = {n: over[n](f"__{n}").over(inside.rowsBetween(Window.unboundedPreceding, -1)) for n in (*lasts, *tops)}
     found = x.join(heads, [*by, "__block"]).withColumns({
         **{n: F.coalesce(F.col(f"__head_{n}"), F.lit(0)) + F.coalesce(F.sum(f"__{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) for n in sums},
-        **{n: F.coalesce(F.last(f"__{n}", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"__head_{n}")) for n in lasts},
+        **{n: F.coalesce(earlier[n], F.col(f"__head_{n}")) for n in lasts}, **{n: F.greatest(earlier[n], F.col(f"__head_{n}")) for n in tops},
     })
-    return found.select(*[c for c in rows.columns if c not in {**sums, **lasts}], *sums, *lasts)
+    return found.select(*[c for c in rows.columns if c not in made], *made)
 
 
 def _composed(first: Column, second: Column, names: list[str]) -> Column:

@@ -35,7 +35,8 @@ def collect_events(stream: DataFrame, key: list[str], ts: str, out: str, checkpo
         good = rows.where("reason is null").withColumn("__n", first)
         late = F.col(ts) < F.lit(start) if start else F.lit(False)
         fresh = good.where("__n = 1").drop("__n")
-        before = spark.read.parquet(f"{out}/accepted").where(F.col("batch") < batch).select(*key) if batch else None
+        # a record that was late is known as well, so its repeats are kept once
+        before = spark.read.parquet(f"{out}/accepted").where(F.col("batch") < batch).select(*key).unionByName(spark.read.parquet(f"{out}/late").where(F.col("batch") < batch).select(*key)) if batch else None
         new = fresh if before is None else fresh.join(before, key, "left_anti").select(*fresh.columns)
         again = good.where("__n > 1").drop("__n")
         if before is not None:
