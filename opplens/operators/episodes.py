@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +91,19 @@ def outcome_keys(json: Column) -> Column:
     return F.filter(keys, lambda k: F.lower(k).isin(*OUTCOME_NAMES) | F.coalesce(*[F.when(F.lower(k).startswith(p), True) for p in OUTCOME_PREFIXES], F.lit(False)))
 
 
+#: Further names, prefixes and endings of names that tell of what comes later.
+FUTURE_NAMES = ("outcome", "outcomes", "label", "labels", "future", "future_bars", "price_after")
+FUTURE_PREFIXES, FUTURE_ENDINGS = ("future_",), ("_outcome", "_label")
+#: The same in SQL, for a column key.
+FUTURE_SQL = "(lower(trim(key)) IN {} OR {})".format((*OUTCOME_NAMES, *FUTURE_NAMES), " OR ".join([f"starts_with(lower(trim(key)), '{p}')" for p in (*OUTCOME_PREFIXES, *FUTURE_PREFIXES)] + [f"ends_with(lower(trim(key)), '{e}')" for e in FUTURE_ENDINGS]))
+
+
+def future_key(name: Column) -> Column:
+    """Whether a key tells of an outcome or of what comes later."""
+    n = F.lower(F.trim(name))
+    return reduce(or_, [n.isin(*OUTCOME_NAMES, *FUTURE_NAMES), *[n.startswith(p) for p in (*OUTCOME_PREFIXES, *FUTURE_PREFIXES)], *[n.endswith(e) for e in FUTURE_ENDINGS]])
+
+
 def canonical_view(rows: DataFrame, key: str, ts: str, source: str, audit: str, fields: Sequence[str], absolute: float = 1e-4, relative: float = 1e-5) -> DataFrame:
     """One row for each key: the latest time, the audits, and each field's mean where all of its values are compatible with the first one.
 

@@ -140,19 +140,6 @@ def j18_campaigns(spark, d):
     return m.groupBy("bundle").agg(F.count_if(same).alias("attached"), F.count_if(~same).alias("excluded"), F.min(F.when(same, F.col("run"))).alias("first_run"))
 
 
-@query("""WITH c AS (SELECT 'customer' AS part, sha256(string_agg(sha256(c_custkey || '|' || c_name), '' ORDER BY sha256(c_custkey || '|' || c_name))) AS h FROM customer UNION ALL SELECT 'supplier', sha256(string_agg(sha256(s_suppkey || '|' || s_name), '' ORDER BY sha256(s_suppkey || '|' || s_name))) FROM supplier)
-SELECT 'bundle-' || sha256(string_agg(part || '=' || h, ';' ORDER BY part)) AS bundle, count(*) AS parts FROM c""")
-def d3_bundle(spark, d):
-    """The id of a frozen bundle from the fingerprints of its parts; rows are hashed by ranges first, so no task has all of them."""
-
-    def fingerprint(name: str, cols: list[str]):
-        h = table(spark, d, name).select(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256).alias("h"))
-        return h.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h")).select(F.lit(name).alias("part"), "h")  # a row's 64 characters, of dimension tables
-
-    parts = fingerprint("customer", ["c_custkey", "c_name"]).unionByName(fingerprint("supplier", ["s_suppkey", "s_name"]))
-    return parts.agg(F.concat(F.lit("bundle-"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", F.lit("="), "h"))), ";"), 256)).alias("bundle"), F.count(F.lit(1)).alias("parts"))
-
-
 @query(f"""WITH {STUDY}, a AS (SELECT symbol, bar_ts, side, avg(moved) FILTER (age = 6) AS r6, max(good) AS best, min(bad) AS worst, count(*) AS bars, arg_min(CASE WHEN good >= 1 AND bad <= -1 THEN 'AMBIGUOUS' WHEN good >= 1 THEN 'PLUS_1R' ELSE 'MINUS_1R' END, age) FILTER (good >= 1 OR bad <= -1) AS hit FROM pairs GROUP BY ALL)
 SELECT symbol, bar_ts, side, round(r6, 6) AS r6, round(best, 6) AS mfe, round(worst, 6) AS mae, CASE hit WHEN 'PLUS_1R' THEN 1 WHEN 'MINUS_1R' THEN 0 END AS label, CASE WHEN hit IS NULL OR hit = 'AMBIGUOUS' OR r6 IS NULL THEN 'INCOMPLETE' ELSE 'RESOLVED' END AS status, CASE WHEN hit IS NULL THEN 'NO_FIRST_HIT' WHEN hit = 'AMBIGUOUS' THEN 'AMBIGUOUS_SAME_BAR' WHEN r6 IS NULL THEN 'MISSING_OUTCOME' END AS reason FROM a""")
 def l3_l4_resolution(spark, d):
