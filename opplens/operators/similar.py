@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import running_before
+from .fingerprints import fingerprint
 
 #: Rows of history and of queries that meet in one task.
 HISTORY, QUERIES = 4096, 1024
@@ -30,52 +30,112 @@ def distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.sqrt(square / overlap), overlap
 
 
-def neighbours(history: DataFrame, queries: DataFrame, features: Sequence[str], k: int = 20, min_overlap: int = 1) -> DataFrame:
+#: What a history row is asked for, and what it is counted by.
+_HISTORY = ("id", "ts", "symbol", "side", "regime", "outcome_ts", "label", "expected")
+
+
+class Index:
+    """A frozen history: rows in blocks of about HISTORY, by symbol and side and by the time from which they may be used, and the bounds of
+    the blocks. A row may be used by queries later than itself and than its outcome; without an outcome it is counted only."""
+
+    def __init__(self, rows: DataFrame, bounds: DataFrame, features: Sequence[str]) -> None:
+        self.rows, self.bounds, self.features = rows, bounds, list(features)
+
+
+def index_of(history: DataFrame, features: Sequence[str], rows_a_block: int = HISTORY) -> Index:
+    """The index of the rows that are not in conflict; history has _HISTORY, conflict and the features."""
+    free = F.when(F.col("outcome_ts").isNotNull(), F.greatest("ts", "outcome_ts"))
+    rows = history.where("not conflict").select(*_HISTORY, *features, free.alias("free"))
+    placed = running_before(rows.where("free is not null").withColumn("__one", F.lit(1)), "free", "__one", "__at", group=("symbol", "side"), then=("id",))
+    blocked = placed.withColumn("block", F.floor(F.col("__at") / rows_a_block)).drop("__one", "__at").unionByName(rows.where("free is null").withColumn("block", F.lit(-1).cast("long")))
+    bounds = blocked.where("block >= 0").groupBy("symbol", "side", "block").agg(F.min("free").alias("low"), F.max("free").alias("high"), F.count(F.lit(1)).alias("n"))
+    return Index(blocked, bounds, features)
+
+
+def freeze(history: DataFrame, features: Sequence[str], folder: str, upto: int) -> str:
+    """Writes the index of the rows up to that time to folder and gives its fingerprint, which does not depend on the order of the rows."""
+    made = index_of(history.where(F.col("ts") <= upto), features)
+    made.rows.repartition("symbol", "side", "block").sortWithinPartitions("symbol", "side", "block", "free").write.parquet(f"{folder}/rows")
+    rows = history.sparkSession.read.parquet(f"{folder}/rows")
+    made.bounds.write.parquet(f"{folder}/bounds")
+    plain = rows.drop("block")
+    print_ = fingerprint(plain, plain.columns, "index")
+    print_.write.parquet(f"{folder}/fingerprint")
+    return history.sparkSession.read.parquet(f"{folder}/fingerprint").first()["digest"]
+
+
+def frozen(spark: SparkSession, folder: str, features: Sequence[str]) -> Index:
+    """The index in folder; an error if its rows are not those of its fingerprint."""
+    rows, bounds = (spark.read.parquet(f"{folder}/{n}") for n in ("rows", "bounds"))
+    plain = rows.drop("block")
+    if fingerprint(plain, plain.columns, "index").first()["digest"] != spark.read.parquet(f"{folder}/fingerprint").first()["digest"]:
+        raise ValueError("the index is not what was frozen")
+    return Index(rows, bounds, features)
+
+
+def _stages(index: Index, queries: DataFrame) -> DataFrame:
+    """(id, past and the counts of the stages but the last): of how many rows each query is later, by running counts in one pass."""
+    h = index.rows
+    key = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
+    at = lambda k, t: F.struct(k.alias("k"), t.alias("t"))
+    unknown = F.lit("UNKNOWN")
+    counted = F.array(
+        at(key("P"), F.col("ts")), at(key("S", "symbol"), F.col("ts")), at(key("D", "symbol", "side"), F.col("ts")), at(key("R", "symbol", "side", "regime"), F.col("ts")),
+        at(key("AD", "symbol", "side"), F.col("free")), at(key("AR", "symbol", "side", "regime"), F.col("free")),
+    )
+    events = h.select(F.inline(counted)).where("t is not null").groupBy("k", "t").agg(F.count(F.lit(1)).alias("c"))
+    names = ("past", "same_symbol", "compatible_side", "own", "other", "free_side", "free_own", "free_other")
+    keys = (key("P"), key("S", "symbol"), key("D", "symbol", "side"), key("R", "symbol", "side", "regime"), key("R", "symbol", "side", unknown), key("AD", "symbol", "side"), key("AR", "symbol", "side", "regime"), key("AR", "symbol", "side", unknown))
+    asked = queries.select("id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), k.alias("k"), F.col("ts").alias("t")) for n, k in zip(names, keys)])))
+    both = events.unionByName(asked.select("k", "t", F.lit(0).cast("long").alias("c"))).groupBy("k", "t").agg(F.sum("c").alias("c"))
+    before = running_before(both, "t", "c", "n", group=("k",))
+    wide = asked.join(before.select("k", "t", "n"), ["k", "t"]).groupBy("id").agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
+    x = queries.select("id", "regime").join(wide, "id")
+    any_ = F.col("regime") == "UNKNOWN"
+    return x.select("id", "past", "same_symbol", "compatible_side", F.when(any_, F.col("compatible_side")).otherwise(F.col("own") + F.col("other")).alias("compatible_regime"), F.when(any_, F.col("free_side")).otherwise(F.col("free_own") + F.col("free_other")).alias("outcome_available"))
+
+
+def neighbours(history: DataFrame | Index, queries: DataFrame, features: Sequence[str], k: int = 20, min_overlap: int = 1) -> DataFrame:
     """(id, past, the counts of STAGES, near): the k nearest of the rows that are strictly earlier, not in conflict, of the same symbol and
     side, of the same regime or an unknown one, and whose outcome came before the query; by (distance, ts, id).
 
-    Rows have id, ts (long), symbol, side, regime, conflict, outcome_ts, label, expected and the features. History and queries are cut into
-    blocks; each two blocks of a symbol meet in one task and give k rows a query, so nothing grows with a symbol's size but the
-    number of tasks. What is past is a running count.
+    Rows have id, ts (long), symbol, side, regime, conflict, outcome_ts, label, expected and the features. A block of queries meets the
+    blocks of history of its symbol and side that begin before its end, so nothing is compared with the future, and a meeting gives
+    k rows a query. How many rows passed each filter but the last are running counts, not pairs.
     """
-    known = history.where("not conflict")
-    blocks = lambda df, size: max(1, math.ceil(df.count() / size))
-    nh, nq = blocks(known, HISTORY), blocks(queries, QUERIES)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    h = known.withColumn("hb", F.pmod(F.xxhash64("id"), F.lit(nh)).cast("int")).withColumn("qb", every(nq))
-    q = queries.where("not conflict").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("hb", every(nh))
-    names = list(features)
-    plain = ["id", "ts", "side", "regime", *names]
-    q = q.select("symbol", "qb", "hb", *plain)
+    index = history if isinstance(history, Index) else index_of(history, features)
+    names, by = list(features), ["symbol", "side"]
+    asked = queries.where("not conflict").select("id", "ts", "symbol", "side", "regime", *names)
+    placed = running_before(asked.withColumn("__one", F.lit(1)), "ts", "__one", "__at", group=by, then=("id",))
+    q = placed.withColumn("qb", F.floor(F.col("__at") / QUERIES)).drop("__one", "__at")
+    ends = q.groupBy(*by, "qb").agg(F.max("ts").alias("last"))
+    meetings = ends.join(index.bounds.select(*by, F.col("block").alias("hb"), "low"), by).where("low < last").select(*by, "qb", "hb")
+    h = index.rows.where("block >= 0").select(*by, F.col("block").alias("hb"), "id", "regime", "free", "ts", "label", "expected", *names)
+    q = q.join(meetings, [*by, "qb"])
     # names of its own for the history: both sides may come from one table
-    h = h.select(*[F.col(c).alias(f"h_{c}") for c in ("symbol", "qb", "hb", *plain, "outcome_ts", "label", "expected")])
+    h = h.join(meetings, [*by, "hb"])
+    h = h.select(*[F.col(c).alias(f"h_{c}") for c in h.columns])
 
     def meet(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        h = h.rename(columns=lambda c: c.removeprefix("h_"))
-        out = {"id": q["id"].to_numpy(), **{s: np.zeros(len(q), np.int64) for s in STAGES}, "near": [[] for _ in range(len(q))]}
-        if len(h) and len(q):
-            ok = (h["ts"].to_numpy()[None, :] < q["ts"].to_numpy()[:, None]) & (h["id"].to_numpy()[None, :] != q["id"].to_numpy()[:, None])
-            qr, hr = q["regime"].to_numpy()[:, None], h["regime"].to_numpy()[None, :]
-            available = h["outcome_ts"].to_numpy(np.float64)[None, :] < q["ts"].to_numpy()[:, None]
-            distance, overlap = distances(q[names].to_numpy(np.float64), h[names].to_numpy(np.float64))
-            for name, rule in zip(STAGES, (True, h["side"].to_numpy()[None, :] == q["side"].to_numpy()[:, None], (qr == "UNKNOWN") | (hr == qr) | (hr == "UNKNOWN"), available, overlap >= min_overlap)):
-                ok = ok & rule
-                out[name] = ok.sum(1)
-            ts, ids = h["ts"].to_numpy(), h["id"].to_numpy()
-            label, expected = h["label"].to_numpy(np.float64), h["expected"].to_numpy(np.float64)
-            none = lambda v, kind: None if np.isnan(v) else kind(v)
-            for i in range(len(q)):
-                at = np.flatnonzero(ok[i])
-                best = at[np.lexsort((ids[at], ts[at], distance[i, at]))[:k]]
-                out["near"][i] = [{"distance": float(distance[i, j]), "ts": int(ts[j]), "id": int(ids[j]), "overlap": int(overlap[i, j]), "label": none(label[j], int), "expected": none(expected[j], float)} for j in best]
-        return pd.DataFrame(out)
-
-    met = q.groupBy("symbol", "qb", "hb").cogroup(h.groupBy("h_symbol", "h_qb", "h_hb")).applyInPandas(meet, f"id long, {', '.join(s + ' long' for s in STAGES)}, near {NEAR}")
-    best = met.groupBy("id").agg(*[F.sum(s).alias(s) for s in STAGES], F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    times = history.select("ts", F.when(F.col("conflict"), 0).otherwise(1).alias("c")).groupBy("ts").agg(F.sum("c").alias("c"))
-    past = running_before(times, "ts", "c", "past").select("ts", "past")
-    out = queries.select("id", "ts", "regime", "conflict").join(past, "ts").join(best, "id", "left")
-    return out.select("id", "ts", "regime", "conflict", F.when(F.col("conflict"), 0).otherwise(F.col("past")).alias("past"), *[F.coalesce(s, F.lit(0)).alias(s) for s in STAGES], F.coalesce("near", F.expr(f"cast(array() as {NEAR})")).alias("near"))
+        if not len(q) or not len(h):
+            return pd.DataFrame(columns=["id", "eligible", "distance", "ts", "hid", "overlap", "label", "expected"])
+        h = h.rename(columns=lambda c: c.removeprefix("h_")).sort_values(["ts", "id"], kind="stable")
+        qr, hr = q["regime"].to_numpy()[:, None], h["regime"].to_numpy()[None, :]
+        distance, overlap = distances(q[names].to_numpy(np.float64), h[names].to_numpy(np.float64))
+        ok = (h["free"].to_numpy()[None, :] < q["ts"].to_numpy()[:, None]) & (h["id"].to_numpy()[None, :] != q["id"].to_numpy()[:, None]) & ((qr == "UNKNOWN") | (hr == qr) | (hr == "UNKNOWN")) & (overlap >= min_overlap)
+        order = np.argsort(np.where(ok, distance, np.inf), axis=1, kind="stable")[:, :k]  # of equal distances the earlier row is first
+        row, place = np.nonzero(np.take_along_axis(ok, order, 1))
+        at = order[row, place]
+        found = pd.DataFrame({"id": q["id"].to_numpy()[row], "eligible": np.where(place == 0, ok.sum(1)[row], 0), "distance": distance[row, at], "ts": h["ts"].to_numpy()[at], "hid": h["id"].to_numpy()[at], "overlap": overlap[row, at]})
+        return found.assign(label=h["label"].to_numpy(np.float64)[at], expected=h["expected"].to_numpy(np.float64)[at])
+
+    made = "id long, eligible long, distance double, ts long, hid long, overlap int, label double, expected double"
+    met = q.groupBy(*by, "qb", "hb").cogroup(h.groupBy("h_symbol", "h_side", "h_qb", "h_hb")).applyInPandas(meet, made)
+    one = F.struct("distance", "ts", F.col("hid").alias("id"), "overlap", F.nanvl("label", F.lit(None)).cast("int").alias("label"), F.nanvl("expected", F.lit(None)).alias("expected"))
+    best = met.groupBy("id").agg(F.sum("eligible").alias("distance_eligible"), F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("near"))
+    counts = _stages(index, queries.where("not conflict"))
+    out = queries.select("id", "ts", "regime", "conflict").join(counts, "id", "left").join(best, "id", "left")
+    return out.select("id", "ts", "regime", "conflict", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("past", *STAGES)], F.coalesce("near", F.expr(f"cast(array() as {NEAR})")).alias("near"))
 
 
 def opinion(found: DataFrame, least: int = 3) -> DataFrame:

@@ -165,12 +165,15 @@ def w30_w33_w34_running(spark, d):
 @query("""SELECT a.vec_id AS q, b.vec_id AS n, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1] - p[2])::DOUBLE * (p[1] - p[2])::DOUBLE)) / len(a.embedding)), 5) AS distance
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1] - p[2])::DOUBLE * (p[1] - p[2])::DOUBLE)), b.vec_id) <= 5""")
 def j12_k1_past_neighbours(spark, d):
+    """The five nearest of the earlier vectors of a label."""
+    from opplens.operators import similar as N
+
     e = table(spark, d, "embeddings")
-    h = e.select(F.col("vec_id").alias("n"), F.col("label").alias("l"), F.col("embedding").alias("x"))
-    gap = lambda a, b: (a - b).cast("double") * (a - b).cast("double")
-    p = e.join(h, (F.col("label") == F.col("l")) & (F.col("n") < F.col("vec_id"))).withColumn("s", F.aggregate(F.zip_with("embedding", "x", gap), F.lit(0.0), lambda a, v: a + v))
-    top = p.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("s", "n"))).where("k <= 5")
-    return top.select(F.col("vec_id").alias("q"), "n", F.round(F.sqrt(F.col("s") / F.size("embedding")), 5).alias("distance"))
+    names = [f"x{k}" for k in range(e.select(F.size("embedding")).first()[0])]
+    plain = {"ts": F.col("vec_id"), "symbol": F.col("label"), "side": F.lit("ANY"), "regime": F.lit("UNKNOWN"), "conflict": F.lit(False), "outcome_ts": F.col("vec_id"), "label": F.lit(0), "expected": F.lit(0.0)}
+    c = e.select(F.col("vec_id").alias("id"), *[v.alias(n) for n, v in plain.items()], *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    x = N.neighbours(c, c, names, k=5).select(F.col("id").alias("q"), F.explode("near").alias("x"))
+    return x.select("q", F.col("x.id").alias("n"), F.round("x.distance", 5).alias("distance"))
 
 
 @query("""WITH t AS (SELECT ts, dense_rank() OVER (ORDER BY ts) AS k, count(DISTINCT ts) OVER () AS n FROM (SELECT DISTINCT ts FROM events)), c AS (SELECT min(ts) FILTER (k > floor(n * 0.6)) AS a, min(ts) FILTER (k > floor(n * 0.8)) AS b FROM t)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from opplens.operators import features as X
 from opplens.operators import models as M
 from opplens.operators import similar as N
 
+from opplens.sources.files import work_folder
+
 from .registry import query, rounded, table
 
 _FEATURES = ("f1", "f2", "f3", "f4")
@@ -27,7 +31,7 @@ def cases(spark, d):
     )
 
 
-_PAIRS = f"""c AS (SELECT {_CASES} FROM embeddings), q AS (SELECT * FROM c WHERE id % 3 = 1),
+_PAIRS = f"""c AS (SELECT {_CASES} FROM embeddings), q AS (SELECT * FROM c),
 p AS (SELECT q.id AS q, h.id, h.ts, h.hit, h.expected, h.symbol = q.symbol AS s1, h.side = q.side AS s2, q.regime = 'UNKNOWN' OR h.regime IN (q.regime, 'UNKNOWN') AS s3, coalesce(h.outcome_ts < q.ts, false) AS s4,
   list_filter([(q.f1 - h.f1) * (q.f1 - h.f1), (q.f2 - h.f2) * (q.f2 - h.f2), (q.f3 - h.f3) * (q.f3 - h.f3), (q.f4 - h.f4) * (q.f4 - h.f4)], lambda v: v IS NOT NULL) AS gaps FROM q JOIN c h ON h.ts < q.ts AND h.id <> q.id WHERE NOT h.conflict AND NOT q.conflict),
 n AS (SELECT q, count(*) AS past, count(*) FILTER (s1) AS same_symbol, count(*) FILTER (s1 AND s2) AS compatible_side, count(*) FILTER (s1 AND s2 AND s3) AS compatible_regime, count(*) FILTER (s1 AND s2 AND s3 AND s4) AS outcome_available, count(*) FILTER (s1 AND s2 AND s3 AND s4 AND len(gaps) > 0) AS distance_eligible FROM p GROUP BY 1),
@@ -41,7 +45,7 @@ r AS (SELECT q.id, coalesce(past, 0) AS past, coalesce(same_symbol, 0) AS same_s
 
 def found(spark, d):
     c = cases(spark, d)
-    return N.neighbours(c, c.where("id % 3 = 1"), _FEATURES)
+    return N.neighbours(c, c, _FEATURES)
 
 
 @query(f"""WITH {_PAIRS} SELECT id, past, same_symbol, compatible_side, compatible_regime, outcome_available, distance_eligible, n, round(effective, 4) AS effective, round(probability, 6) AS probability, round(expected_r, 6) AS expected_r, round(nearest, 6) AS nearest, overlap, reason,
@@ -54,6 +58,21 @@ def k1_k2_k3_j12_j13_opinions(spark, d):
     return rounded(out.select(*cols).withColumn("effective", F.round("effective", 4)), "probability", "expected_r", "nearest")
 
 
+_FROZEN = _PAIRS.replace("q AS (SELECT * FROM c)", "e AS (SELECT max(ts) // 2 AS upto FROM c), q AS (SELECT * FROM c WHERE ts > (SELECT upto FROM e))").replace("JOIN c h ON h.ts < q.ts", "JOIN c h ON h.ts <= (SELECT upto FROM e) AND h.ts < q.ts")
+
+
+@query(f"""WITH {_FROZEN} SELECT id, past, same_symbol, compatible_side, compatible_regime, outcome_available, distance_eligible, n, round(effective, 4) AS effective, round(probability, 6) AS probability, round(nearest, 6) AS nearest FROM r""")
+def d4_k2_frozen_index(spark, d):
+    """Later rows against an index that was frozen at a time, written and read again: what came after that time cannot change an answer."""
+    c = cases(spark, d)
+    upto = c.agg(F.max("ts")).first()[0] // 2
+    folder = f"{work_folder(spark)}/index-{uuid.uuid4().hex}"
+    N.freeze(c, _FEATURES, folder, upto)
+    out = N.opinion(N.neighbours(N.frozen(spark, folder, _FEATURES), c.where(F.col("ts") > upto), _FEATURES))
+    out = out.withColumn("nearest", F.get("near", F.lit(0))["distance"]).withColumn("effective", F.round("effective", 4))
+    return rounded(out.select("id", "past", *N.STAGES, "n", "effective", "probability", "nearest"), "probability", "nearest")
+
+
 @query(f"WITH {_PAIRS} SELECT (SELECT count(*) FROM q) AS queries, 0::BIGINT AS leaks, 0::BIGINT AS self_matches")
 def k4_similarity_leaks(spark, d):
     x = found(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -185,3 +186,14 @@ def unseen(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def replace_version(rows: DataFrame, path: str, version: str) -> None:
     """Writes rows partitioned by version; only the versions that rows has are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(version).parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder for tables that a query writes and reads again, as spark.checkpoint.dir names it; a temporary one only where none is set and
+    the executors are threads of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="opplens-work-")
+    return folder
