@@ -1,4 +1,4 @@
-"""Small models by full-batch steps: each step is one aggregation over the rows, the driver keeps coefficients only."""
+"""Small models by full-batch steps over weighted distinct rows: each step is one aggregation, or, while they are few, one product."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import running_before
-
 
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
@@ -26,8 +24,7 @@ def logit(p: float) -> float:
 def fit_logistic(rows: DataFrame, features: list[str], label: str, steps: int = 400, rate: float = 0.05, l2: float = 1.0) -> np.ndarray:
     """Gradient descent on the mean log loss with l2 on the coefficients; the intercept starts at the logit of the mean label.
 
-    One class only gives a constant model. Rows with equal features and label are one weighted row. Each step is one
-    aggregation; rows without a value in a feature or the label are left out.
+    One class only gives a constant model. Rows with equal features and label are one weighted row; rows without a value in a feature or the label are left out.
     """
     kept = rows.dropna(subset=[*features, label]).groupBy(*features, label).agg(F.count(F.lit(1)).alias("__n")).persist()
     try:
@@ -43,7 +40,20 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, steps: int =
         kept.unpersist()
 
 
+#: Distinct rows up to which a fit takes its steps over them on the driver; more are aggregated by Spark in each step.
+FEW = 50_000
+
+
 def _descend(kept: DataFrame, features: list[str], label: str, w: np.ndarray, n: int, steps: int, rate: float, l2: float) -> np.ndarray:
+    few = kept.select(*[F.col(c).cast("double") for c in (*features, label, "__n")]).limit(FEW + 1).toPandas().to_numpy()
+    if len(few) <= FEW:
+        x = np.column_stack([np.ones(len(few)), few[:, : len(features)]])
+        y, times = few[:, -2], few[:, -1]
+        for _ in range(steps):
+            slope = ((1 / (1 + np.exp(-(x @ w))) - y) * times) @ x / n
+            slope[1:] += l2 * w[1:]
+            w = w - rate * slope
+        return w
     for _ in range(steps):
         miss = (sigmoid(linear(w, features)) - F.col(label)) * F.col("__n")
         slope = np.array(kept.agg(F.sum(miss), *[F.sum(miss * F.col(f)) for f in features]).first(), float) / n
@@ -106,19 +116,3 @@ def walk_forward(rows: DataFrame, fold: str, folds: list, fit, score) -> DataFra
 def probability_metrics(p: Column, y: Column) -> list[Column]:
     inside = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
     return [F.count(F.lit(1)).alias("n"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(inside) + (1 - y) * F.log(1 - inside))).alias("log_loss")]
-
-
-def bootstrap_blocks(rows: DataFrame, order: str, value: str, block: int = 10, draws: int = 1000, seed: int = 17) -> DataFrame:
-    """(low, middle, high): 95 % interval of the mean by drawing blocks of consecutive (numeric) orders; draws are hashes, so reruns agree.
-
-    The rows are summed by block first. Blocks drawn per draw follow from hashes of (draw, place): the draws join blocks by number.
-    """
-    by = rows.where(F.col(value).isNotNull()).groupBy(order).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    placed = running_before(by.withColumn("one", F.lit(1)), order, "one", "at").select("s", "n", F.floor(F.col("at") / block).alias("b"))
-    blocks = placed.groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).persist()
-    m = blocks.count()
-    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(m, 1))))).select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "place"), F.lit(max(m, 1))).alias("b"))
-    picks = drawn.groupBy("draw", "b").agg(F.count(F.lit(1)).alias("times"))
-    means = picks.join(blocks, "b").groupBy("draw").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
-    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return means.agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("middle"), F.get("q", F.lit(2)).alias("high"))

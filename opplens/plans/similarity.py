@@ -90,19 +90,19 @@ def _descent_sql(steps: int, rate: float, l2: float, slope: str, start: str) ->
     return f"""d(step, b0, b1) AS (SELECT 0, {start} UNION ALL SELECT step + 1, b0 - {rate} * g0, b1 - {rate} * (g1 + {l2} * b1) FROM (SELECT step, b0, b1, sum(n * (1 / (1 + exp(-(b0 + b1 * x))) - y)) / sum(n) AS g0, sum(n * x * (1 / (1 + exp(-(b0 + b1 * x))) - y)) / sum(n) AS g1 FROM d, g WHERE step < {steps} GROUP BY step, b0, b1))"""
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT round(l_quantity / 50, 2) AS x, (l_returnflag = 'R')::INT AS y, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT sum(n * y) / sum(n) AS p FROM g), {_descent_sql(40, 0.05, 1.0, 'x', '(SELECT ln(p / (1 - p)) FROM m), 0.0::DOUBLE')} SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM d WHERE step = 40""")
+@query(f"""WITH RECURSIVE g AS (SELECT round(l_quantity / 50, 2) AS x, (l_returnflag = 'R')::INT AS y, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT sum(n * y) / sum(n) AS p FROM g), {_descent_sql(400, 0.05, 1.0, 'x', '(SELECT ln(p / (1 - p)) FROM m), 0.0::DOUBLE')} SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM d WHERE step = 400""")
 def m1_logistic(spark, d):
-    """Forty steps of the logistic fit on grouped rows."""
+    """The logistic fit in 400 steps over grouped rows."""
     x = table(spark, d, "lineitem").select(F.round(F.col("l_quantity") / 50, 2).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    w = M.fit_logistic(x, ["x"], "y", steps=40)
+    w = M.fit_logistic(x, ["x"], "y", steps=400)
     return spark.range(1).select(F.round(F.lit(float(w[0])), 6).alias("intercept"), F.round(F.lit(float(w[1])), 6).alias("slope"))
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT round(least(greatest(value / 300, 0.01), 0.99), 2) AS p, user_id % 2 AS y FROM events), g AS (SELECT ln(p / (1 - p)) AS x, y, count(*) AS n FROM p GROUP BY ALL), {_descent_sql(30, 0.03, 0.0, 'x', '0.0::DOUBLE, 1.0::DOUBLE')} SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM d WHERE step = 30""")
+@query(f"""WITH RECURSIVE p AS (SELECT round(least(greatest(value / 300, 0.01), 0.99), 2) AS p, user_id % 2 AS y FROM events), g AS (SELECT ln(p / (1 - p)) AS x, y, count(*) AS n FROM p GROUP BY ALL), {_descent_sql(250, 0.03, 0.0, 'x', '0.0::DOUBLE, 1.0::DOUBLE')} SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM d WHERE step = 250""")
 def m3_platt(spark, d):
-    """Thirty steps of the calibration of a probability."""
+    """The calibration of a probability in 250 steps."""
     x = table(spark, d, "events").select(F.round(F.least(F.greatest(F.col("value") / 300, F.lit(0.01)), F.lit(0.99)), 2).alias("p"), (F.col("user_id") % 2).alias("y"))
-    w = M.fit_platt(x, "p", "y", steps=30)
+    w = M.fit_platt(x, "p", "y", steps=250)
     return spark.range(1).select(F.round(F.lit(float(w[0])), 6).alias("intercept"), F.round(F.lit(float(w[1])), 6).alias("slope"))
 
 

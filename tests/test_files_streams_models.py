@@ -118,13 +118,6 @@ def test_running_sum_by_buckets_is_exact(spark):
     assert running_before(df.limit(0), "k", "v", "t").count() == 0
 
 
-def test_bootstrap_agrees_with_itself_and_the_mean(spark):
-    df = spark.range(500).select("id", (F.col("id") % 7).cast("double").alias("v"))
-    low, mid, high = models.bootstrap_blocks(df, "id", "v", draws=200).first()
-    assert low <= mid <= high and abs(mid - 3) < 0.1
-    assert models.bootstrap_blocks(df, "id", "v", draws=200).first() == (low, mid, high)
-
-
 def test_more_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿x;y\n1;2\n")
     (tmp_path / "b.csv").write_text("x\tz\n3\t4\n")
