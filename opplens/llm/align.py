@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ from .common import blocks, of_row, row_of, salted_join, stored, text_bytes
 
 #: Bytes of a text in a block of events; a multiple of 8.
 BLOCK = 1 << 16
-#: Segments that a worker remembers.
-REMEMBERED = 400_000
+#: Segments after which a worker forgets all it remembers before the next block; and segments that are encoded as one string.
+REMEMBERED, JOINED = 500_000, 4096
 #: Pair counts up to this many are looked up in arrays of 13 bytes each, beyond it they are joined.
 LOOKED_UP = 2_000_000
 #: Cuts between segments.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT, TWO = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
 
 class Vocabularies:
@@ -63,34 +64,93 @@ class Vocabularies:
         if any("▁" in p.lstrip("▁") for k, p in enumerate(pieces) if not self.b.is_byte(k)) or self.a.normalizer is not None:
             raise ValueError("tokens cross the spaces between words")
         self.size_a, self.size_b = size, len(pieces)
-        self.known: dict[str, tuple | None] = {}
+        self.lengths = [np.asarray([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
         self.decimal = [str(k).encode() for k in range(max(self.size_a, self.size_b))]
         #: id, then what follows it: another id, side B, another group, or nothing
         self.written = [d + mark for mark in (b",", b"|", b";", b"") for d in self.decimal]
-
-    def encode(self, segments: list[str]) -> None:
-        """Remembers the segments: (ids of A, bytes of each, ids of B, bytes of each), or None if the bytes are not the segment."""
-        if len(self.known) + len(segments) > REMEMBERED:
-            self.known = {}
-        of_a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        of_b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        for segment, a, b in zip(segments, of_a, of_b):
-            parts_a, parts_b, want = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b], segment.encode()
-            good = b"".join(parts_a) == want == b"".join(parts_b) and all(parts_a) and all(parts_b)
-            self.known[segment] = (np.asarray(a, np.uint32).tobytes(), np.fromiter(map(len, parts_a), np.uint32).tobytes(), np.asarray(b, np.uint32).tobytes(), np.fromiter(map(len, parts_b), np.uint32).tobytes()) if good else None
-
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes, bytes, bytes] | None]:
-        """Of each text the ids and token lengths of both sides, None without tokens."""
-        cut = [[s if k == 0 else " " + s for k, s in enumerate(CUT.split(" " + t))] if t else None for t in texts]
-        new = list({s for parts in cut if parts for s in parts if s not in self.known})
-        for lo in range(0, len(new), 2000):
-            self.encode(new[lo : lo + 2000])
-        out = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        none = np.zeros(0, np.int64)
+        #: of the remembered segments: ids of both sides one after the other, where each segment's begin, how many, and whether it has any
+        self.ids, self.begin, self.count, self.good = [none, none], [none, none], [none, none], np.zeros(0, bool)
+
+    def _both(self, strings: list[str]) -> list[list[list[int]]]:
+        """Of both sides the ids of each string, which begins with a space."""
+        return [[x.ids for x in self.a.encode_batch_fast(strings, add_special_tokens=False)], self.b.encode([x[1:] for x in strings], num_threads=1)]
+
+    def _fits(self, want: bytes, ids: list[list[int]]) -> bool:
+        return all(all(parts) and b"".join(parts) == want for parts in ([held[k] for k in side] for side, held in zip(ids, (self.bytes_a, self.bytes_b))))
+
+    def _split(self, segments: list[str], ids: list[list[int]]) -> list[np.ndarray] | None:
+        """For both sides how many ids of their string each of its segments has; None if tokens are not the bytes of segments."""
+        if not self._fits(" ".join(["", *segments]).encode(), ids):
+            return None
+        ends, counts = np.cumsum([len(x.encode()) + 1 for x in segments]), []
+        for side, length in zip(ids, self.lengths):
+            at = np.cumsum(length[np.asarray(side, np.int64)])
+            last = np.searchsorted(at, ends)
+            if (at[last] != ends).any():
+                return None
+            counts.append(np.diff(np.concatenate([[-1], last])))
+        return counts
+
+    def remember(self, segments: list[str]) -> None:
+        """Encodes segments, which are given without the space they begin with. Those between other words are joined to long strings,
+        which fall into them again, and the others come one by one."""
+        inner, alone = [], []
+        for x in segments:
+            (inner if x and not x[0].isspace() and not x[-1].isspace() else alone).append(x)
+        parts = [inner[k : k + JOINED] for k in range(0, len(inner), JOINED)]
+        order: list[str] = []
+        ids: list[list[int]] = [[], []]
+        counts: list[list[np.ndarray]] = [[], []]
+        good: list[bool] = []
+        for some, *both in zip(parts, *self._both([" ".join(["", *x]) for x in parts])):
+            found = self._split(some, both)
+            if found is None:
+                alone += some
+                continue
+            order += some
+            good += [True] * len(some)
+            for side in (0, 1):
+                ids[side] += both[side]
+                counts[side].append(found[side])
+        for x, *both in zip(alone, *self._both([" " + x for x in alone])):
+            order.append(x)
+            good.append(self._fits((" " + x).encode(), both))
+            for side in (0, 1):
+                ids[side] += both[side]
+                counts[side].append(np.asarray([len(both[side])]))
+        for side in (0, 1):
+            n = np.concatenate(counts[side])
+            self.begin[side] = np.concatenate([self.begin[side], len(self.ids[side]) + np.cumsum(n) - n])
+            self.count[side] = np.concatenate([self.count[side], n])
+            self.ids[side] = np.concatenate([self.ids[side], np.asarray(ids[side], np.int64)])
+        self.good = np.concatenate([self.good, np.asarray(good, bool)])
+        first = len(self.known)
+        self.known.update(zip(order, range(first, first + len(order))))
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Of each text the ids of both sides, None without tokens."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        # where no white space follows another, every space is a cut
+        cut = [[] if not t else CUT.split(t) if t[0].isspace() or t[-1].isspace() or TWO.search(t) else t.split(" ") for t in texts]
+        if new := set(chain.from_iterable(cut)).difference(self.known):
+            self.remember(list(new))
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
         for parts in cut:
-            if parts and any(s not in self.known for s in parts):  # remembered no more
-                self.encode(list(set(parts)))
-            found = [self.known[s] for s in parts or ()]
-            out.append(tuple(b"".join(x[k] for x in found) for k in range(4)) if found and None not in found else None)
+            own = np.asarray(list(map(self.known.__getitem__, parts)), np.int64)
+            if not len(own) or not self.good[own].all():
+                out.append(None)
+                continue
+            sides = []
+            for side in (0, 1):
+                n = self.count[side][own]
+                sides.append(self.ids[side][np.repeat(self.begin[side][own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+            out.append(tuple(sides))
         return out
 
 
@@ -123,10 +183,10 @@ def end_events(docs: DataFrame, text_col: str, keep: list[str], path_a: str, pat
                 for i, found in enumerate(both.tokens([t.decode() for t in texts[lo:hi]])):
                     own.append(i), block.append(0), side.append(-1), ends.append(None), ids.append(None)
                     for s in (0, 1) if found else ():
-                        at = np.cumsum(np.frombuffer(found[2 * s + 1], np.uint32), dtype=np.int64) - 1  # the last byte of each token
+                        at = np.cumsum(both.lengths[s][found[s]]) - 1  # the last byte of each token
                         marks = np.zeros(-(-(int(at[-1]) + 1) // 8) * 8, bool)
                         marks[at] = True
-                        named = np.frombuffer(found[2 * s], np.uint32).astype(kinds[s])
+                        named = found[s].astype(kinds[s])
                         edges = np.searchsorted(at, np.arange(0, len(marks) + BLOCK, BLOCK))
                         for b in range(-(-len(marks) // BLOCK)):
                             own.append(i), block.append(b), side.append(s)
