@@ -67,10 +67,15 @@ def exact_quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, fl
 
 
 def average_precision(rows: DataFrame, score: str, label: str, index: str) -> DataFrame:
-    """(positives, average_precision): precision at each positive in the order of falling scores, then index, averaged."""
-    x = rows.select((-F.col(score)).alias("__s"), F.col(label).cast("long").alias("__y"), F.col(index).alias("__i"), F.lit(1).alias("__one"))
-    x = running_before(running_before(x, "__s", "__y", "__hits", then=["__i"]), "__s", "__one", "__rank", then=["__i"])
-    gain = F.when(F.col("__y") == 1, (F.col("__hits") + 1) / (F.col("__rank") + 1))
+    """(positives, average_precision): precision at each positive in the order of falling scores, then index, averaged.
+
+    What stands above a score is read off the counts of the distinct scores, and rows of one score are dealt by their index, so
+    neither all rows nor those of one score are sorted in one task."""
+    x = rows.where(F.col(score).isNotNull()).select((-F.col(score)).alias("__s"), F.col(label).cast("long").alias("__y"), F.col(index).alias("__i"), F.lit(1).alias("__one"))
+    kinds = x.groupBy("__s").agg(F.sum("__y").alias("__p"), F.count(F.lit(1)).alias("__c"))
+    above = running_before(running_before(kinds, "__s", "__p", "__hits_above"), "__s", "__c", "__above").select("__s", "__hits_above", "__above")
+    x = running_before(running_before(x, "__i", "__y", "__hits", group=["__s"]), "__i", "__one", "__rank", group=["__s"]).join(above, "__s")
+    gain = F.when(F.col("__y") == 1, (F.col("__hits") + F.col("__hits_above") + 1) / (F.col("__rank") + F.col("__above") + 1))
     return x.agg(F.sum("__y").alias("positives"), F.round(F.try_divide(F.sum(gain), F.sum("__y").cast("double")), 8).alias("average_precision"))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .features import running_before
+
 
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
@@ -84,6 +86,25 @@ def edge_status(n: int, brier: float | None, prior: float | None, auc: float | N
     return "WEAK" if (better >= 0.005 or auc is not None and auc >= 0.52) and later >= 0 else "NOT_DEMONSTRATED"
 
 
+def edge(n: Column, model: Column, prior: Column, auc: Column, later: Column) -> Column:
+    """edge_status as a column; a NULL AUC reaches no bound."""
+    better, reaches = prior - model, lambda bound: F.coalesce(auc >= bound, F.lit(False))
+    few = (n < 20) | model.isNull() | prior.isNull() | later.isNull()
+    return F.when(few, "INSUFFICIENT_DATA").when((better >= 0.01) & reaches(0.55) & (later > 0), "DEMONSTRATED").when(((better >= 0.005) | reaches(0.52)) & (later >= 0), "WEAK").otherwise("NOT_DEMONSTRATED")
+
+
+def edge_by(rows: DataFrame, by: list[str], score: str, label: str, prior: str) -> DataFrame:
+    """(by, n, model, baseline, auc): Brier scores of the score and the prior, and the AUC with ties at their mean rank, from counts by
+    distinct score, so that no task ranks a group. Groups must not be null."""
+    y = F.col(label)
+    scores = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) - y) ** 2).alias("model"), F.avg((F.col(prior) - y) ** 2).alias("baseline"))
+    kinds = rows.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*by, score).agg(F.sum(y.cast("long")).alias("__p"), F.count(F.lit(1)).alias("__c"))
+    placed = running_before(kinds, score, "__c", "__below", group=by)
+    ranks = placed.groupBy(*by).agg(F.sum(F.col("__p") * (F.col("__below") + (F.col("__c") + 1) / 2)).alias("k"), F.sum("__p").alias("p"), F.sum("__c").alias("c"))
+    auc = F.try_divide(F.col("k") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * (F.col("c") - F.col("p"))).cast("double"))
+    return scores.join(ranks.select(*by, auc.alias("auc")), by, "left")
+
+
 def scored(ready: Column, conflict: Column, far: Column, completeness: Column, regime: Column, opinion: Column, neighbours: Column, calibrated: Column) -> Column:
     """struct<status, reason, confidence>: the first reason to have no opinion, else how far the score can be trusted."""
     why = F.when(~ready, "INSUFFICIENT_DATA").when(conflict, "FEATURE_CONFLICT").when(far, "OUT_OF_DISTRIBUTION").when(completeness < 0.25, "INSUFFICIENT_FEATURES")
