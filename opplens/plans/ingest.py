@@ -63,6 +63,17 @@ def s8_titles(spark, d):
     return table(spark, d, "pages").select("page_id", files.title(F.col("html")).alias("title"))
 
 
+#: A report page for each order, with labels and values in cells, entities, nested marks, unclosed cells and a heading row.
+_REPORT = """concat('<html><head><title>x</title></head><body><TABLE border=1><tr><th>Label:</th><tr><td>Order:</td><td>  <b>', CAST(o_orderkey AS VARCHAR(20)), '</b></td><td nowrap>Customer  key:<td>', CAST(o_custkey AS VARCHAR(20)), '</tr><tr><td>State:</td><td>', o_orderstatus, ' &amp; ', CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'more' END, '</td></tr><tr><td>', o_orderpriority, '</td><td>alone:</td></tr></TABLE></body>')"""
+
+
+@query("""SELECT o_orderkey, label, value FROM orders, LATERAL (VALUES ('Label', NULL), ('Order', CAST(o_orderkey AS VARCHAR)), ('Customer key', CAST(o_custkey AS VARCHAR)), ('State', o_orderstatus || CASE WHEN o_custkey % 3 = 0 THEN ' &' ELSE ' & more' END), ('alone', NULL)) AS t(label, value)""")
+def s9_s10_report_values(spark, d):
+    """The labelled values of report pages."""
+    pages = table(spark, d, "orders").select("o_orderkey", F.expr(_REPORT).alias("html"))
+    return files.labelled_values(files.html_tables(pages, "o_orderkey"), "o_orderkey").select("o_orderkey", "label", "value")
+
+
 def s9_s10_html_cells(spark, d):
     """Cells of the table rows of all pages with the labels among them: no SQL, a small test holds it."""
     t = files.html_tables(table(spark, d, "pages"), "page_id")
