@@ -37,8 +37,10 @@ from pyspark.sql import types as T
 from .common import blocks, mix, of_row, powers, row_of, salted_join, stored, text_bytes
 from .repeats import BASES, INVERSES
 
-#: Runs a task gathers before it sends what it has; with 33 bytes each.
-GATHER = 1_000_000
+#: Runs a task gathers before it sends what it has; some 200 bytes each while they are sorted.
+GATHER = 300_000
+#: Rows of a batch whose texts are taken out of Arrow at a time.
+SLICE = 256
 #: Contents of one digit in one task beyond which its runs are looked at window by window without meeting the other tasks' first.
 MANY = 32
 #: Interval tables up to this many bytes are broadcast, beyond it the texts are shuffled.
@@ -197,12 +199,22 @@ PACKED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("
 _KINDS = {"g": np.uint64, "c": np.uint64, "doc": np.int64, "tag": np.int64, "lo": np.int32, "n": np.int32}
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, so that the bytes that are zero throughout compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _joined_planes(parts: list[bytes], kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(p, np.uint8).reshape(size, -1).T.copy().view(kind)[:, 0] for p in parts if p]])
+
+
 def _packed(bucket: int, kind: int, columns: dict[str, np.ndarray], pick: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *[pa.array([np.ascontiguousarray(columns[c][pick]).tobytes()], pa.binary()) for c in _KINDS]], PACKED.names)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *[pa.array([_planes(columns[c][pick])], pa.binary()) for c in _KINDS]], PACKED.names)
 
 
 def _unpacked(rows: list[tuple[bytes, ...]]) -> dict[str, np.ndarray]:
-    return {c: np.frombuffer(b"".join(r[k] for r in rows), kind) for k, (c, kind) in enumerate(_KINDS.items())}
+    return {c: _joined_planes([r[k] for r in rows], kind) for k, (c, kind) in enumerate(_KINDS.items())}
 
 
 def _decide(x: dict[str, np.ndarray], is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,18 +243,26 @@ def _by_document(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {c: v[order] for c, v in x.items()}
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE rows, so that the texts of a whole batch are not there twice."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def find_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(doc, tag, text) to packed rows of runs."""
 
     def send(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         x = _sorted({c: np.concatenate([p[c] for p in parts]) for c in _KINDS})
-        gone, kinds, _, _ = _decide(x, np.zeros(0, np.uint64))
-        left = _sorted({c: v[~gone] for c, v in x.items()})
-        _, kinds, _, group = _decide(left, np.zeros(0, np.uint64))
+        parts.clear()
+        gone, _, _, _ = _decide(x, np.zeros(0, np.uint64))
+        at = np.flatnonzero(~gone)  # still sorted
+        _, kinds, _, group = _decide({c: x[c][at] for c in ("g", "c", "doc")}, np.zeros(0, np.uint64))
         many = kinds > MANY
         heads = many & np.concatenate([[True], group[1:] != group[:-1]])
-        for kind, some in ((3, {c: v[gone] for c, v in x.items()}), (2, {c: v[many] for c, v in left.items()}), (1, {c: v[heads] for c, v in left.items()}), (0, {c: v[~many] for c, v in left.items()})):
-            some = _by_document(some)
+        for kind, pick in ((3, np.flatnonzero(gone)), (2, at[many]), (1, at[heads]), (0, at[~many])):
+            some = _by_document({c: v[pick] for c, v in x.items()})
             bucket = ((some["g"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) if kind < 2 else mix(some["tag"].view(np.uint64)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -252,7 +272,7 @@ def find_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[dict[str, np.ndarray]] = []
         held = 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             texts = text_bytes(batch.column(2))
             for lo, hi in blocks(texts):
@@ -262,7 +282,7 @@ def find_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     held += len(text)
                 if held > GATHER:
                     yield from send(parts)
-                    parts, held = [], 0
+                    held = 0
         if held:
             yield from send(parts)
 
@@ -273,13 +293,13 @@ INTERVALS = "doc long, tag long, kind int, spans binary"
 
 
 def _intervals(x: dict[str, np.ndarray], kind: int, window: int) -> Iterator[pa.RecordBatch]:
-    """The runs of each document in one row: pairs of first window and the number of windows, or of words that go."""
+    """The runs of each document in one row: the intervals of windows, or of words that go."""
     x = _by_document(x)
     doc, tag = x["doc"], x["tag"]
     if not len(doc):
         return
     heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-    pairs = np.stack([x["lo"], x["n"] if kind == 2 else x["lo"] + x["n"] + window - 1], 1).astype(np.int32)
+    pairs = np.stack([x["lo"], x["lo"] + x["n"] + (0 if kind == 2 else window - 1)], 1).astype(np.int32)
     spans = [p.tobytes() for p in np.split(pairs, heads[1:])]
     for lo in range(0, len(heads), 10_000):
         some = heads[lo : lo + 10_000]
@@ -320,18 +340,19 @@ def meet(packed: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def find_windows(asked: DataFrame, window: int) -> DataFrame:
-    """(doc, tag, text, spans: list of binary) to a row for each window asked of, with two hashes of its words."""
+    """(doc, tag, text, spans) to a row for each window asked of, with two hashes of its words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, tags, texts, listed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()
             for a, b in blocks(texts):
                 names, sizes = word_names(texts[a:b])
                 hashes = Stretches(names, sizes)
                 starts = np.cumsum(sizes + 1) - sizes
-                pairs = [np.unique(np.frombuffer(b"".join(x), np.int32).reshape(-1, 2), axis=0) for x in listed[a:b]]
-                own = np.repeat(np.arange(b - a), [int(x[:, 1].sum()) for x in pairs])
-                lo, n = (np.concatenate([x[:, k] for x in pairs]).astype(np.int64) for k in (0, 1))
+                pairs = [np.frombuffer(x, np.int32).reshape(-1, 2).astype(np.int64) for x in listed[a:b]]
+                own = np.repeat(np.arange(b - a), [int((x[:, 1] - x[:, 0]).sum()) for x in pairs])
+                lo, end = (np.concatenate([x[:, k] for x in pairs]) for k in (0, 1))
+                n = end - lo
                 place = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = place + starts[own]
                 made = [hashes.of(at, at + window, h).view(np.int64) for h in (0, 1)]
@@ -354,22 +375,32 @@ def merge_spans(parts: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(x[first, 0].tolist(), reach[np.concatenate([first[1:], [len(x)]]) - 1].tolist()))
 
 
+def gather_spans(rows: DataFrame) -> DataFrame:
+    """(doc, tag, spans) with any number of rows a document to one row, in which intervals that touch are one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [np.asarray(merge_spans(x), np.int32).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.binary())], ["doc", "tag", "spans"])
+
+    return rows.groupBy("doc", "tag").agg(F.collect_list("spans").alias("spans")).mapInArrow(work, "doc long, tag long, spans binary")
+
+
 def _join_texts(docs: DataFrame, listed: DataFrame, how: str = "inner") -> DataFrame:
     """docs with the spans that listed has of their (doc, tag), broadcast where they are few."""
-    size = listed.agg(F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.aggregate("spans", F.lit(0), lambda n, s: n + F.octet_length(s))), F.lit(0))).first()[0]
+    size = listed.agg(F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).first()[0]
     return docs.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, ["doc", "tag"], how)
 
 
 def repeated_words(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, tag, text) to (doc, tag, spans): the intervals of words that go, as a list of binaries of pairs of 32-bit numbers."""
+    """(doc, tag, text) to (doc, tag, spans): the intervals of words that go, as pairs of 32-bit numbers."""
     buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stored(meet(find_runs(docs, window, buckets), window, buckets))
-    # identical rows ask the same, and distinct() lets one of them stay
-    asked = stored(found.where("kind = 2").select("doc", "tag", "spans").distinct().groupBy("doc", "tag").agg(F.collect_list("spans").alias("spans")))
+    asked = stored(gather_spans(found.where("kind = 2").select("doc", "tag", "spans")))
     windows = stored(find_windows(_join_texts(docs, asked), window))
     twice = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("times")).where("least < most").drop("most")
     more = salted_join(windows, twice, ["w1", "w2"], "times", F.struct("doc", "spans")).where("doc > least").select("doc", "tag", "spans")
-    return found.where("kind = 3").select("doc", "tag", "spans").unionByName(more).distinct().groupBy("doc", "tag").agg(F.collect_list("spans").alias("spans"))
+    return gather_spans(found.where("kind = 3").select("doc", "tag", "spans").unionByName(more))
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 13, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -379,20 +410,23 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, text_col: str = "
     added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in added}]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.select(row_of(kept).alias("row"), F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("tag")).where("doc is not null")
+    # the tag tells texts of one id apart, if there are any
+    several = not ids.groupBy("doc").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b").isEmpty()
+    own = docs.select(row_of(kept).alias("row"), F.col(f"`{id_col}`").alias("doc"), (F.xxhash64(text) if several else F.lit(0).cast("long")).alias("tag"), text.alias("text"))
     spans = stored(repeated_words(own.where("doc is not null and octet_length(text) >= 2 * %d - 1" % window).select("doc", "tag", "text"), window))
     joined = _join_texts(own, spans, "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], *added.fields])
     interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, listed = text_bytes(batch.column(1)), batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 counts, gone, left = [], [], []
                 for text, parts in zip(texts[a:b], listed[a:b]):
                     words = text.split()  # of bytes: at ASCII white space
-                    spans = merge_spans(parts or [])
+                    spans = np.frombuffer(parts or b"", np.int32).reshape(-1, 2).tolist()
                     counts.append(len(words))
                     gone.append(spans)
                     edges = [0, *(x for s in spans for x in s), len(words)]
