@@ -97,3 +97,26 @@ def a32_coverage(spark, d):
     """Months covered, resolved rows a month, and the months until 500 are resolved."""
     s = made(spark, d, SIGNALS).where("event_time > timestamp_ntz'1996-03-15'")
     return rounded(G.coverage(s, "event_time", F.col("completed")), "rate", "months_to_go", places=8)
+
+
+_FIT = """x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.07 THEN NULL ELSE l_quantity * 1.0e0 END AS q, CASE WHEN l_orderkey % 9 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice * 1.0e0 END AS p, CASE WHEN l_orderkey % 5 = 0 THEN ' ' ELSE lower(l_returnflag) || CASE WHEN year(l_shipdate) > 1997 THEN 'x' ELSE '' END END AS f, l_linestatus AS g, year(l_shipdate) < 1996 AS train FROM lineitem),
+v AS (SELECT *, CASE WHEN NOT isnan(p) THEN p END AS pp, nullif(upper(trim(f)), '') AS ff FROM x), s AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(pp) AS mp, stddev_pop(pp) AS sp, list_sort(list(DISTINCT ff) FILTER (ff IS NOT NULL)) AS kf, list_sort(list(DISTINCT g)) AS kg FROM v WHERE train),
+o AS (SELECT l_orderkey, l_linenumber, coalesce((q - mq) / sq, 0) AS zq, (q IS NULL)::INT AS nq, coalesce((pp - mp) / sp, 0) AS zp, (pp IS NULL)::INT AS np, list_transform(kf, lambda k: coalesce(ff = k, false)::INT) AS hot, (ff IS NULL OR NOT list_contains(kf, ff))::INT AS nf, ((q IS NOT NULL)::INT + (pp IS NOT NULL)::INT + (ff IS NOT NULL)::INT + 1) / 4 AS completeness,
+  concat_ws(',', CASE WHEN abs((q - mq) / sq) > 1.6 THEN 'q:far' END, CASE WHEN abs((pp - mp) / sp) > 1.6 THEN 'p:far' END, CASE WHEN ff IS NOT NULL AND NOT list_contains(kf, ff) THEN 'f:unseen_category' END, CASE WHEN NOT list_contains(kg, g) THEN 'g:unseen_category' END) AS reasons, greatest(coalesce(abs((q - mq) / sq), 0), coalesce(abs((pp - mp) / sp), 0)) AS far FROM v, s)"""
+
+
+@query(f"""WITH {_FIT} SELECT l_orderkey, l_linenumber, round(zq, 6) + 0 AS zq, nq, round(zp, 6) + 0 AS zp, np, array_to_string(hot, '') AS hot, nf, completeness, reasons, round(far, 6) AS ood_score FROM o""")
+def f3_f5_vectors(spark, d):
+    """Vectors by the statistics of the training years: scaled numbers with indicators, one-hot levels with an unknown slot, how complete a row is
+    and why it is out of what training saw."""
+    from opplens.operators.vectors import fit_vectors
+
+    q, p = F.when(~(F.col("l_tax") > 0.07), F.col("l_quantity").cast("double")), F.when(F.col("l_orderkey") % 9 == 0, float("nan")).otherwise(F.col("l_extendedprice").cast("double"))
+    f = F.when(F.col("l_orderkey") % 5 == 0, " ").otherwise(F.concat(F.lower("l_returnflag"), F.when(F.year("l_shipdate") > 1997, "x").otherwise("")))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q"), p.alias("p"), f.alias("f"), F.col("l_linestatus").alias("g"), (F.year("l_shipdate") < 1996).alias("train"))
+    model = fit_vectors(x.where("train"), ["q", "p"], ["f", "g"], z_limit=1.6)
+    n = len(model.levels["f"])
+    v = lambda k: F.get("vector", F.lit(k))
+    out = model.transform(x)
+    hot = F.array_join(F.transform(F.slice("vector", 5, n), lambda h: h.cast("int").cast("string")), "")
+    return rounded(out.select("l_orderkey", "l_linenumber", v(0).alias("zq"), v(1).cast("int").alias("nq"), v(2).alias("zp"), v(3).cast("int").alias("np"), hot.alias("hot"), v(4 + n).cast("int").alias("nf"), "completeness", F.array_join("reasons", ",").alias("reasons"), "ood_score"), "zq", "zp", "ood_score")

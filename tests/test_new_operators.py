@@ -269,3 +269,35 @@ def test_event_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="event_type"):
         S.read_events(spark, str(tmp_path / "short.csv"), S.TELEMETRY)
     assert S.source_of(list(S.STDDEV_FIELDS)) is S.STDDEV and S.source_of(list(S.TELEMETRY_FIELDS)) is S.TELEMETRY and S.source_of(["a"]) is None
+
+
+def test_vectors_know_the_training_rows_only(spark):
+    from opplens.operators.vectors import fit_vectors
+
+    schema = "id long, a double, b double, c string"
+    train = spark.createDataFrame([(1, 1.0, 5.0, " x "), (2, 3.0, 5.0, "Y"), (3, None, 5.0, ""), (4, float("inf"), None, None), (5, 8.0, 5.0, "x")], schema)
+    model = fit_vectors(train, ["a", "b"], ["c"], imputation="median", z_limit=1.5)
+    assert model.names == ["a", "a__missing", "b", "b__missing", "c=X", "c=Y", "c__missing"]
+    rows = spark.createDataFrame([(1, None, 6.0, "y"), (2, 20.0, None, "new"), (3, None, None, None)], schema)
+    got = {r.id: r for r in model.transform(rows).collect()}
+    std = float(np.std([1, 3, 8]))
+    assert np.allclose(got[1].vector, [(3 - 4) / std, 1, 1, 0, 0, 1, 0]) and np.allclose(got[2].vector, [16 / std, 0, 0, 1, 0, 0, 1])
+    assert got[1].reasons == [] and got[2].reasons == ["a:far", "c:unseen_category"] and (got[3].completeness, got[3].ood_score) == (0.0, 0.0)
+    again = {r.id: r.snapshot for r in model.transform(rows.repartition(3)).collect()}
+    assert again == {i: r.snapshot for i, r in got.items()} and len(set(again.values())) == 3
+    empty = fit_vectors(train.limit(0), ["a"], ["c"])
+    r = empty.transform(rows).where("id = 2").first()
+    assert r.vector == [20.0, 0.0, 1.0] and r.reasons == ["a:unseen", "c:unseen_category"]
+
+
+def test_blocked_events_keep_an_identity_once(spark):
+    from opplens.operators import signals
+
+    rows = [("s", START + k * HOUR, *x) for k, x in enumerate([(True, None, None, "g"), (True, True, None, "g"), (True, True, "LONG", "g"), (False, False, "LONG", "g"), (True, True, "LONG", None), (None, False, None, "g"), (False, True, None, "g")])]
+    rows += [("t", START, True, False, None, "g")]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp, long boolean, short boolean, held string, group string")
+    got = [(r.bar_ts, r.side, r.event_type) for r in signals.blocked_events(df, 2 * 3600).orderBy("bar_ts", "side").collect()]
+    at = lambda k: START + k * HOUR
+    assert got == [(at(0), "LONG", "LONG_ONLY"), (at(1), "SHORT", "SIMULTANEOUS_CONFLICT"), (at(4), "LONG", "BLOCKED_SAME_SIDE"), (at(4), "SHORT", "BLOCKED_OPPOSITE"), (at(6), "SHORT", "SHORT_ONLY")]
+    runs = signals.with_runs(df.where("symbol = 's'"), "long", 2 * 3600)
+    assert sorted((r.bar_ts, r.repeat_bars) for r in runs.collect()) == [(at(0), 2), (at(4), 0)]
