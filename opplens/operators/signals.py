@@ -114,3 +114,25 @@ def coverage(rows: DataFrame, ts: str, resolved: Column, wanted: int = 500) -> D
     out = rows.agg(F.count(F.lit(1)).alias("n"), month_span(F.min(at), F.max(at)).alias("months"), F.count_if(resolved).alias("resolved"), month_span(F.min(F.when(resolved, at)), F.max(F.when(resolved, at))).alias("own"))
     rate = F.coalesce(F.try_divide(F.col("resolved").cast("double"), F.coalesce("own", "months")), F.lit(0.0))
     return out.select("n", F.coalesce("months", F.lit(0)).alias("months"), "resolved", rate.alias("rate"), F.when(rate > 0, wanted / rate).alias("months_to_go"))
+
+
+def shared_keys(left: DataFrame, right: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
+    """(keys, left, right, both): for each named tuple of columns how many distinct values each side has, and both. A tuple with a NULL is none."""
+    out = None
+    for name, columns in keys.items():
+        known = F.lit(True)
+        for c in columns:
+            known = known & F.col(c).isNotNull()
+        side = lambda df, n: df.where(known).select(F.struct(*columns).alias("k")).distinct().withColumn(n, F.lit(1))  # noqa: E731, B023
+        both = side(left, "a").join(side(right, "b"), "k", "full")
+        one = both.agg(F.lit(name).alias("keys"), F.count("a").alias("left"), F.count("b").alias("right"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def split_overlaps(rows: DataFrame, id_col: str, split: str, splits: Sequence[str]) -> DataFrame:
+    """(first, second, n): how many ids are in both splits, for each two of them in their order; one grouping by id."""
+    held = rows.where(F.col(split).isin(*splits)).groupBy(id_col).agg(F.collect_set(split).alias("s"))
+    pairs = [(a, b) for i, a in enumerate(splits) for b in splits[i + 1 :]]
+    counts = held.agg(*[F.count_if(F.array_contains("s", a) & F.array_contains("s", b)).alias(f"{a}|{b}") for a, b in pairs])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}|{b}`").alias("n")) for a, b in pairs])))

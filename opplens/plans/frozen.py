@@ -67,23 +67,23 @@ q AS (SELECT draw, {', '.join(f'sum(p.{c}) AS {c}' for c in sums.split(', '))} F
 SELECT n AS count, round(estimate, 9) AS estimate, round(l[25], 9) AS lower, round(l[975], 9) AS upper, CAST(m AS INT) AS blocks FROM dims, e, o"""
 
 
-@query(_bootstrap_sql("SELECT event_id AS ord, CAST(user_id AS DOUBLE) AS s, 1.0::DOUBLE AS n1 FROM events WHERE event_id % 10 < 3", "s, n1", "s / n1"))
+@query(_bootstrap_sql("SELECT event_id AS ord, CAST(user_id AS DOUBLE) AS s, 1.0::DOUBLE AS n1 FROM events", "s, n1", "s / n1"))
 def m10_bootstrap_mean(spark, d):
     """A mean with the interval of 1,000 draws of blocks of ten."""
-    e = table(spark, d, "events").where("event_id % 10 < 3")
+    e = table(spark, d, "events")
     return rounded(M.bootstrap(e, "event_id", {"s": F.col("user_id"), "n1": F.lit(1.0)}, F.col("s") / F.col("n1")), "estimate", "lower", "upper", places=9)
 
 
-@query(_bootstrap_sql("SELECT event_id AS ord, CAST((event_type = 'click' AND user_id % 2 = 0)::INT AS DOUBLE) AS hit, CAST((event_type = 'click')::INT AS DOUBLE) AS shown FROM events WHERE event_id % 10 < 3", "hit, shown", "hit / shown"))
+@query(_bootstrap_sql("SELECT event_id AS ord, CAST((event_type = 'click' AND user_id % 2 = 0)::INT AS DOUBLE) AS hit, CAST((event_type = 'click')::INT AS DOUBLE) AS shown FROM events", "hit, shown", "hit / shown"))
 def m10_bootstrap_rate(spark, d):
     """The ratio of two sums, whose draws have unlike denominators."""
-    e = table(spark, d, "events").where("event_id % 10 < 3")
+    e = table(spark, d, "events")
     shown = F.col("event_type") == "click"
     out = M.bootstrap(e, "event_id", {"hit": (shown & (F.col("user_id") % 2 == 0)).cast("double"), "shown": shown.cast("double")}, F.col("hit") / F.col("shown"))
     return rounded(out, "estimate", "lower", "upper", places=9)
 
 
-_EVENTS = "SELECT event_id AS id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, ts, CASE WHEN event_id % 2 = 0 THEN value + 0.25e0 ELSE value END AS entry, 3.1e0 + event_id % 160 AS risk FROM {events} WHERE event_id % 3 = 0"
+_EVENTS = "SELECT event_id AS id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, ts, CASE WHEN event_id % 2 = 0 THEN value + 0.25e0 ELSE value END AS entry, 3.1e0 + event_id % 160 AS risk FROM {events}"
 
 
 @query(f"""WITH e AS ({_EVENTS.format(events='events')}), t AS (SELECT event_type AS symbol, ts, event_id AS n, value AS bid, value + 0.25 AS ask FROM events WHERE value > 0),

@@ -120,3 +120,22 @@ def f3_f5_vectors(spark, d):
     out = model.transform(x)
     hot = F.array_join(F.transform(F.slice("vector", 5, n), lambda h: h.cast("int").cast("string")), "")
     return rounded(out.select("l_orderkey", "l_linenumber", v(0).alias("zq"), v(1).cast("int").alias("nq"), v(2).alias("zp"), v(3).cast("int").alias("np"), hot.alias("hot"), v(4 + n).cast("int").alias("nf"), "completeness", F.array_join("reasons", ",").alias("reasons"), "ood_score"), "zq", "zp", "ood_score")
+
+
+_KEYS = {"event": ("k",), "time_side": ("event_time", "side"), "time_side_type": ("event_time", "side", "event_type"), "risk_side": ("shadow_risk_distance", "active_current_r", "side")}
+
+
+@query(f"""WITH {_S}, a AS (SELECT * FROM s WHERE k % 3 > 0), b AS (SELECT * FROM s WHERE k % 4 > 0) {' UNION ALL '.join(f"SELECT '{n}' AS keys, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM a WHERE {' AND '.join(f'{x} IS NOT NULL' for x in c)})) AS left, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM b WHERE {' AND '.join(f'{x} IS NOT NULL' for x in c)})) AS right, (SELECT count(*) FROM (SELECT {', '.join(c)} FROM a WHERE {' AND '.join(f'{x} IS NOT NULL' for x in c)} INTERSECT SELECT {', '.join(c)} FROM b)) AS both" for n, c in _KEYS.items())}""")
+def o8_shared_keys(spark, d):
+    """How many values of four tuples of keys two sets of signals share."""
+    s = made(spark, d, SIGNALS)
+    return G.shared_keys(s.where("k % 3 > 0"), s.where("k % 4 > 0"), _KEYS)
+
+
+@query("""WITH r AS (SELECT o_custkey AS id, CASE year(o_orderdate) % 4 WHEN 0 THEN 'TRAIN' WHEN 1 THEN 'VALIDATION' WHEN 2 THEN 'OOS' ELSE 'FORWARD' END AS split FROM orders WHERE o_orderkey % 7 = 0), p AS (SELECT * FROM (VALUES ('TRAIN', 'VALIDATION'), ('TRAIN', 'OOS'), ('TRAIN', 'FORWARD'), ('VALIDATION', 'OOS'), ('VALIDATION', 'FORWARD'), ('OOS', 'FORWARD')) AS t(first, second))
+SELECT first, second, (SELECT count(DISTINCT a.id) FROM r a JOIN r b ON a.id = b.id WHERE a.split = first AND b.split = second) AS n FROM p""")
+def o10_split_overlaps(spark, d):
+    """How many ids each two of four splits share."""
+    split = F.expr("case year(o_orderdate) % 4 when 0 then 'TRAIN' when 1 then 'VALIDATION' when 2 then 'OOS' else 'FORWARD' end")
+    r = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"), split.alias("split"))
+    return G.split_overlaps(r, "id", "split", ["TRAIN", "VALIDATION", "OOS", "FORWARD"])
