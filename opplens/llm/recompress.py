@@ -263,7 +263,7 @@ def find_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         heads = many & np.concatenate([[True], group[1:] != group[:-1]])
         for kind, pick in ((3, np.flatnonzero(gone)), (2, at[many]), (1, at[heads]), (0, at[~many])):
             some = _by_document({c: v[pick] for c, v in x.items()})
-            bucket = ((some["g"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) if kind < 2 else mix(some["tag"].view(np.uint64)).astype(np.int64) % buckets
+            bucket = ((some["g"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) if kind < 2 else mix(some["doc"].view(np.uint64) ^ some["tag"].view(np.uint64)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
