@@ -29,7 +29,7 @@ def text(c: Column) -> Column:
 def number(c: Column) -> Column:
     """A decimal without needless zeros, so that 1.50 and 1.5 have one identity."""
     d = c.cast("decimal(28,8)")
-    plain = F.regexp_replace(F.regexp_replace(d.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.rtrim(F.rtrim(d.cast("string"), F.lit("0")), F.lit("."))  # eight decimals are always written
     return F.when(c.isNull(), "NULL").when(d == 0, "0").otherwise(plain)
 
 
