@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Decimal places that floating numbers are rounded to before they are hashed.
 PLACES = 12
@@ -13,24 +15,31 @@ PLACES = 12
 LEVELS = (4, 2)
 
 
-def canonical_row(df: DataFrame, columns: Sequence[str]) -> Column:
-    """name=value of the columns in the order of their names, floating numbers rounded; a NULL has a sign of its own. A number that is not
-    finite is an error, as it has no stable text."""
+@F.pandas_udf(StringType())
+def shortest(x: pd.Series) -> pd.Series:
+    """The shortest text that reads back as the number, as SQL engines write it; Java 17 adds needless digits and other exponents."""
+    return x.map(lambda v: repr(float(v)), na_action="ignore")
+
+
+def canonical_row(df: DataFrame, columns: Sequence[str], places: int | None = PLACES) -> Column:
+    """name=value of the columns in the order of their names, floating numbers rounded, or whole if places is None; a NULL has a sign of its
+    own. A number that is not finite is an error, as it has no stable text."""
 
     def text(c: str) -> Column:
         if df.schema[c].dataType.typeName() in ("double", "float"):
             x = F.col(c).cast("double")
             odd = F.isnan(x) | (F.abs(x) == float("inf"))
-            return F.when(odd, F.raise_error(F.lit(f"{c} holds a number that is not finite"))).otherwise((F.round(x, PLACES) + F.lit(0.0)).cast("string"))
+            plain = shortest(x) if places is None else (F.round(x, places) + F.lit(0.0)).cast("string")
+            return F.when(odd, F.raise_error(F.lit(f"{c} holds a number that is not finite"))).otherwise(plain)
         return F.col(c).cast("string")
 
     return F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.coalesce(text(c), F.lit("\x00"))) for c in sorted(columns)])
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], part: str) -> DataFrame:
+def fingerprint(df: DataFrame, columns: Sequence[str], part: str, places: int | None = PLACES) -> DataFrame:
     """One row (part, rows, digest). Equal rows are counted first; the rows' hashes are then dealt by their first digits into buckets, whose
     digests are joined by fewer digits and at last into one: no task sees more than a bucket or the digests of a level."""
-    h = df.select(F.sha2(canonical_row(df, columns), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    h = df.select(F.sha2(canonical_row(df, columns, places), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     entry = F.concat("h", F.lit(":"), F.col("n").cast("string"))
     joined = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("e")), ";"), 256)
     level = h.select(F.col("h").alias("key"), entry.alias("e"), "n")

@@ -301,3 +301,16 @@ def test_blocked_events_keep_an_identity_once(spark):
     assert got == [(at(0), "LONG", "LONG_ONLY"), (at(1), "SHORT", "SIMULTANEOUS_CONFLICT"), (at(4), "LONG", "BLOCKED_SAME_SIDE"), (at(4), "SHORT", "BLOCKED_OPPOSITE"), (at(6), "SHORT", "SHORT_ONLY")]
     runs = signals.with_runs(df.where("symbol = 's'"), "long", 2 * 3600)
     assert sorted((r.bar_ts, r.repeat_bars) for r in runs.collect()) == [(at(0), 2), (at(4), 0)]
+
+
+def test_fingerprints_take_whole_numbers_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from opplens.plans import registry
+
+    odd = [0.1 + 0.2, 1e7, 123456789.25, 2e-3, 1e-4, 5e-324, 1e16, 1.5e300, -0.0, 2.0 / 3, 2.2e-322, 1e23, 2e23, None]
+    con = duckdb.connect()
+    for name, key in (("customer", "c"), ("supplier", "s")):
+        spark.createDataFrame([(i, f"n{i}", v) for i, v in enumerate(odd)], f"{key}_{'cust' if key == 'c' else 'supp'}key long, {key}_name string, {key}_acctbal double").write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert tuple(registry.QUERIES["d3_bundle"](spark, str(tmp_path)).first()) == con.execute(registry.ORACLE_SQL["d3_bundle"]).fetchone()
