@@ -314,3 +314,42 @@ def test_fingerprints_take_whole_numbers_as_sql_does(spark, tmp_path):
         spark.createDataFrame([(i, f"n{i}", v) for i, v in enumerate(odd)], f"{key}_{'cust' if key == 'c' else 'supp'}key long, {key}_name string, {key}_acctbal double").write.parquet(f"{tmp_path}/{name}.parquet")
         con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     assert tuple(registry.QUERIES["d3_bundle"](spark, str(tmp_path)).first()) == con.execute(registry.ORACLE_SQL["d3_bundle"]).fetchone()
+
+
+def test_dataset_of_odd_numbers_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from opplens.plans import registry
+
+    con = duckdb.connect()
+    for name, columns in {"customer": ("c_custkey", "c_name", "c_acctbal"), "supplier": ("s_suppkey", "s_name", "s_acctbal")}.items():
+        spark.createDataFrame([(i, f"n{i}", v) for i, v in enumerate((1 / 3, 1e7, 2e-3, -0.0, None))], "{} long, {} string, {} double".format(*columns)).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(1, 2, "O"), (2, None, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("customer", "supplier", "orders"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in registry.QUERIES["c4_c5_dataset"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(registry.ORACLE_SQL["c4_c5_dataset"]).fetchall())
+
+
+def test_hashes_of_picks_are_those_of_md5():
+    import hashlib
+
+    at = np.array([0, 1, 9, 10, 99, 100, 12345, 999999, 1000000, 4096, 10**12 + 7])
+    for prefix in ("42:7:", "42:999:", "1234567890:123456789012345:"):
+        assert bootstrap.hashes(prefix, at).tolist() == [int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:8], 16) for i in at]
+
+
+def test_bootstrap_meets_no_picks_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "PART", 8)
+    monkeypatch.setattr(bootstrap, "STRETCH", 7)
+    monkeypatch.setattr(bootstrap, "PACKED", 50)
+    monkeypatch.setattr(bootstrap, "picks", None)  # the plain definition is for small tables
+    test_bootstrap_of = spark.range(1003).select("id", (F.col("id") % 17).cast("double").alias("v"))
+    out = bootstrap.bootstrap(test_bootstrap_of, "id", {"s": F.col("v"), "n1": F.lit(1.0)}, F.col("s") / F.col("n1"), draws=40).first()
+    monkeypatch.undo()
+    drawn = bootstrap.picks(test_bootstrap_of, 1003, 10, 40, 42).collect()
+    sums = {}
+    for r in drawn:
+        sums[r.draw] = sums.get(r.draw, 0) + r.times * sum(i % 17 for i in range(r.b * 10, r.b * 10 + r.k))
+    s = sorted(v / 1003 for v in sums.values())
+    assert np.allclose([out.lower, out.upper], [s[int(0.025 * 39)], s[int(0.975 * 39)]]) and out.blocks == 101
