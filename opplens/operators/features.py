@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opplens.sources.files import work_folder
+
 
 def temporal_split(rows: DataFrame, ts: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """rows with split: TRAIN, VALIDATION or OOS by cut-offs at fractions of the distinct times, so no time is in two splits."""
@@ -23,8 +28,7 @@ def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: i
     Rows are dealt by approximate quantiles of order and summed within a bucket; the sums of the buckets before, at most
     `buckets` rows a group, are joined. So no task sorts all rows, and the result is exact whatever the bounds are.
     """
-    bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]))).first()[0] or []
-    x = rows.withColumn("__b", bucket_of(F.col(order).cast("double"), sorted(set(bounds))))
+    x = rows.withColumn("__b", bucket_of(F.col(order).cast("double"), approximate_bounds(rows, order, buckets)))
     w = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     before = x.groupBy(*group, "__b").agg(F.sum(value).alias("__t")).select(*group, "__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
     own = F.coalesce(F.sum(value).over(Window.partitionBy(*group, "__b").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -32,6 +36,17 @@ def running_before(rows: DataFrame, order: str, value: str, out: str, buckets: i
     return x.withColumn("__own", own).join(side, [*group, "__b"]).withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
 
 
+def approximate_bounds(rows: DataFrame, order: str, buckets: int = 256) -> list[float]:
+    return sorted(set(rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]))).first()[0] or []))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written as a table and read again, so that what it is made of runs once."""
+    folder = f"{work_folder(df.sparkSession)}/counts-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bucket_of(x: Column, bounds: Sequence[float]) -> Column:
     """How many of the sorted bounds are less than x, by binary search."""
     held, n = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), len(bounds)
@@ -46,16 +61,23 @@ def exact_quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, fl
     Quantiles are read off the places of the distinct values, so neither a group's rows nor its values meet in one task. Groups
     must not be null.
     """
-    by = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
-    total = by.groupBy(*group).agg(F.sum("__c").alias("__n"))
-    placed = running_before(by, value, "__c", "__below", group=group)
-    placed = placed.join(total, list(group)) if group else placed.join(F.broadcast(total))  # one row
+    by = _kept(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c")))
+    x = by.withColumn("__b", bucket_of(F.col(value).cast("double"), approximate_bounds(by, value)))
     n = F.col("__n")
     at = {
         "linear": lambda p: ((n - 1) * p, F.floor((n - 1) * p + 1e-9), F.ceil((n - 1) * p - 1e-9)),
         "nearest": lambda p: (F.greatest(F.ceil(n * p - 1e-9) - 1, F.lit(0)),) * 3,
         "lower": lambda p: (F.floor((n - 1) * p + 1e-9),) * 3,
     }
+    one = Window.partitionBy(*(group or [F.lit(1)]))
+    sums = x.groupBy(*group, "__b").agg(F.sum("__c").alias("__t"))
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__t").over(one.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__n": F.sum("__t").over(one)})
+    asked = [i for rule, p in wanted.values() for i in at[rule](p)[1:]]
+    # only the values of the buckets that hold an asked place are put in order
+    sums = sums.where(reduce(or_, [(F.col("__before") <= i) & (i < F.col("__before") + F.col("__t")) for i in asked]))
+    placed = x.join(sums if group else F.broadcast(sums), [*group, "__b"])
+    own = F.sum("__c").over(Window.partitionBy(*group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("__below", F.col("__before") + F.coalesce(own, F.lit(0)))
     held = lambda i: F.max(F.when((F.col("__below") <= i) & (i < F.col("__below") + F.col("__c")), F.col(value)))
     made = []
     for name, (rule, p) in wanted.items():
