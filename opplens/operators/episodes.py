@@ -110,9 +110,11 @@ def canonical_view(rows: DataFrame, key: str, ts: str, source: str, audit: str,
     The first value is that of the least (time, audit, source). A field with incompatible values is NULL and CONFLICT, one
     without values INSUFFICIENT. A row is CONFLICT if a field is, INSUFFICIENT without values, PARTIAL with some, else VALID.
     What is compatible with the first value is an interval around it, so the least and the greatest value tell whether all are:
-    one aggregation, without a join.
+    one aggregation, without a join. Rows are dealt by their key as they are: the states of the aggregates are several times as wide, and
+    keys of a few rows would hardly shrink in a task.
     """
     order = F.struct(ts, audit, source)
+    rows = rows.select(key, *dict.fromkeys([ts, source, audit, *fields])).repartition(key)
     near = lambda c, x: F.abs(F.col(f"{x}_{c}") - F.col(f"first_{c}")) <= F.greatest(relative * F.greatest(F.abs(F.col(f"{x}_{c}")), F.abs(F.col(f"first_{c}"))), F.lit(absolute))
     out = rows.groupBy(key).agg(
         F.max(ts).alias(ts), F.count(F.lit(1)).alias("observations"), F.array_sort(F.collect_set(audit)).alias("audits"),
