@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,12 @@ def all_reasons(rules: dict[str, Column]) -> Column:
 
 def timestamp_of(text: Column, zone: str = "UTC", epoch: Column | None = None) -> Column:
     """The time in UTC of a text in one of TIME_FORMATS at zone; NULL if it has none of them, or if it is not the time that an epoch
-    in seconds gives."""
+    in seconds gives. Only the format that has the text's signs is tried: a format that fails costs a thrown error."""
     t = F.trim(text)
-    at = F.to_utc_timestamp(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]), zone)
+    signs = F.upper(F.translate(t, "+0123456789", ""))  # a year may have a sign
+    shape = lambda f: re.sub("[yMdHms']", "", f)
+    parsed = F.coalesce(*[F.when(signs.isin(shape(f), "-" + shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in TIME_FORMATS])
+    at = F.to_utc_timestamp(parsed, zone)
     return at if epoch is None else F.when(F.unix_seconds(at) == epoch, at)
 
 

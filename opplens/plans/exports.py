@@ -55,7 +55,6 @@ def s3_s4_s5_sources(spark, d):
     for name, source in _SOURCES.items():
         folder = f"{work_folder(spark)}/export-{uuid.uuid4().hex}"
         _rows(spark, d, name).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-        good, bad = S.read_events(spark, folder, source)
-        both = good.withColumn("outcome", F.lit("ACCEPTED")).unionByName(bad.withColumnRenamed("reason", "outcome")).withColumn("source", F.lit(name))
+        both = S.read_judged(spark, folder, source).withColumns({"outcome": F.coalesce("reason", F.lit("ACCEPTED")), "source": F.lit(name)})
         out = both if out is None else out.unionByName(both)
     return out.groupBy("source", "outcome", "event_type", "side", "symbol").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("ts").cast("timestamp_ntz")).alias("first"), F.max(F.col("ts").cast("timestamp_ntz")).alias("last"), F.sum("price").cast("long").alias("price"))

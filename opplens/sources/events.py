@@ -56,23 +56,33 @@ def judged_events(raw: DataFrame, source: Source, zone: str = "UTC") -> DataFram
     missing = [c for c in source.required if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    event, time = _filled(raw, "event_id"), _filled(raw, source.time)
-    hint = F.split_part(event, F.lit("_"), F.lit(1))
-    epoch = F.when(hint.rlike("^[0-9]+$"), hint).try_cast("long")
-    ts = R.timestamp_of(time, zone, epoch) if source.epoch else R.timestamp_of(time, zone)
-    raw_type = F.upper(F.coalesce(_filled(raw, source.kind), F.lit("UNKNOWN")))
-    kind = event_class(F.lit(source.audit), raw_type) if source.audit else raw_type
-    symbol = F.lit(source.symbol) if source.symbol else R.symbol(F.coalesce(_filled(raw, "symbol"), F.lit("UNKNOWN")))
-    timeframe = F.lit(source.timeframe) if source.timeframe else R.timeframe(F.coalesce(_filled(raw, "timeframe"), F.lit("H1")))
-    price = parse_number(F.col(source.price)) if source.price in raw.columns else F.lit(None).cast("double")
-    rules = {"MISSING_ID": event.isNotNull(), "MISSING_TIME": time.isNotNull(), **({"MISSING_EPOCH": epoch.isNotNull()} if source.epoch else {}), "BAD_TIME": ts.isNotNull(), "UNSUPPORTED_TYPE": kind.isNotNull()}
-    made = dict(zip(EVENT, (event, kind, raw_type, ts, time, symbol, timeframe, R.side(F.col("side")) if "side" in raw.columns else F.lit(None).cast("string"), F.lit(source.strategy).cast("string"), F.lit(source.audit).cast("string"), price)))
-    return raw.select(*[c.alias(n) for n, c in made.items()], R.first_reason(rules).alias("reason"))
+    # in steps, so that what several columns are made of is worked out once a row
+    symbol = F.lit(source.symbol) if source.symbol else _filled(raw, "symbol")
+    timeframe = F.lit(source.timeframe) if source.timeframe else _filled(raw, "timeframe")
+    price = F.col(source.price) if source.price in raw.columns else F.lit(None).cast("string")
+    side = F.col("side") if "side" in raw.columns else F.lit(None).cast("string")
+    x = raw.select(_filled(raw, "event_id").alias("event_id"), _filled(raw, source.time).alias("source_time"), F.upper(F.coalesce(_filled(raw, source.kind), F.lit("UNKNOWN"))).alias("raw_type"), symbol.alias("symbol"), timeframe.alias("timeframe"), side.alias("side"), price.alias("price"))
+    hint = F.substring_index("event_id", "_", 1)
+    epoch = F.when(hint.rlike("^[0-9]+$"), hint).try_cast("long") if source.epoch else F.lit(None).cast("long")
+    x = x.withColumns({
+        "__epoch": epoch, "ts": R.timestamp_of(F.col("source_time"), zone), "event_type": event_class(F.lit(source.audit), F.col("raw_type")) if source.audit else F.col("raw_type"),
+        "symbol": F.col("symbol") if source.symbol else R.symbol(F.coalesce("symbol", F.lit("UNKNOWN"))), "timeframe": F.col("timeframe") if source.timeframe else R.timeframe(F.coalesce("timeframe", F.lit("H1"))),
+        "side": R.side(F.col("side")), "price": parse_number(F.col("price")), "strategy": F.lit(source.strategy).cast("string"), "audit": F.lit(source.audit).cast("string"),
+    })
+    if source.epoch:
+        x = x.withColumn("ts", F.when(F.unix_seconds("ts") == F.col("__epoch"), F.col("ts")))
+    rules = {"MISSING_ID": F.col("event_id").isNotNull(), "MISSING_TIME": F.col("source_time").isNotNull(), **({"MISSING_EPOCH": F.col("__epoch").isNotNull()} if source.epoch else {}), "BAD_TIME": F.col("ts").isNotNull(), "UNSUPPORTED_TYPE": F.col("event_type").isNotNull()}
+    return x.select(*EVENT, R.first_reason(rules).alias("reason"))
+
+
+def read_judged(spark: SparkSession, path: str | list[str], source: Source, zone: str = "UTC") -> DataFrame:
+    """All events of CSV files with reason, as judged_events: for what needs both kinds of rows the files are read once."""
+    return judged_events(read_csv(spark, path, source.required), source, zone)
 
 
 def read_events(spark: SparkSession, path: str | list[str], source: Source, zone: str = "UTC", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(accepted events, rejected rows with their reason) of CSV files; with strict a rejected row is an error when the events are read."""
-    x = judged_events(read_csv(spark, path, source.required), source, zone)
+    x = read_judged(spark, path, source, zone)
     good = x.where("reason is null") if not strict else x.where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(F.concat_ws(": ", "reason", F.coalesce("event_id", F.lit("?"))))))
     return good.drop("reason"), x.where("reason is not null")
 
