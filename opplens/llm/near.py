@@ -11,8 +11,8 @@ Equal texts are one node from the start, and classes are connected components. A
 2. In the groups that still hold several classes every pair of members of different classes is looked at: groups are cut into
    blocks, each two blocks meet in one task, and pairs are held against length and word histogram, which bound the edit
    distance. Pairs of one class are never made.
-3. Of the pairs that are left each class aligns its nearest one, then each two classes that are still apart theirs, then all
-   pairs of classes that are still apart are aligned.
+3. The task aligns what is left of its pairs, nearest first, and keeps count of the classes that it has joined, so that pairs
+   of what is joined are passed over. It gives the links that join, fewer than it has members: pairs never become rows.
 
 So no pair of candidates is left out that could join two classes; what can be missed are pairs that share no sketch value at all.
 
@@ -35,12 +35,12 @@ from .common import blocks, map_text, mix, stored, window_hashes, word_hashes, w
 
 #: Key tables up to this many rows are broadcast, beyond it the texts are shuffled.
 BROADCAST_KEYS = 400_000
-#: Members of a group that are one block, about.
-BLOCK = 1024
+#: Members of a group that are one block, and the words that they have together, about.
+BLOCK, BLOCK_WORDS = 512, 1 << 20
 #: Texts on each side of a tile of pairs that are aligned, about.
 TILE = 64
 #: Buckets of a word histogram, how many of them are first taken together, and pairs that are held against each other in one step.
-BUCKETS, TOGETHER, STEP = 1024, 8, 50_000
+BUCKETS, TOGETHER, STEP = 1024, 8, 4096
 #: Low bits that hold a k-mer's place in its text.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -94,20 +94,24 @@ def order_min_hash(texts: list[bytes], k: int, sketches: int, order: int) -> tup
 GRAM = 4
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
+def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word n-grams of a text, sorted, and how often it has each."""
+    return np.unique(window_hashes(words, GRAM), return_counts=True)
+
+
+def _shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
     """How many word n-grams two texts share, repeated ones as often as both have them."""
-    x, y = (np.unique(window_hashes(w, GRAM), return_counts=True) for w in (a, b))
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     return int(np.minimum(x[1][i], y[1][j]).sum())
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The edit distance of two arrays of word hashes, or None if it is above most.
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int, grams: tuple | None = None) -> int | None:
+    """The edit distance of two arrays of word hashes, or None if it is above most; grams: their n-grams, if they are known.
 
     Furthest-reaching points on the diagonals up to NARROW edits: a text is walked once along each diagonal that is reached.
     Texts that differ more are aligned in the whole band.
     """
-    if abs(len(a) - len(b)) > most or _shared(a, b) < max(len(a), len(b)) - GRAM + 1 - GRAM * most:
+    if abs(len(a) - len(b)) > most or _shared(*(grams or (grams_of(a), grams_of(b)))) < max(len(a), len(b)) - GRAM + 1 - GRAM * most:
         return None
     x, y = a.tolist(), b.tolist()
     n, m = len(x), len(y)
@@ -211,10 +215,10 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray, least: float) -> float | None:
+def similarity_of(a: np.ndarray, b: np.ndarray, least: float, grams: tuple | None = None) -> float | None:
     """The edit similarity of two arrays of word hashes if it is at least least."""
     longer = max(len(a), len(b))
-    d = edit_distance(a, b, int(longer * (1 - least) + 1e-9)) if longer else None
+    d = edit_distance(a, b, int(longer * (1 - least) + 1e-9), grams) if longer else None
     return None if d is None else 1 - d / longer
 
 
@@ -257,13 +261,10 @@ def merged_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(with_roots(everyone.withColumnRenamed("root", "old"), higher, "old", "root").select("key", "root"), most)
 
 
-def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its number of words and how many of them fall into each bucket, 255 at most."""
-    buf, starts, ends, _, first = word_spans(texts)
-    n = np.diff(first)
-    at = np.repeat(np.arange(len(texts)), n) * BUCKETS + (word_hashes(buf, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
-    counts = np.bincount(at, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-    return n, np.minimum(counts, 255).astype(np.uint8)
+def histograms(hashes: list[np.ndarray]) -> np.ndarray:
+    """How many of each text's words fall into each bucket, 255 at most."""
+    counts = [np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8) for h in hashes]
+    return np.array(counts, np.uint8).reshape(len(hashes), BUCKETS)
 
 
 def least_edits(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -296,55 +297,76 @@ def _pairs_of(kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def _apart(members: DataFrame, sketched: DataFrame, roots: DataFrame | None, keyed: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb, edits, g): every pair of a group that is in two classes and can be alike by length and histogram.
+def _joining(members: DataFrame, sketched: DataFrame, roots: DataFrame | None, keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join the classes of each group as far as any of its pairs would, fewer than its members for each task.
 
     A pair that shares several sketch values is looked at in the group of the first of them only.
     """
-    rooted = with_roots(members.select("h", "s", "key"), roots)
-    groups = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    groups = stored(groups.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), most := members.count())
+    rooted = with_roots(members.select("h", "s", "key", "n"), roots)
+    groups = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    groups = stored(groups.select("h", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("w") / BLOCK_WORDS)).cast("int").alias("blocks")), most := members.count())
     side = F.broadcast(groups) if groups.count() <= BROADCAST_KEYS else groups
     mixed = stored(rooted.join(side, "h").select("h", "s", "key", "root", "blocks"), most)
     wanted = stored(mixed.select("key").distinct(), most)
     few = wanted.count() <= BROADCAST_KEYS
 
-    def count(texts: list[bytes]) -> list[pa.Array]:
-        n, words = histograms(texts)
-        return [pa.array(n, pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())]
+    def hashed(texts: list[bytes]) -> list[pa.Array]:
+        buf, starts, ends, _, first = word_spans(texts)
+        hashes = word_hashes(buf, starts, ends)
+        return [pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in range(len(texts))], pa.binary())]
 
-    added = T.StructType([T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType())])
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    counted = map_text(texts, "text", added, count, ["key"]).dropDuplicates(["key"])
+    read = map_text(texts, "text", T.StructType([T.StructField("words", T.BinaryType())]), hashed, ["key"]).dropDuplicates(["key"])
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    values = sketched.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    rows = mixed.join(counted, "key").join(values, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", "s", F.xxhash64("root").alias("r"), "root", "key", "n", "words", "sketch")
+    values = sketched.select("key", "sketch").join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+    rows = mixed.join(read, "key").join(values, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") == F.col("other")).alias("one"), "block", "s", F.xxhash64("root").alias("r"), "key", "words", "sketch")
     # two blocks are a run of equal g; "one" tells whether the run is a single block, whose members all meet
     rows = rows.repartition("g").sortWithinPartitions("g", "r")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "g"):
-            one, block, r, n = (table.column(c).to_numpy() for c in ("one", "block", "r", "n"))
-            words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            one, block, r = (table.column(c).to_numpy() for c in ("one", "block", "r"))
+            words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
             sketch = np.asarray(table.column("sketch").to_pylist(), np.int64)
-            own = table.column("s")[0].as_py()
-            key, root = table.column("key").combine_chunks(), table.column("root").combine_chunks()
-            for i, j in _pairs_of(r):
-                meet_here = one[i] | (block[i] != block[j])
-                i, j = i[meet_here], j[meet_here]
-                first = (sketch[i] == sketch[j]).argmax(1) == own
-                i, j = i[first], j[first]
-                like, edits = least_edits(n, words, i, j, least)
-                if len(like):
-                    i, j = pa.array(i[like]), pa.array(j[like])
-                    group = pa.array(np.full(len(like), table.column("g")[0].as_py()))
-                    yield pa.RecordBatch.from_arrays([key.take(i), key.take(j), root.take(i), root.take(j), pa.array(edits, pa.int64()), group], ["a", "b", "ra", "rb", "edits", "g"])
-
-    met = rows.mapInArrow(meet, "a binary, b binary, ra binary, rb binary, edits long, g long")
-    swap = F.col("ra") > F.col("rb")
-    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ra", "rb"), ("rb", "ra"))]
-    return met.select(*ends, "edits", "g")
+            i, j = joining_pairs(r, one, block, sketch, table.column("s")[0].as_py(), words, least)
+            key = table.column("key").combine_chunks()
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(i, pa.int64())), key.take(pa.array(j, pa.int64()))], ["a", "b"])
+
+    return rows.mapInArrow(meet, "a binary, b binary")
+
+
+def joining_pairs(kind: np.ndarray, one: np.ndarray, block: np.ndarray, sketch: np.ndarray, own: int, words: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Members i and j of the links that join kinds, for members sorted by kind; pairs of kinds that are joined are not aligned."""
+    above: dict[int, int] = {}
+    grams: dict[int, tuple] = {}
+    found: tuple[list[int], list[int]] = ([], [])
+
+    def top(k: int) -> int:
+        while (up := above.get(k, k)) != k:
+            above[k] = k = above.get(up, up)
+        return k
+
+    def grams_at(i: int) -> tuple:
+        if i not in grams:
+            grams[i] = grams_of(words[i])
+        return grams[i]
+
+    n, counts, kinds = np.array([len(w) for w in words]), histograms(words), kind.tolist()
+    for i, j in _pairs_of(kind):
+        meet_here = one[i] | (block[i] != block[j])
+        i, j = i[meet_here], j[meet_here]
+        first = (sketch[i] == sketch[j]).argmax(1) == own
+        i, j = i[first], j[first]
+        like, edits = least_edits(n, counts, i, j, least)
+        for at in like[np.argsort(edits, kind="stable")].tolist():
+            x, y = int(i[at]), int(j[at])
+            a, b = top(kinds[x]), top(kinds[y])
+            if a != b and similarity_of(words[x], words[y], least, (grams_at(x), grams_at(y))) is not None:
+                above[a] = b
+                found[0].append(x)
+                found[1].append(y)
+    return found
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None, key: str = "key", root: str = "root") -> DataFrame:
@@ -358,43 +380,25 @@ def with_roots(rows: DataFrame, roots: DataFrame | None, key: str = "key", root:
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 3, text_col: str = "text") -> DataFrame:
     """(key, root) of the texts that are linked to others; key is the MD5 of the text, root names the class."""
-    added = T.StructType([T.StructField("sketch", T.ArrayType(T.LongType()))])
+    added = T.StructType([T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
     def work(texts: list[bytes]) -> list[pa.Array]:
-        _, values = order_min_hash(texts, k, sketches, order)
+        n, values = order_min_hash(texts, k, sketches, order)
         flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(n, pa.int64())]
 
     keyed = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketched = stored(map_text(keyed, "text", added, work, ["key"]).dropDuplicates(["key"]))
-    rows = sketched.select("key", F.posexplode("sketch").alias("s", "h"))
+    rows = sketched.select("key", "n", F.posexplode("sketch").alias("s", "h"))
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lead")).where("c > 1").select("h", "lead")
     members = stored(rows.join(groups, "h"))
     led = stored(members.where("key != lead").groupBy("key").agg(F.min("lead").alias("a")).select("a", F.col("key").alias("b")), members.count())
     links = stored(_aligned(led.withColumn("g", F.xxhash64("a")), keyed, similarity))
     roots = None if links.isEmpty() else components(links)
-    open_ = stored(_apart(members, sketched, roots, keyed, similarity))
-    tried = led.unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for step in range(3):
-        if open_.isEmpty():
-            break
-        pick = F.min(F.struct("edits", "a", "b", "g")).alias("p")
-        if step == 0:  # each class its nearest other one
-            sides = open_.select("*", F.explode(F.array("ra", "rb")).alias("r"))
-            chosen = sides.groupBy("r").agg(pick).select("p.a", "p.b", "p.g").distinct()
-        elif step == 1:  # each two classes their nearest pair
-            chosen = open_.groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(pick).select("p.a", "p.b", "p.g")
-        else:
-            chosen = open_.join(tried, ["a", "b"], "left_anti").select("a", "b", "g")
-        chosen = stored(chosen, most := open_.count())
-        found = stored(_aligned(chosen, keyed, similarity))
-        if not found.isEmpty():
-            roots = merged_roots(roots, found)
-        if step < 2:
-            tried = tried.unionByName(chosen.select("a", "b"))
-            now = with_roots(with_roots(open_.drop("ra", "rb"), roots, "a", "ra"), roots, "b", "rb")
-            open_ = stored(now.where("ra != rb"), most)
+    found = stored(_joining(members, sketched, roots, keyed, similarity))
+    if not found.isEmpty():
+        roots = merged_roots(roots, found)
     return roots if roots is not None else docs.sparkSession.createDataFrame([], "key binary, root binary")
 
 
