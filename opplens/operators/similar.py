@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,9 @@ from .features import running_before
 from .fingerprints import fingerprint
 
 #: Rows of history and of queries that meet in one task.
-HISTORY, QUERIES = 4096, 1024
+HISTORY, QUERIES = 4096, 4096
+#: Queries whose distances a task holds at once.
+SLICE = 128
 STAGES = ("same_symbol", "compatible_side", "compatible_regime", "outcome_available", "distance_eligible")
 NEAR = "array<struct<distance:double,ts:long,id:long,overlap:int,label:int,expected:double>>"
 
@@ -30,6 +32,37 @@ def distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.sqrt(square / overlap), overlap
 
 
+def nearest(a: np.ndarray, b: np.ndarray, ok: Callable[[slice, np.ndarray], np.ndarray], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of a, place in b, distance, overlap) of the k nearest rows of b to each row of a, of equal distances the earlier ones, and at
+    last how many rows of b may be taken for each row of a, for SLICE rows of a at a time; ok(rows of a, overlap) tells which may.
+
+    Matrix products give distances but for rounding; the rows that could be among the k nearest within that error are measured
+    one by one, as `distances` does, so the result is the same."""
+    fa, fb = np.isfinite(a), np.isfinite(b)
+    x, y = np.where(fa, a, 0.0), np.where(fb, b, 0.0)
+    ga, gb = fa.astype(np.float64), fb.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        xx, yy = x * x, y * y
+        most = yy.sum(1).max(initial=0.0)
+        for lo in range(0, len(a), SLICE):
+            rows = slice(lo, lo + SLICE)
+            overlap = ga[rows] @ gb.T
+            may = ok(rows, overlap)
+            near = np.where(may, (xx[rows] @ gb.T + ga[rows] @ yy.T - 2 * (x[rows] @ y.T)) / overlap, np.inf)
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(near), np.inf)
+            error = 16 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (xx[rows].sum(1) + most)
+            row, at = np.nonzero(may & ~(near > (limit + error)[:, None]))  # what is not a number may be near
+            square = np.zeros(len(row))
+            for i in range(a.shape[1]):
+                square += np.where(fa[rows][row, i] & fb[at, i], (x[rows][row, i] - y[at, i]) ** 2, 0.0)
+            shared = overlap[row, at]
+            distance = np.sqrt(square / shared)
+            order = np.lexsort((at, distance, row))
+            row, at, distance, shared = row[order], at[order], distance[order], shared[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield row[kept] + lo, at[kept], distance[kept], shared[kept].astype(np.int64), may.sum(1)
+
+
 #: What a history row is asked for, and what it is counted by.
 _HISTORY = ("id", "ts", "symbol", "side", "regime", "outcome_ts", "label", "expected")
 
@@ -120,14 +153,19 @@ def neighbours(history: DataFrame | Index, queries: DataFrame, features: Sequenc
         if not len(q) or not len(h):
             return pd.DataFrame(columns=["id", "eligible", "distance", "ts", "hid", "overlap", "label", "expected"])
         h = h.rename(columns=lambda c: c.removeprefix("h_")).sort_values(["ts", "id"], kind="stable")
-        qr, hr = q["regime"].to_numpy()[:, None], h["regime"].to_numpy()[None, :]
-        distance, overlap = distances(q[names].to_numpy(np.float64), h[names].to_numpy(np.float64))
-        ok = (h["free"].to_numpy()[None, :] < q["ts"].to_numpy()[:, None]) & (h["id"].to_numpy()[None, :] != q["id"].to_numpy()[:, None]) & ((qr == "UNKNOWN") | (hr == qr) | (hr == "UNKNOWN")) & (overlap >= min_overlap)
-        order = np.argsort(np.where(ok, distance, np.inf), axis=1, kind="stable")[:, :k]  # of equal distances the earlier row is first
-        row, place = np.nonzero(np.take_along_axis(ok, order, 1))
-        at = order[row, place]
-        found = pd.DataFrame({"id": q["id"].to_numpy()[row], "eligible": np.where(place == 0, ok.sum(1)[row], 0), "distance": distance[row, at], "ts": h["ts"].to_numpy()[at], "hid": h["id"].to_numpy()[at], "overlap": overlap[row, at]})
-        return found.assign(label=h["label"].to_numpy(np.float64)[at], expected=h["expected"].to_numpy(np.float64)[at])
+        qr, hr, qt, free, qi, hi = q["regime"].to_numpy(), h["regime"].to_numpy(), q["ts"].to_numpy(), h["free"].to_numpy(), q["id"].to_numpy(), h["id"].to_numpy()
+
+        def ok(rows: slice, overlap: np.ndarray) -> np.ndarray:
+            regime = (qr[rows, None] == "UNKNOWN") | (hr[None, :] == qr[rows, None]) | (hr[None, :] == "UNKNOWN")
+            return (free[None, :] < qt[rows, None]) & (hi[None, :] != qi[rows, None]) & regime & (overlap >= min_overlap)
+
+        parts = []
+        for row, at, distance, overlap, eligible in nearest(q[names].to_numpy(np.float64), h[names].to_numpy(np.float64), ok, k):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            counted = np.zeros(len(row), np.int64)
+            counted[first] = eligible[row[first] % SLICE]
+            parts.append(pd.DataFrame({"id": qi[row], "eligible": counted, "distance": distance, "ts": h["ts"].to_numpy()[at], "hid": hi[at], "overlap": overlap, "label": h["label"].to_numpy(np.float64)[at], "expected": h["expected"].to_numpy(np.float64)[at]}))
+        return pd.concat(parts)
 
     made = "id long, eligible long, distance double, ts long, hid long, overlap int, label double, expected double"
     met = q.groupBy(*by, "qb", "hb").cogroup(h.groupBy("h_symbol", "h_side", "h_qb", "h_hb")).applyInPandas(meet, made)
