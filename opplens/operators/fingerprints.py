@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .features import _kept
+
 #: Decimal places that floating numbers are rounded to before they are hashed.
 PLACES = 12
 #: Hex digits of the first and the second level of the tree of digests.
@@ -60,7 +62,8 @@ def dataset(parts: Sequence[DataFrame], versions: dict[str, str]) -> DataFrame:
 
 def json_entries(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, path, key, kind, text) of everything in the JSON of each row, to any depth, objects and arrays: one round of variant_explode a level,
-    until no container is left. What is no JSON has no entries. kind: OBJECT, ARRAY, or the type of the value; text: that of a plain value."""
+    until no container is left. The containers of a level are written as a table, so each is unpacked from the one above it and not from the
+    text again. What is no JSON has no entries. kind: OBJECT, ARRAY, or the type of the value; text: that of a plain value."""
     level = rows.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")).where("v is not null")
     found = None
     while True:
@@ -70,7 +73,7 @@ def json_entries(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
         box = F.col("kind").isin("OBJECT", "ARRAY")
         one = each.select("id", "path", "key", "kind", F.when(~box, F.expr("try_variant_get(v, '$', 'string')")).alias("text"))
         found = one if found is None else found.unionByName(one)
-        level = each.where(box).select("id", "path", "v")
+        level = _kept(each.where(box).select("id", "path", "v"))
         if level.isEmpty():
             return found
 
