@@ -55,13 +55,14 @@ def bucket_of(x: Column, bounds: Sequence[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), further) if n else F.lit(0)
 
 
-def exact_quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], group: Sequence[str] = ()) -> DataFrame:
-    """(group, name of each wanted quantile): rule linear, nearest (of rank) or lower (index rounded down), and a fraction.
+def exact_quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], group: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """(group, name of each wanted quantile): rule linear, nearest (of rank) or lower (index rounded down), and a fraction. times: a column
+    that says how often a row counts.
 
     Quantiles are read off the places of the distinct values, so neither a group's rows nor its values meet in one task. Groups
     must not be null.
     """
-    by = _kept(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c")))
+    by = _kept(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("__c")))
     x = by.withColumn("__b", bucket_of(F.col(value).cast("double"), approximate_bounds(by, value)))
     n = F.col("__n")
     at = {

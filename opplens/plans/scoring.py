@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opplens.functions import scalars as S
 from opplens.functions.rules import is_close
 from opplens.operators import models as M
-from opplens.operators.features import exact_quantiles, running_before
+from opplens.operators.features import _kept, exact_quantiles, running_before
 
 from .registry import query, rounded, table
 
@@ -58,16 +58,22 @@ def m5_calibration(spark, d):
 @query("""WITH x AS (SELECT l_returnflag AS flag, l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY flag ORDER BY a) + (count(*) OVER (PARTITION BY flag, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY flag ORDER BY b) + (count(*) OVER (PARTITION BY flag, b) - 1) / 2 AS rb FROM x)
 SELECT flag, count(*) AS n, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(median(abs(a - b)), 6) AS median_error, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY 1""")
 def m6_regression_metrics(spark, d):
-    """Errors by group and the rank correlation, ties at their mean rank. Ranks come from counts by distinct value."""
+    """Errors by group and the rank correlation, ties at their mean rank. Equal rows are counted first, and all else is made from the counts."""
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+    x = _kept(x.groupBy("flag", "a", "b").agg(F.count(F.lit(1)).alias("k")))
+    size = x.groupBy("flag").agg(F.sum("k").alias("size"))  # a row a flag
 
     def ranks(c: str):
-        by = running_before(x.groupBy("flag", c).agg(F.count(F.lit(1)).alias("k")), c, "k", "below", group=["flag"])
-        return by.select("flag", c, (F.col("below") + (F.col("k") + 1) / 2).alias(f"r{c}"))
-
-    miss = F.abs(F.col("a") - F.col("b"))
-    out = x.join(ranks("a"), ["flag", "a"]).join(ranks("b"), ["flag", "b"]).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.avg(miss).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.corr("ra", "rb").alias("spearman"))
-    out = out.join(exact_quantiles(x.withColumn("miss", miss), "miss", {"median_error": ("linear", 0.5)}, ["flag"]), "flag")
+        by = running_before(x.groupBy("flag", c).agg(F.sum("k").alias("times")), c, "times", "below", group=["flag"]).join(F.broadcast(size), "flag")
+        # from the middle rank, so that sums of squares stay exact where ranks are all one
+        return by.select("flag", c, (F.col("below") + (F.col("times") + 1) / 2 - (F.col("size") + 1) / 2).alias(f"r{c}"))
+
+    k, miss, n = F.col("k"), F.abs(F.col("a") - F.col("b")), F.sum("k")
+    total = lambda c: F.sum(c * k)
+    both = lambda p, q: total(F.col(p) * F.col(q)) - total(F.col(p)) * total(F.col(q)) / n
+    ranked = x.join(ranks("a"), ["flag", "a"]).join(ranks("b"), ["flag", "b"])
+    out = ranked.groupBy("flag").agg(n.alias("n"), (total(miss) / n).alias("mae"), F.sqrt(total(miss * miss) / n).alias("rmse"), F.try_divide(both("ra", "rb"), F.sqrt(both("ra", "ra") * both("rb", "rb"))).alias("spearman"))
+    out = out.join(exact_quantiles(x.withColumn("miss", miss), "miss", {"median_error": ("linear", 0.5)}, ["flag"], times="k"), "flag")
     return rounded(out, "mae", "rmse", "median_error", "spearman")
 
 
