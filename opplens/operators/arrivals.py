@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .recursions import running
 
 RETURNS = (6, 12, 24, 48)
+#: Rows of whole keys that a task of collapse gets: about so many, and where that asks for more than TASKS tasks about so many at most.
+ROWS_A_TASK, MOST_ROWS_A_TASK = 100_000, 2_000_000
+#: To so many tasks Spark deals rows straight into their files (spark.shuffle.sort.bypassMergeThreshold); for more it holds and sorts them first.
+TASKS = 200
 
 
 def gate(rows: DataFrame, run: str, ts: str, received: str, arrival: str, kind: str, in_order: str = "DIAGNOSTIC", future: str = "5 seconds", oldest: str | None = None, stretch: int = 4096) -> DataFrame:
@@ -29,12 +33,18 @@ def gate(rows: DataFrame, run: str, ts: str, received: str, arrival: str, kind:
 def collapse(rows: DataFrame, keys: list[str], source_id: str, arrival: list[str], reason: str, valid: str) -> DataFrame:
     """rows with status, representative, observations and duplicates so far; see the stream of this name.
 
-    The first row of a key that is not stale represents it; what came before it is stale."""
+    The first row of a key that is not stale represents it; what came before it is stale. Rows are dealt by key to as many tasks as
+    their number asks for and sorted twice there, so what a task holds is bounded unless a single key has very many rows."""
     order = [F.col(c) for c in arrival]
     one = Window.partitionBy(*keys, source_id).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # this order serves the window of a key without order, and then that of a source in it
+    n = rows.count()
+    tasks = max(min(n // ROWS_A_TASK + 1, TASKS), n // MOST_ROWS_A_TASK + 1)
+    x = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, source_id, *arrival)
+    first = F.min(F.when(F.col(reason).isNull(), F.struct(*arrival))).over(Window.partitionBy(*keys))
+    x = x.withColumn("__begun", F.coalesce(F.struct(*arrival) > first, F.lit(False)))
     counts = F.col(reason).isNull() | F.col("__begun")
-    x = rows.withColumn("__begun", F.coalesce(F.max(F.col(reason).isNull()).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     x = x.withColumn("__again", counts & F.coalesce(F.max(F.when(counts, True)).over(one), F.lit(False)))
     fresh = counts & ~F.col("__again")
     x = x.withColumn("observations", F.sum(fresh.cast("long")).over(upto))
